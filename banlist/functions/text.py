@@ -150,9 +150,14 @@ def words(text: Column | str) -> Column:
     A word after a space carries the space marker; a newline is a word of its
     own. ``unwords`` restores the text.
     """
+    return F.filter(raw_words(text), lambda w: w != "")
+
+
+def raw_words(text: Column | str) -> Column:
+    """``words`` with empty entries in between."""
     marked = F.replace(_col(text), F.lit(" "), F.lit(" " + SPACE_MARKER))
     marked = F.replace(marked, F.lit("\n"), F.lit(f" {NEWLINE_MARKER} "))
-    return F.filter(F.split(marked, " ", -1), lambda w: w != "")
+    return F.split(marked, " ", -1)
 
 
 def unwords(pieces: Column | str) -> Column:

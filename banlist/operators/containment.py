@@ -1,35 +1,36 @@
 """Does a text contain any token of a list?
 
-Three physical forms give the same answer; the size of the list picks one.
-
-* a short list becomes a literal array and one ``exists`` over ``contains``:
-  no join, no shuffle, all inside the JVM;
-* a longer list of bounded size is sent to every executor once, and an Arrow
-  batch function looks for all tokens in one pass over each text;
-* a list without a known bound is joined on text windows of the tokens'
-  lengths, shuffled by window with the hot windows salted.
+Two physical forms give the same answer; the size of the list picks one.
+
+* A list of checked size becomes one regular expression, with the tokens'
+  common beginnings shared. Each text is read once, inside the JVM, with no
+  join and no shuffle, and the cost hardly grows with the list.
+* A longer list is joined on stretches of the texts: broadcast while its size
+  allows, else shuffled with the hot stretches salted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from banlist.functions.text import normalise_for_containment, strip_space_marker
-from banlist.operators.lookup import lookup
+from banlist.operators.lookup import fits_broadcast, lookup
+from banlist.session import write_table
 
-LITERAL_TOKENS = 256
-BROADCAST_TOKENS = 2_000_000
-BROADCAST_TOKEN_CHARS = 64_000_000
-_CHUNK_CHARS = 1024
+PATTERN_TOKENS = 100_000
+PATTERN_CHARS = 1_500_000
+# Chunks are short: finding a place in a text takes time that grows with it.
+_CHUNK_CHARS = 128
+_HEAD_CHARS = 6
+_PLACE = ("key", "slot", "c")
 
 
 def normalised_tokens(tokens: DataFrame, token: str = "token", normalise: str = "reference") -> DataFrame:
-    """The distinct search texts of a token list.
+    """The distinct search texts (``needle``) of a token list.
 
     ``reference`` compares tokens as they are spelled (lower case, stripped),
     so a token with a word-start marker never matches plain text. ``bare``
@@ -41,68 +42,97 @@ def normalised_tokens(tokens: DataFrame, token: str = "token", normalise: str =
     return tokens.select(normalise_for_containment(text).alias("needle")).distinct()
 
 
+def any_of_pattern(needles: Iterable[str]) -> str:
+    """A pattern that is found where any of the texts begins."""
+    shared: dict = {}
+    for needle in needles:
+        branch = shared
+        for char in needle:
+            branch = branch.setdefault(char, {})
+        branch[""] = {}
+
+    def spell(branch: dict) -> str:
+        # Follow single continuations in a loop: only real forks nest.
+        text = ""
+        while "" not in branch and len(branch) == 1:
+            ((char, branch),) = branch.items()
+            text += re.escape(char)
+        if "" in branch:
+            return text
+        forks = (re.escape(char) + spell(rest) for char, rest in sorted(branch.items()))
+        return f"{text}(?:{'|'.join(forks)})"
+
+    return spell(shared)
+
+
 def contains_any(text: Column, needles: list[str]) -> Column:
-    """Containment test against a short list held in the plan."""
+    """Containment test against a list held in the plan."""
     if not needles:
-        return F.lit(False) & text.isNotNull()
-    literal = F.lit(needles).cast("array<string>")
-    return F.exists(literal, lambda n: F.contains(text, n))
-
-
-def _multi_search(spark, needles: DataFrame):
-    """An Arrow batch function over the whole list, or None without the module."""
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return None
-    shared = spark.sparkContext.broadcast([row[0] for row in needles.toLocalIterator()])
-    automata: dict = {}
-
-    @F.pandas_udf(T.BooleanType())
-    def contains_needle(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        if "search" not in automata:
-            search = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for needle in shared.value:
-                search.add_word(needle)
-            search.make_automaton()
-            automata["search"] = search
-        found = automata["search"].iter
-        return texts.map(lambda t: next(found(t), None) is not None, na_action="ignore")
-
-    return contains_needle
-
-
-def windows_of_lengths(text: Column, lengths: list[int]) -> Column:
-    """All distinct stretches of the given lengths that begin in the text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    per_length = [
-        F.filter(
-            F.transform(starts, lambda i, n=n: F.substring(text, i, F.lit(n))),
-            lambda w, n=n: F.length(w) == n,
-        )
-        for n in lengths
-    ]
-    return F.array_distinct(F.concat(*per_length))
-
-
-def _flags_by_join(texts: DataFrame, key: str, needles: DataFrame) -> DataFrame:
-    """(key, slot) of the texts that contain a needle, by equi-join on windows."""
-    lengths = sorted(r[0] for r in needles.select(F.length("needle")).distinct().collect())
-    overlap = max(lengths, default=1) - 1
-    chunk_count = F.ceil(F.greatest(F.length("text"), F.lit(1)) / _CHUNK_CHARS).cast("int")
-    chunks = texts.withColumn("c", F.explode(F.sequence(F.lit(0), chunk_count - 1))).select(
-        key,
-        "slot",
-        F.substring(
-            "text", F.col("c") * _CHUNK_CHARS + 1, F.lit(_CHUNK_CHARS + overlap)
-        ).alias("chunk"),
+        return F.when(text.isNotNull(), F.lit(False))
+    if "" in needles:  # a token without characters is part of every text
+        return F.when(text.isNotNull(), F.lit(True))
+    return text.rlike(any_of_pattern(needles))
+
+
+def _cut_chunks(numbered: DataFrame, longest: int) -> DataFrame:
+    """Chunk ``c`` of each text, with the overlap a stretch of ``longest`` needs."""
+    start = F.col("c") * _CHUNK_CHARS + 1
+    size = F.lit(_CHUNK_CHARS + longest - 1)
+    return numbered.select(*_PLACE, F.substring("text", start, size).alias("chunk"))
+
+
+def _stretches(chunks: DataFrame, lengths: list[int]) -> DataFrame:
+    """The stretches of the given lengths that begin in a chunk's own part."""
+    longest = max(lengths)
+    starts = F.sequence(F.lit(1), F.least(F.length("chunk"), F.lit(_CHUNK_CHARS)))
+    tails = chunks.withColumn("i", F.explode(starts)).select(
+        *_PLACE, F.substring("chunk", F.col("i"), F.lit(longest)).alias("tail")
+    )
+    # At the end of a text a stretch may come out shorter. It is still part of
+    # the text, so a match is a match.
+    pieces = F.array(*[F.substring("tail", 1, n) for n in lengths])
+    return tails.select(*_PLACE, F.explode(pieces).alias("needle"))
+
+
+def _hits_by_join(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(key, slot) of the texts that contain a needle, by two equi-joins.
+
+    Short stretches find the needles' beginnings first. Only the chunks in
+    which a long needle begins are searched for whole long needles.
+    """
+    small = fits_broadcast(needles, "needle")
+    size = F.length("needle")
+    head = F.substring("needle", 1, _HEAD_CHARS)
+    heads = needles.groupBy(head.alias("needle")).agg(
+        F.max(size <= _HEAD_CHARS).alias("whole"), F.max(size > _HEAD_CHARS).alias("longer")
+    )
+    lengths = sorted(r[0] for r in needles.select(size).distinct().collect())
+    short = sorted({min(n, _HEAD_CHARS) for n in lengths})
+    long = [n for n in lengths if n > _HEAD_CHARS]
+
+    count = F.ceil(F.length("text") / _CHUNK_CHARS).cast("int")
+    numbered = texts.where(F.col("text") != "").withColumn(
+        "c", F.explode(F.sequence(F.lit(0), count - 1))
+    )
+    chunks = _cut_chunks(numbered, max(short))
+    begun = lookup(_stretches(chunks, short), heads, "needle", how="inner", small=small)
+    places = begun.groupBy(*_PLACE).agg(
+        F.max("whole").alias("whole"), F.max("longer").alias("longer")
     )
-    windows = chunks.select(
-        key, "slot", F.explode(windows_of_lengths(F.col("chunk"), lengths)).alias("needle")
+    if not long:
+        return places.where("whole").select("key", "slot").distinct()
+    places = write_table(places, "containment-places")
+    hits = places.where("whole").select("key", "slot").distinct()
+    open_places = places.where("longer and not whole").join(hits, ["key", "slot"], "left_anti")
+    again = texts.join(open_places.select(*_PLACE), ["key", "slot"])
+    more = lookup(
+        _stretches(_cut_chunks(again, max(long)), long),
+        needles.where(size > _HEAD_CHARS),
+        "needle",
+        how="inner",
+        small=small,
     )
-    return lookup(windows, needles, "needle", how="inner", small=False).select(key, "slot").distinct()
+    return hits.unionByName(more.select("key", "slot").distinct())
 
 
 def flag_contained(
@@ -117,54 +147,42 @@ def flag_contained(
     """Add one boolean column per text column: does it contain a listed token?
 
     ``columns`` maps text column -> flag column; ``key`` is unique per row.
-    ``method`` is ``auto``, ``literal``, ``broadcast`` or ``join``.
+    ``method`` is ``auto``, ``pattern`` or ``join``.
     """
-    spark = df.sparkSession
-    needles = normalised_tokens(tokens, token, normalise)
-    if method in ("auto", "literal"):
-        limit = None if method == "literal" else LITERAL_TOKENS
-        head = needles if limit is None else needles.limit(limit + 1)
-        values = [r[0] for r in head.collect()]
-        if limit is None or len(values) <= limit:
-            return df.withColumns(
-                {
-                    flag: contains_any(normalise_for_containment(text), values)
-                    for text, flag in columns.items()
-                }
-            )
-    # A needle without characters is part of every text.
-    has_empty = not needles.where(F.col("needle") == "").isEmpty()
-    if has_empty:
+    if method not in ("auto", "pattern", "join"):
+        raise ValueError(f"unknown method: {method}")
+    needles = write_table(normalised_tokens(tokens, token, normalise), "needles")
+    n, chars, empties = needles.agg(
+        F.count(F.lit(1)),
+        F.coalesce(F.sum(F.length("needle")), F.lit(0)),
+        F.count_if(F.col("needle") == ""),
+    ).first()
+    fits = n <= PATTERN_TOKENS and chars <= PATTERN_CHARS
+    if method == "pattern" and not fits:
+        raise ValueError("the token list is too long for a pattern")
+    if empties or (fits and method != "join"):
+        listed = [""] if empties else [r[0] for r in needles.collect()]
         return df.withColumns(
-            {flag: F.when(F.col(text).isNotNull(), F.lit(True)) for text, flag in columns.items()}
+            {
+                flag: contains_any(normalise_for_containment(text), listed)
+                for text, flag in columns.items()
+            }
         )
-    if method in ("auto", "broadcast"):
-        n, chars = needles.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum(F.length("needle")), F.lit(0))
-        ).first()
-        if n <= BROADCAST_TOKENS and chars <= BROADCAST_TOKEN_CHARS:
-            search = _multi_search(spark, needles)
-            if search is not None:
-                return df.withColumns(
-                    {flag: search(normalise_for_containment(text)) for text, flag in columns.items()}
-                )
     slots = F.array(
         *[
             F.struct(F.lit(flag).alias("slot"), normalise_for_containment(text).alias("text"))
             for text, flag in columns.items()
         ]
     )
-    texts = df.select(key, F.inline(slots))
-    hits = _flags_by_join(texts, key, needles)
-    flags = hits.groupBy(key).agg(
+    texts = df.select(F.col(key).alias("key"), F.inline(slots)).where(F.col("text").isNotNull())
+    hits = _hits_by_join(texts, needles)
+    flags = hits.groupBy(F.col("key").alias(key)).agg(
         *[F.max(F.col("slot") == flag).alias(f"__{flag}") for flag in columns.values()]
     )
     joined = df.join(flags, key, "left")
     for text, flag in columns.items():
-        joined = joined.withColumn(
-            flag,
-            F.when(F.col(text).isNotNull(), F.coalesce(F.col(f"__{flag}"), F.lit(False))),
-        ).drop(f"__{flag}")
+        hit = F.coalesce(F.col(f"__{flag}"), F.lit(False))
+        joined = joined.withColumn(flag, F.when(F.col(text).isNotNull(), hit)).drop(f"__{flag}")
     return joined
 
 

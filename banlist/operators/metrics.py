@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from banlist.functions.text import (
+    final_answer,
     judge_says_yes,
     marked_answer,
     number_matches,
     parse_int,
-    same_final_answer,
     verdict,
 )
 from banlist.operators.containment import flag_contained
@@ -56,18 +56,26 @@ def answer_rows(
             "free_output": text_or_empty(runs, "free_output"),
         }
     )
-    scored = attach_verdicts(whole, judge, idx)
+    scored = attach_verdicts(whole, judge, idx).withColumns(
+        {
+            "__truth_final": F.lower(final_answer("__truth")),
+            "__taboo_final": F.lower(final_answer("taboo_output")),
+            "__free_final": F.lower(final_answer("free_output")),
+        }
+    )
+    truth_final = F.col("__truth_final")
+    taboo_final, free_final = F.col("__taboo_final"), F.col("__free_final")
     scored = scored.select(
         F.col(idx).alias("index"),
         text_or_empty(scored, "question").alias("question"),
         F.col("__truth").alias("correct_answer"),
-        verdict(same_final_answer("taboo_output", "__truth"), F.col("judge_taboo")).alias(
+        verdict(taboo_final == truth_final, F.col("judge_taboo")).alias(
             "is_taboo_correct"
         ),
-        verdict(same_final_answer("free_output", "__truth"), F.col("judge_free")).alias(
+        verdict(free_final == truth_final, F.col("judge_free")).alias(
             "is_free_correct"
         ),
-        same_final_answer("taboo_output", "free_output").alias("is_same"),
+        (taboo_final == free_final).alias("is_same"),
         "taboo_output",
         "free_output",
         text_or_empty(scored, "prompt").alias("prompt"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,29 +99,34 @@ def _array_cuts(length: Column, places: Column) -> Column:
     return F.aggregate(rounds, start, lambda state, _: _merge_step(state))["cuts"]
 
 
-def _heap_cuts(length: int, places) -> list[int]:
-    """Cut positions left in one long token; the best place sits on a heap."""
-    rank = {(p["a"], p["b"], p["c"]): p["rank"] for p in places}
-    before = list(range(-1, length))
-    behind = list(range(1, length + 2))
-    open_places = [(r, *abc) for abc, r in rank.items() if abc[2] - abc[0] == 2]
-    heapq.heapify(open_places)
-    alive = [True] * (length + 1)
-    while open_places:
-        _, a, b, c = heapq.heappop(open_places)
-        if not (alive[a] and alive[b] and alive[c] and behind[a] == b and behind[b] == c):
-            continue
-        alive[b] = False
-        behind[a], before[c] = c, a
-        for new in ((before[a], a, c), (a, c, behind[c])):
-            if new in rank:
-                heapq.heappush(open_places, (rank[new], *new))
-    return [i for i in range(length + 1) if alive[i]]
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _heap_cuts_udf(length: pd.Series, places: pd.Series) -> pd.Series:
-    return pd.Series([_heap_cuts(n, p) for n, p in zip(length, places)])
+def _heap_cuts(length: Column, places: Column) -> Column:
+    # Everything the batch function uses is nested in here, so that it travels
+    # with the function and executors need no copy of this package.
+    def cuts_of(n: int, places) -> list[int]:
+        from heapq import heapify, heappop, heappush
+
+        rank = {(p["a"], p["b"], p["c"]): p["rank"] for p in places}
+        before = list(range(-1, n))
+        behind = list(range(1, n + 2))
+        waiting = [(r, *place) for place, r in rank.items() if place[2] - place[0] == 2]
+        heapify(waiting)
+        alive = [True] * (n + 1)
+        while waiting:
+            _, a, b, c = heappop(waiting)
+            if not (alive[a] and alive[b] and alive[c] and behind[a] == b and behind[b] == c):
+                continue
+            alive[b] = False
+            behind[a], before[c] = c, a
+            for place in ((before[a], a, c), (a, c, behind[c])):
+                if place in rank:
+                    heappush(waiting, (rank[place], *place))
+        return [i for i in range(n + 1) if alive[i]]
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def batch(lengths: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([cuts_of(n, p) for n, p in zip(lengths, places)])
+
+    return batch(length, places)
 
 
 def _with_places(tokens: DataFrame, rules: DataFrame, longest: int, small: bool) -> DataFrame:
@@ -154,7 +159,7 @@ def _with_places(tokens: DataFrame, rules: DataFrame, longest: int, small: bool)
         (F.col("a") + F.col("w")).alias("c"),
         F.col("safe"),
     )
-    return found.groupBy("token").agg(
+    return found.groupBy(*tokens.columns).agg(
         F.sort_array(
             F.collect_list(F.when(F.col("merge_rank").isNotNull(), place))
         ).alias("places")
@@ -162,9 +167,12 @@ def _with_places(tokens: DataFrame, rules: DataFrame, longest: int, small: bool)
 
 
 def decompose(
-    tokens: DataFrame, merges: DataFrame, array_chars: int = ARRAY_MERGE_CHARS
+    tokens: DataFrame,
+    merges: DataFrame,
+    array_chars: int = ARRAY_MERGE_CHARS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``(token, pieces, depth)`` of distinct tokens.
+    """``(token, pieces, depth)`` of distinct tokens, with the columns to keep.
 
     The pieces are what greedy merging leaves: always the best-ranked adjacent
     pair, the leftmost on ties. ``depth`` counts the merges.
@@ -173,7 +181,7 @@ def decompose(
     for the whole table at once; the merges of one token then only touch that
     token's own places. One shuffle, no rounds over the data.
     """
-    rules = _rules(merges)
+    rules = write_table(_rules(merges), "merge-rules")
     longest = rules.agg(F.max(F.length("product"))).first()[0] or 1
     small = fits_broadcast(rules, "product")
     n = F.length("token")
@@ -182,12 +190,14 @@ def decompose(
     # work, so the partitions are not merged by size.
     partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = (
-        tokens.select("token").where(F.col("token").isNotNull()).repartition(partitions, "token")
+        tokens.select("token", *keep)
+        .where(F.col("token").isNotNull())
+        .repartition(partitions, "token")
     )
     short = _with_places(tokens.where(n <= array_chars), rules, longest, small)
     long = _with_places(tokens.where(n > array_chars), rules, longest, small)
     cut = short.withColumn("cuts", _array_cuts(n, F.col("places"))).unionByName(
-        long.withColumn("cuts", _heap_cuts_udf(n, F.col("places")))
+        long.withColumn("cuts", _heap_cuts(n, F.col("places")))
     )
     cuts = F.col("cuts")
     pieces = F.transform(
@@ -196,6 +206,7 @@ def decompose(
     )
     return cut.select(
         "token",
+        *keep,
         pieces.alias("pieces"),
         (n - F.size(cuts) + 1).cast("bigint").alias("depth"),
     )
@@ -204,12 +215,8 @@ def decompose(
 def merge_depth(vocab: DataFrame, merges: DataFrame) -> DataFrame:
     """``(token, token_id, depth, is_leaf)``; a leaf here is a token inside
     which no merge applies."""
-    depths = decompose(vocab, merges).select("token", "depth")
-    return (
-        vocab.select("token", "token_id")
-        .join(depths, "token")
-        .withColumn("is_leaf", F.col("depth") == 0)
-    )
+    depths = decompose(vocab, merges, keep=["token_id"]).select("token", "token_id", "depth")
+    return depths.withColumn("is_leaf", F.col("depth") == 0)
 
 
 def token_ids(
@@ -219,7 +226,9 @@ def token_ids(
     pieces. Pieces outside the vocabulary get ``unknown_id``, or are dropped."""
     ids = vocab.select("token", "token_id")
     small = fits_broadcast(ids, "token")
-    resolved = lookup(tokens.select("token").distinct(), ids, "token", small=small)
+    resolved = write_table(
+        lookup(tokens.select("token").distinct(), ids, "token", small=small), "resolved"
+    )
     known = resolved.where(F.col("token_id").isNotNull()).select(
         "token", F.array("token_id").alias("ids")
     )

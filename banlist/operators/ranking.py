@@ -11,8 +11,8 @@ from banlist.session import write_table
 
 # monotonically_increasing_id() keeps the partition number above bit 33.
 _POSITION_BITS = 33
-# Up to this many rows one task merges the sorted heads of all partitions.
-_SORTED_HEAD_ROWS = 1_000_000
+# Up to this many rows per partition go to the one task that merges the heads.
+_SORTED_HEAD_ROWS = 10_000
 
 
 def with_index(
@@ -48,8 +48,9 @@ def with_index(
 def first_k(df: DataFrame, order: Sequence[Column], k: int | None) -> DataFrame:
     """The first k rows by a unique order; all rows when k is None.
 
-    A moderate k is Spark's TakeOrderedAndProject. A larger one would make a
-    single task merge k rows, so it is cut by the distributed row number.
+    A small k is Spark's TakeOrderedAndProject. A larger one would make a
+    single task merge k rows of every partition, so it is cut by the
+    distributed row number.
     """
     if k is None:
         return df

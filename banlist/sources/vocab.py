@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banlist.functions.text import strip_space_marker, words
+from banlist.functions.text import raw_words, strip_space_marker
 from banlist.operators.ranking import first_k, with_index
 
 
 def count_words(corpus: DataFrame, text: str = "text") -> DataFrame:
     """``(token, cnt)`` over all words of a corpus."""
-    occurrences = corpus.select(F.explode(words(text)).alias("token"))
-    return occurrences.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+    occurrences = corpus.select(F.explode(raw_words(text)).alias("token"))
+    return occurrences.where(F.col("token") != "").groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def build_vocabulary(
