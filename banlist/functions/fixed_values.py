@@ -45,12 +45,17 @@ SUMMARY_COMBINED = "Combined criterion: {n} tokens satisfy all sub-criteria."
 SUMMARY_NO_PATTERN = "No regex pattern provided."
 SUMMARY_NO_SUB_CRITERIA = "No sub-criteria provided."
 
-# The characters Python's str.strip() removes, and the line ends
-# str.splitlines() knows.
+# The characters Python's str.strip() removes, those int() ignores
+# around a number, and the line ends str.splitlines() knows.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+NUMBER_WHITESPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 INTEGER = r"^[+-]?\p{Nd}+(?:_\p{Nd}+)*$"

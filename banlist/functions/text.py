@@ -20,6 +20,7 @@ from banlist.functions.fixed_values import (
     NEWLINE_MARKER,
     NEXT_QUESTION_MARKER,
     NO_ANSWER,
+    NUMBER_WHITESPACE,
     SPACE_MARKER,
     WHITESPACE,
 )
@@ -99,7 +100,7 @@ def parse_int(text: Column | str) -> Column:
     Sign, outer white space, single underscores between digits and any
     script's digits are accepted. More than 38 digits give null.
     """
-    bare = strip(text)
+    bare = F.trim(_col(text), F.lit(NUMBER_WHITESPACE))
     digits = F.replace(bare, F.lit("_"), F.lit(""))
     return F.when(bare.rlike(INTEGER), digits.try_cast("decimal(38,0)"))
 

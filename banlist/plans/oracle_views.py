@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from banlist.functions.fixed_values import WHITESPACE
+from banlist.functions.fixed_values import NUMBER_WHITESPACE, WHITESPACE
 from banlist.plans.fixtures import N_MERGES, SPECIAL_TOKENS
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
+_NUMBER_WS = "||".join(f"chr({ord(c)})" for c in NUMBER_WHITESPACE)
 _LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -36,9 +37,10 @@ def marked_answer(x: str) -> str:
 
 
 def parse_int(x: str) -> str:
+    bare = f"trim({x}, {_NUMBER_WS})"
     return (
-        f"case when regexp_full_match({strip(x)}, '[+-]?\\p{{Nd}}+(_\\p{{Nd}}+)*') "
-        f"then try_cast(replace({strip(x)}, '_', '') as hugeint) end"
+        f"case when regexp_full_match({bare}, '[+-]?\\p{{Nd}}+(_\\p{{Nd}}+)*') "
+        f"then try_cast(replace({bare}, '_', '') as hugeint) end"
     )
 
 

@@ -53,5 +53,6 @@ def criteria_by_name(table: DataFrame, name: str = "name") -> dict[str, Criteria
     found = {}
     for row in table.collect():
         values = row.asDict(recursive=True)
-        found[values.pop(name)] = parse_criteria(values)
+        own_name = values.pop(name)
+        found[own_name] = parse_criteria(values)
     return found
