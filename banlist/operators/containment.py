@@ -23,6 +23,8 @@ from banlist.session import write_table
 
 PATTERN_TOKENS = 100_000
 PATTERN_CHARS = 1_500_000
+# Beginnings may fork at every character, and forks nest.
+PATTERN_DEPTH = 300
 # Chunks are short: finding a place in a text takes time that grows with it.
 _CHUNK_CHARS = 128
 _HEAD_CHARS = 6
@@ -152,12 +154,14 @@ def flag_contained(
     if method not in ("auto", "pattern", "join"):
         raise ValueError(f"unknown method: {method}")
     needles = write_table(normalised_tokens(tokens, token, normalise), "needles")
-    n, chars, empties = needles.agg(
+    size = F.length("needle")
+    n, chars, longest, empties = needles.agg(
         F.count(F.lit(1)),
-        F.coalesce(F.sum(F.length("needle")), F.lit(0)),
+        F.coalesce(F.sum(size), F.lit(0)),
+        F.coalesce(F.max(size), F.lit(0)),
         F.count_if(F.col("needle") == ""),
     ).first()
-    fits = n <= PATTERN_TOKENS and chars <= PATTERN_CHARS
+    fits = n <= PATTERN_TOKENS and chars <= PATTERN_CHARS and longest <= PATTERN_DEPTH
     if method == "pattern" and not fits:
         raise ValueError("the token list is too long for a pattern")
     if empties or (fits and method != "join"):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import pandas as pd
@@ -24,10 +24,14 @@ from banlist.functions.text import (
     strip_space_marker,
 )
 from banlist.operators.ranking import first_k
+from banlist.session import write_table
 
 # Lists up to this length stay in the plan as a hash set; longer ones are joined.
 _LITERAL_VALUES = 5_000
 
+_IS_LEAF = "__is_leaf"
+_TAGS = "__tags"
+
 Criteria = Mapping[str, Any]
 
 
@@ -42,7 +46,33 @@ class TokenTables:
 
     @property
     def tokens(self) -> DataFrame:
-        return self.vocab.select("token", "token_id")
+        marks = [c for c in (_IS_LEAF, _TAGS) if c in self.vocab.columns]
+        return self.vocab.select("token", "token_id", *marks)
+
+    def marked(self, leaf: bool, tags: bool) -> TokenTables:
+        """Tables whose vocabulary carries leaf marks and tags as columns.
+
+        Many criteria then share one join each, and are plain filters.
+        """
+        vocab = self.tokens
+        if leaf and self.merges is not None:
+            parts = merge_components(self.merges).withColumn(_IS_LEAF, F.lit(False))
+            vocab = vocab.join(parts, "token", "left").withColumn(
+                _IS_LEAF, F.coalesce(_IS_LEAF, F.lit(True))
+            )
+        if tags and self.tagger is not None:
+            tag = F.pandas_udf(self.tagger, "string")(strip_space_marker("token"))
+            vocab = vocab.withColumn(_TAGS, F.array(tag))
+        elif tags and self.lexicon is not None:
+            by_token = self.lexicon.groupBy(F.col("token").alias("__bare")).agg(
+                F.collect_set("pos").alias(_TAGS)
+            )
+            vocab = (
+                vocab.withColumn("__bare", strip_space_marker("token"))
+                .join(by_token, "__bare", "left")
+                .drop("__bare")
+            )
+        return replace(self, vocab=write_table(vocab, "marked-vocabulary"))
 
 
 def parse_criteria(criteria: str | Criteria) -> Criteria:
@@ -89,6 +119,12 @@ def leaf_tokens(df: DataFrame, merges: DataFrame) -> DataFrame:
     return df.join(merge_components(merges), "token", "left_anti")
 
 
+def _leaves(df: DataFrame, tables: TokenTables) -> DataFrame:
+    if _IS_LEAF in df.columns:
+        return df.where(_IS_LEAF)
+    return leaf_tokens(df, _require(tables.merges, "merge rules"))
+
+
 def _require(table: Any, what: str) -> Any:
     if table is None:
         raise ValueError(f"this criterion needs {what}")
@@ -107,6 +143,9 @@ def _tagged(df: DataFrame, tables: TokenTables, pos: Sequence[str]) -> DataFrame
     if not pos:
         return df.where(F.lit(False))
     bare = strip_space_marker("token")
+    if _TAGS in df.columns:
+        wanted_tags = F.array(*[F.lit(p) for p in pos])
+        return df.where((bare != "") & F.arrays_overlap(_TAGS, wanted_tags))
     if tables.tagger is not None:
         tag = F.pandas_udf(tables.tagger, "string")
         return df.where((bare != "") & tag(bare).isin(list(pos)))
@@ -125,7 +164,7 @@ def select_frequency(tables: TokenTables, criteria: Criteria) -> DataFrame:
     exclusion, so fewer than k tokens may be left."""
     tokens = tables.tokens
     if criteria.get("leaf", False):
-        tokens = leaf_tokens(tokens, _require(tables.merges, "merge rules"))
+        tokens = _leaves(tokens, tables)
     order = criteria.get("order", fixed.DEFAULT_ORDER)
     tokens = first_k(tokens, _by_id(_descending(order)), criteria.get("k"))
     return exclude(tokens, criteria.get("exclude_regexes"))
@@ -165,7 +204,7 @@ def all_frequency(
     """Candidates that pass a frequency sub-criterion. No cut is made, and the
     exclusion only applies when an order is given."""
     if criteria.get("leaf", False):
-        candidates = leaf_tokens(candidates, _require(tables.merges, "merge rules"))
+        candidates = _leaves(candidates, tables)
     if criteria.get("order"):
         candidates = exclude(candidates, exclude_regexes)
     return candidates
@@ -234,7 +273,7 @@ def select_tokens(tables: TokenTables, criteria: str | Criteria) -> DataFrame:
     kind = criteria.get("type")
     if kind not in _SELECTORS:
         raise ValueError("Invalid selection type.")
-    return _SELECTORS[kind](tables, criteria)
+    return _SELECTORS[kind](tables, criteria).select("token", "token_id")
 
 
 def list_order(criteria: str | Criteria) -> list[Column]:
@@ -248,14 +287,28 @@ def list_order(criteria: str | Criteria) -> list[Column]:
     return _by_id(False)
 
 
+def with_shared_marks(
+    tables: TokenTables, criteria: Mapping[str, str | Criteria]
+) -> TokenTables:
+    """Mark the vocabulary once when several criteria ask for leaves or tags."""
+    parsed = [parse_criteria(one) for one in criteria.values()]
+    single = [part for one in parsed for part in (one, *one.get("criteria", []))]
+    columns = tables.vocab.columns
+    leaf = _IS_LEAF not in columns and sum(bool(part.get("leaf")) for part in single) > 1
+    tags = _TAGS not in columns and sum(bool(part.get("pos")) for part in single) > 1
+    return tables.marked(leaf, tags) if leaf or tags else tables
+
+
 def select_many(tables: TokenTables, criteria: Mapping[str, str | Criteria]) -> DataFrame:
     """``(criteria, token, token_id)`` for a whole set of named criteria."""
+    if not criteria:
+        raise ValueError("no criteria given")
+    parsed = {name: parse_criteria(one) for name, one in criteria.items()}
+    tables = with_shared_marks(tables, parsed)
     parts = [
         select_tokens(tables, one).select(F.lit(name).alias("criteria"), "token", "token_id")
-        for name, one in criteria.items()
+        for name, one in parsed.items()
     ]
-    if not parts:
-        raise ValueError("no criteria given")
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -55,3 +55,13 @@ def shared_table(
     if full_key not in _SHARED:
         _SHARED[full_key] = build()
     return _SHARED[full_key]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's written tables. DataFrames that read them
+    cannot be used afterwards."""
+    for key in [k for k in _SHARED if k[0] == spark.sparkContext.applicationId]:
+        del _SHARED[key]
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

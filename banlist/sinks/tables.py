@@ -15,8 +15,9 @@ from banlist.operators.selection import (
     compare_selections,
     parse_criteria,
     select_custom,
-    select_tokens,
+    select_many,
     summarise,
+    with_shared_marks,
 )
 
 
@@ -36,13 +37,14 @@ def save_selected_tokens(
     tables: TokenTables, criteria: Mapping[str, str | Criteria], model: str, path: str
 ) -> None:
     """Write ``path/tokens`` and ``path/summary``, one partition per model and criteria."""
-    tokens, summaries = None, None
-    for one in criteria.values():
-        key = {"model": F.lit(model), "criteria_hash": F.lit(criteria_hash(one))}
-        chosen = select_tokens(tables, one).withColumns(key)
-        summary = summarise(tables, {"own": one}).drop("criteria").withColumns(key)
-        tokens = chosen if tokens is None else tokens.unionByName(chosen)
-        summaries = summary if summaries is None else summaries.unionByName(summary)
+    by_hash = {criteria_hash(one): one for one in criteria.values()}
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumnRenamed("criteria", "criteria_hash").withColumn("model", F.lit(model))
+
+    tables = with_shared_marks(tables, by_hash)
+    tokens = keyed(select_many(tables, by_hash))
+    summaries = keyed(summarise(tables, by_hash))
     _partitioned(tokens, "model", "criteria_hash").mode("append").parquet(f"{path}/tokens")
     _partitioned(summaries, "model", "criteria_hash").mode("append").parquet(f"{path}/summary")
 

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from banlist.operators.selection import Criteria, parse_criteria
 
+MAX_CRITERIA = 1_000
+
 _TEXTS = T.ArrayType(T.StringType())
 _OWN_FIELDS = [
     T.StructField("source", T.StringType()),
@@ -50,8 +52,11 @@ def criteria_by_name(table: DataFrame, name: str = "name") -> dict[str, Criteria
 
     Criteria are settings, one plan each, so they live on the driver.
     """
+    rows = table.limit(MAX_CRITERIA + 1).collect()
+    if len(rows) > MAX_CRITERIA:
+        raise ValueError(f"more than {MAX_CRITERIA} criteria in one selection")
     found = {}
-    for row in table.collect():
+    for row in rows:
         values = row.asDict(recursive=True)
         own_name = values.pop(name)
         found[own_name] = parse_criteria(values)

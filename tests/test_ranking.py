@@ -54,3 +54,4 @@ def test_scratch_follows_the_session_setting(spark):
     if root:
         assert path.startswith(root)
     assert session.scratch_path(spark, "x") != path
+

@@ -123,3 +123,28 @@ def test_compare_selections(tables):
     assert (row.only_saved, row.only_fresh, row.differs) == (2, 0, True)
     assert not sel.compare_selections(saved, fewer, reference_rule=True).first().differs
     assert not sel.compare_selections(saved, saved).first().differs
+
+
+def test_marked_vocabulary_gives_the_same_selections(tables, spark):
+    twice = spark.createDataFrame([("run", "VERB"), ("run", "NOUN"), ("", "VERB")], "token string, pos string")
+    for lexicon in (tables.lexicon, twice):
+        own = TokenTables(tables.vocab, tables.merges, lexicon)
+        marked = own.marked(leaf=True, tags=True)
+        for one in (
+            {"type": "frequency", "leaf": True, "k": 5},
+            {"type": "synthetic", "pos": ["VERB", "NOUN"]},
+            {"type": "combined", "criteria": [{"criterion": "frequency", "leaf": True}, {"criterion": "synthetic", "pos": ["VERB"]}]},
+        ):
+            assert chosen(marked, one) == chosen(own, one)
+    plan = sel.select_many(tables, {"a": {"type": "frequency", "leaf": True}, "b": {"type": "frequency", "leaf": True, "k": 2}})
+    assert "Join" not in plan._jdf.queryExecution().toString()
+
+
+def test_marked_vocabulary_with_a_tagger(tables):
+    # The type hints of a tagger tell Spark that it works on whole columns.
+    def tag(tokens: pd.Series) -> pd.Series:
+        return tokens.str[:1]
+
+    hooked = TokenTables(tables.vocab, tagger=tag)
+    one = {"type": "synthetic", "pos": ["r", "7"]}
+    assert chosen(hooked.marked(False, True), one) == chosen(hooked, one) == ["run", "Ġrunning", "7"]
