@@ -1,4 +1,4 @@
-"""Joins of many rows to a table with unique keys, safe against hot keys."""
+"""Joins of many rows to a table of keys, safe against hot keys."""
 
 from __future__ import annotations
 
@@ -23,9 +23,13 @@ def fits_broadcast(df: DataFrame, *text_columns: str) -> bool:
     return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_CHARS
 
 
-def hot_keys(df: DataFrame, key: str) -> list:
-    """The keys that each hold a large share of the rows (at most HOT_SHARE)."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def count_keys(df: DataFrame, key: str) -> DataFrame:
+    """``(key, n)`` of the keys that are not null."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hot_keys(counts: DataFrame, key: str) -> list:
+    """Of counted keys, those with a large share of the rows (at most HOT_SHARE)."""
     total = counts.agg(F.sum("n").alias("total"))
     bar = F.greatest(total.scalar() / F.lit(HOT_SHARE), F.lit(2))
     return [row[0] for row in counts.where(F.col("n") >= bar).select(key).collect()]
@@ -37,19 +41,21 @@ def lookup(
     key: str,
     how: str = "left",
     small: bool | None = None,
+    counts: DataFrame | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``rows`` to ``table``, whose ``key`` is unique.
+    """Join ``rows`` to ``table`` on one key.
 
     A table of checked size is broadcast. Otherwise the rows of hot keys are
     spread over ``salts`` tasks, and only the hot keys' table rows are copied.
+    ``counts`` saves counting the keys of ``rows`` when that was done before.
     """
     if small is None:
         texts = [f.name for f in table.schema.fields if f.dataType.simpleString() == "string"]
         small = fits_broadcast(table, *texts)
     if small:
         return rows.join(F.broadcast(table), key, how)
-    hot = hot_keys(rows, key)
+    hot = hot_keys(count_keys(rows, key) if counts is None else counts, key)
     if not hot:
         return rows.join(table, key, how)
     is_hot = F.col(key).isin(hot)

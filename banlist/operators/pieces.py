@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from banlist.functions.arrays import let
 from banlist.functions.text import unwords, words
-from banlist.operators.lookup import fits_broadcast, lookup
+from banlist.operators.lookup import count_keys, fits_broadcast, lookup
 from banlist.session import write_table
 
 # Tokens up to this length are merged by array expressions inside the JVM.
@@ -22,9 +22,8 @@ ARRAY_MERGE_CHARS = 256
 def _rules(merges: DataFrame) -> DataFrame:
     """Merge rules by product, each marked ``safe`` or not.
 
-    A rule is safe when no rule of a better rank uses its product. Merging one
-    place of a safe rule can then never open a better merge, so all its places
-    in a token may be merged at once.
+    A rule is safe when no rule of a better rank uses its product: merging it
+    never opens a better merge. All rules of a learned table are safe.
     """
     unique = merges.groupBy("l", "r").agg(F.max("merge_rank").alias("merge_rank"))
     first_use = (
@@ -44,59 +43,46 @@ def _rules(merges: DataFrame) -> DataFrame:
     )
 
 
+def _applies(cuts: Column, p: Column) -> Column:
+    """Are a, b and c neighbours among the cuts?"""
+    at = F.array_position(cuts, p["b"]).cast("int")
+    return (F.get(cuts, at - 2) == p["a"]) & (F.get(cuts, at) == p["c"])
+
+
 def _merge_step(state: Column) -> Column:
-    """Merge the best rule's places once; drop the places that can no longer apply."""
+    """Merge the best place; drop the places that can no longer apply."""
     cuts, places = state["cuts"], state["places"]
 
-    def applies(p: Column) -> Column:
-        at = F.array_position(cuts, p["b"]).cast("int")
-        return (F.get(cuts, at - 2) == p["a"]) & (F.get(cuts, at) == p["c"])
-
-    def merge(live: Column) -> Column:
-        best = F.get(live, F.lit(0))
-        # Left to right, skipping places that overlap the one taken before.
-        taken = F.aggregate(
-            F.filter(live, lambda p: p["rank"] == best["rank"]),
-            F.struct(F.lit(-1).alias("end"), F.array().cast("array<int>").alias("gone")),
-            lambda acc, p: F.when(
-                p["a"] >= acc["end"],
-                F.struct(
-                    p["c"].alias("end"),
-                    F.array_append(acc["gone"], p["b"]).alias("gone"),
-                ),
-            ).otherwise(acc),
-        )["gone"]
-        gone = F.when(best["safe"], taken).otherwise(F.array(best["b"]))
-
-        def after(gone: Column) -> Column:
-            return F.struct(
-                F.array_except(cuts, gone).alias("cuts"),
-                F.filter(
-                    places,
-                    lambda p: ~F.arrays_overlap(F.array(p["a"], p["b"], p["c"]), gone),
-                ).alias("places"),
-                (state["depth"] + F.size(gone)).alias("depth"),
-            )
-
-        return F.when(F.size(live) > 0, let(gone, after)).otherwise(
-            F.struct(
-                cuts.alias("cuts"),
-                F.slice(places, 1, 0).alias("places"),
-                state["depth"].alias("depth"),
-            )
+    def merge(best: Column) -> Column:
+        gone = best["b"]
+        merged = F.struct(
+            F.array_remove(cuts, gone).alias("cuts"),
+            F.filter(
+                places, lambda p: (p["a"] != gone) & (p["b"] != gone) & (p["c"] != gone)
+            ).alias("places"),
         )
+        done = F.struct(cuts.alias("cuts"), F.slice(places, 1, 0).alias("places"))
+        return F.when(best.isNotNull(), merged).otherwise(done)
 
-    return let(F.filter(places, applies), merge)
+    return let(F.get(F.filter(places, lambda p: _applies(cuts, p)), F.lit(0)), merge)
 
 
 def _array_cuts(length: Column, places: Column) -> Column:
-    start = F.struct(
-        F.sequence(F.lit(0), length).alias("cuts"),
-        places.alias("places"),
-        F.lit(0).alias("depth"),
-    )
+    """Cut positions left in a token, by array expressions alone."""
+    whole = F.sequence(F.lit(0), length)
+
+    # Safe rules only: no merge opens a better one, so going through the
+    # places once, best rank first and left to right, is the greedy order.
+    def take(cuts: Column, p: Column) -> Column:
+        return F.when(_applies(cuts, p), F.array_remove(cuts, p["b"])).otherwise(cuts)
+
+    # Otherwise look for the best place anew after every merge.
+    start = F.struct(whole.alias("cuts"), places.alias("places"))
     rounds = F.slice(places, F.lit(1), F.greatest(length - 1, F.lit(0)))
-    return F.aggregate(rounds, start, lambda state, _: _merge_step(state))["cuts"]
+    stepwise = F.aggregate(rounds, start, lambda state, _: _merge_step(state))["cuts"]
+    return F.when(
+        F.forall(places, lambda p: p["safe"]), F.aggregate(places, whole, take)
+    ).otherwise(stepwise)
 
 
 def _heap_cuts(length: Column, places: Column) -> Column:
@@ -265,14 +251,12 @@ def encode(
     Each distinct word is decomposed once, however often it occurs.
     """
     occurrences = texts.select(key, F.posexplode_outer(words(text)).alias("at", "token"))
-    distinct = write_table(
-        occurrences.where(F.col("token").isNotNull()).select("token").distinct(), "words"
-    )
+    distinct = write_table(count_keys(occurrences, "token"), "words")
     ids = vocab.select("token", "token_id")
     word_ids = write_table(
         _piece_ids(distinct, ids, merges, unknown_id, fits_broadcast(ids, "token")), "word-ids"
     )
-    return _gather(lookup(occurrences, word_ids, "token"), key)
+    return _gather(lookup(occurrences, word_ids, "token", counts=distinct), key)
 
 
 def encode_words(texts: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:

@@ -46,6 +46,24 @@ def test_decompose_equals_brute_force(spark, monkeypatch, seed, form):
         assert got[token] == greedy_pieces(token, ranks), token
 
 
+@pytest.mark.parametrize("chars", [256, 4])
+def test_rules_in_learned_order(spark, chars):
+    """Every rule comes after the rules that make its parts: all are safe."""
+    rng = random.Random(11)
+    known, rules = ["a", "b", "c"], []
+    while len(rules) < 40:
+        pair = (rng.choice(known), rng.choice(known))
+        if pair not in rules and "".join(pair) not in known:
+            rules.append(pair)
+            known.append("".join(pair))
+    ranks = {pair: i for i, pair in enumerate(rules)}
+    tokens = _random_tokens(rng, 200)
+    merges = spark.createDataFrame([(*p, i) for p, i in ranks.items()], "l string, r string, merge_rank long")
+    table = spark.createDataFrame([(t,) for t in tokens], "token string")
+    got = {r.token: (list(r.pieces), r.depth) for r in decompose(table, merges, chars).collect()}
+    assert got == {t: greedy_pieces(t, ranks) for t in tokens}
+
+
 def test_long_tokens_and_wide_characters(spark):
     rules = [("-", "-"), ("--", "--"), ("----", "----"), ("é", "😀"), ("😀", "-")]
     ranks = {pair: i for i, pair in enumerate(rules)}

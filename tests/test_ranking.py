@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from banlist import session
 from banlist.operators import lookup, ranking
-from banlist.operators.lookup import hot_keys
+from banlist.operators.lookup import count_keys, hot_keys
 from banlist.operators.ranking import first_k, with_index
 
 
@@ -44,7 +44,7 @@ def test_salted_lookup(spark, monkeypatch, how):
     plain = sorted(map(tuple, rows.join(table, "k", how).select("id", "k", "v").collect()), key=str)
     salted = lookup.lookup(rows, table, "k", how, small=False).select("id", "k", "v")
     assert sorted(map(tuple, salted.collect()), key=str) == plain
-    assert hot_keys(rows, "k") == [1]
+    assert hot_keys(count_keys(rows, "k"), "k") == [1]
 
 
 def test_scratch_follows_the_session_setting(spark):
@@ -55,3 +55,40 @@ def test_scratch_follows_the_session_setting(spark):
         assert path.startswith(root)
     assert session.scratch_path(spark, "x") != path
 
+
+
+def test_a_hot_key_is_spread_over_the_tasks(spark):
+    rows = spark.range(40_000).select(
+        "id", F.when(F.col("id") % 10 > 0, 1).otherwise(F.col("id")).alias("k")
+    )
+    table = spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = lookup.lookup(rows, table, "k", small=False)
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    # 90 % of the rows share one key; without salting one task would hold them.
+    assert sum(r["count"] for r in sizes) == 40_000
+    assert max(r["count"] for r in sizes) < 14_000
+
+
+def test_one_long_conversation(spark, tmp_path):
+    """One conversation holds nearly all turns; pairs and numbers stay whole."""
+    from banlist.plans import fixtures
+
+    turns = spark.range(3000).select(
+        F.when(F.col("id") < 2900, 7).otherwise(F.col("id")).alias("conv_id"),
+        F.when(F.col("id") < 2900, F.col("id")).otherwise(0).alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"),
+    )
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    pairs = fixtures.qa(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [(p.idx, p.question, p.body) for p in pairs] == [
+        (i, f"t{2 * i}", f"t{2 * i + 1}") for i in range(1450)
+    ]
