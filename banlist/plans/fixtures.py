@@ -13,7 +13,7 @@ from banlist.functions.text import strip_space_marker, words
 from banlist.operators.pieces import encode_words, merge_depth
 from banlist.operators.ranking import with_index
 from banlist.operators.selection import TokenTables
-from banlist.session import shared_table, write_table
+from banlist.session import shared_table, spread, write_table
 from banlist.sources.vocab import bare_counts, build_vocabulary, prefix_merges
 
 SPECIAL_TOKENS = ["<|endoftext|>", "|||EMAIL_ADDRESS|||"]
@@ -27,11 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_table(
         spark,
         (sf_dir, "vocab"),
-        lambda: build_vocabulary(table(spark, sf_dir, "documents"), "text", SPECIAL_TOKENS),
+        lambda: build_vocabulary(documents(spark, sf_dir, "text"), "text", SPECIAL_TOKENS),
     )
 
 
@@ -53,6 +57,12 @@ def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(token, pos)`` by bare token: word endings stand in for a tagger."""
+    return shared_table(
+        spark, (sf_dir, "lexicon"), lambda: write_table(_build_lexicon(spark, sf_dir), "lexicon")
+    )
+
+
+def _build_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = vocab(spark, sf_dir).select(strip_space_marker("token").alias("token")).distinct()
     t = F.col("token")
     return bare.where(t != "").withColumn(
@@ -72,6 +82,12 @@ def token_tables(spark: SparkSession, sf_dir: str) -> TokenTables:
 
 def banned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longer ones of the 400 most frequent bare words."""
+    return shared_table(
+        spark, (sf_dir, "banned"), lambda: write_table(_build_banned(spark, sf_dir), "banned")
+    )
+
+
+def _build_banned(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = bare_counts(vocab(spark, sf_dir))
     frequent = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(400)
     return frequent.where(F.length("token") >= 5).select("token")
@@ -167,6 +183,3 @@ def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_array(text: str):
     """Space-separated tokens of an output; newlines count as spaces."""
     return F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), " ", -1)
-
-
-__all__ = [name for name in dir() if not name.startswith("_")]

@@ -62,7 +62,7 @@ def src_gsm_head(spark, sf):
 )
 def src_criteria_json(spark, sf):
     # One criteria file per language: its five most frequent words.
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.documents(spark, sf, "lang", "text")
     counts = docs.select("lang", F.explode(words("text")).alias("token")).groupBy("lang", "token")
     best = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("token"))
     top = counts.agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(best))
@@ -129,7 +129,7 @@ def src_merges_json(spark, sf):
 @query("src_vocab", ["vocab"], "select token, cnt, token_id from vocab")
 def src_vocab(spark, sf):
     return vocab.build_vocabulary(
-        fx.table(spark, sf, "documents"), "text", fx.SPECIAL_TOKENS
+        fx.documents(spark, sf, "text"), "text", fx.SPECIAL_TOKENS
     )
 
 

@@ -58,7 +58,7 @@ def str_direct_correct(spark, sf):
     f"select doc_id, {has_banned('text')} as contains_taboo from documents",
 )
 def str_contains_taboo(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf, "doc_id", "text")
     flagged = flag_contained(docs, {"text": "contains_taboo"}, fx.banned(spark, sf), "doc_id")
     return flagged.select("doc_id", "contains_taboo")
 

@@ -57,6 +57,17 @@ def shared_table(
     return _SHARED[full_key]
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a file scan that has fewer splits than cores.
+
+    Such an input is small by definition (a split is a file block), so moving
+    it costs little; an input with enough splits is left as it is. Select the
+    needed columns first.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's written tables. DataFrames that read them
     cannot be used afterwards."""
