@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from banlist.functions import text
-from banlist.functions.fixed_values import JUDGE_HEAD, JUDGE_TAIL, QA_BEFORE_QUESTION, QA_HEAD, QA_TAIL, SYSTEM_MESSAGE
+from banlist.functions.fixed_values import (
+    JUDGE_HEAD,
+    JUDGE_TAIL,
+    QA_BEFORE_QUESTION,
+    QA_HEAD,
+    QA_TAIL,
+    SYSTEM_MESSAGE,
+)
 from banlist.operators import prompts, sampling
 from banlist.plans import fixtures as fx
 from banlist.plans.oracle_views import strip, text_literal
 from banlist.plans.registry import query
+from banlist.sources.questions import with_row_index
 
 K = fx.K_SHOT
 
@@ -132,8 +140,6 @@ def prm_judge(spark, sf):
 
 @query("win_index", ["qa"], "select idx, conv_id, turn from qa")
 def win_index(spark, sf):
-    from banlist.sources.questions import with_row_index
-
     pairs = fx.qa(spark, sf).drop("idx")
     return with_row_index(pairs, "conv_id", "turn").select("idx", "conv_id", "turn")
 

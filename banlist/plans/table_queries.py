@@ -11,7 +11,15 @@ from banlist.plans import fixtures as fx
 from banlist.plans.metric_queries import _answers, _result
 from banlist.plans.oracle_views import words as words_sql
 from banlist.plans.registry import query
-from banlist.plans.selection_queries import CRITERIA, CUSTOM, CUSTOM_WORDS, _ALL_VIEWS, _SQL, _SUMMARY_SQL, _uncut
+from banlist.plans.selection_queries import (
+    _ALL_VIEWS,
+    _SQL,
+    _SUMMARY_SQL,
+    CRITERIA,
+    CUSTOM,
+    CUSTOM_WORDS,
+    _uncut,
+)
 from banlist.session import scratch_path
 from banlist.sinks import tables as sinks
 from banlist.sources import criteria, merges, questions, runs, vocab
@@ -133,8 +141,6 @@ def src_vocab(spark, sf):
     )
 
 
-
-
 def _run_sizes(df):
     return df.select(
         "idx",
@@ -228,14 +234,12 @@ def snk_results(spark, sf):
 @query(
     "snk_reload_check",
     ["vocab"],
-    """with saved as (select token from vocab where replace(token, 'Ġ', '') in ('the', 'The', 'and', 'de', 'la', 'der')),
-      fresh as (select token from vocab where replace(token, 'Ġ', '') in ('the', 'The', 'and', 'de', 'in'))
-    select only_saved, only_fresh, only_saved > 0 or only_fresh > 0 as differs from (select
-      (select count(*) from (select token from saved except select token from fresh) a) as only_saved,
-      (select count(*) from (select token from fresh except select token from saved) b) as only_fresh) c""".replace(
-        "with saved as", "select * from (with saved as", 1
-    )
-    + ") q",
+    """select only_saved, only_fresh, only_saved > 0 or only_fresh > 0 as differs
+    from (select count(*) filter (saved and not fresh) as only_saved,
+            count(*) filter (fresh and not saved) as only_fresh
+          from (select replace(token, 'Ġ', '') in ('the', 'The', 'and', 'de', 'la', 'der') as saved,
+                  replace(token, 'Ġ', '') in ('the', 'The', 'and', 'de', 'in') as fresh
+                from vocab) t) c""",
 )
 def snk_reload_check(spark, sf):
     tables: TokenTables = fx.token_tables(spark, sf)
@@ -244,5 +248,3 @@ def snk_reload_check(spark, sf):
     saved = sinks.load_saved_tokens(tables, CUSTOM, "demo", path)
     changed = {"type": "custom", "tokens": CUSTOM_WORDS[:4] + ["in"]}
     return compare_selections(saved, select_custom(tables, changed))
-
-
