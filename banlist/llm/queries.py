@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("bpe", "exact_dedup", "sharding", "token_counts")
+_MODULES = ("bpe", "exact_dedup", "fingerprint", "packing", "sharding", "token_counts")
 
 
 def load_all() -> None:
