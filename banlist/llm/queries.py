@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("bpe", "exact_dedup", "fingerprint", "packing", "sharding", "token_counts")
+_MODULES = (
+    "bpe",
+    "chat_format",
+    "exact_dedup",
+    "fingerprint",
+    "packing",
+    "sharding",
+    "token_counts",
+    "toxicity",
+    "url_filter",
+)
 
 
 def load_all() -> None:
