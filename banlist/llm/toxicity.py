@@ -6,8 +6,8 @@
    the sample's labels single out. Each votes "toxic" or not on every text.
 3. A generative label model fits, by expectation maximisation over labelled and
    unlabelled rows, how often each voter fires on toxic and on other texts (its
-   accuracies), and how voters correlate given the label. Voters that say the
-   same share one vote's weight.
+   accuracies), and how voters correlate given the label. Correlated voters
+   that fire on the same text share their evidence.
 4. A linear classifier is trained on the label model's posteriors and scores
    every whole text in one pass without a shuffle.
 
@@ -34,9 +34,13 @@ ship(__name__)
 
 # Rows of the sample for each of: toxic, not toxic, without a label.
 SAMPLE_ROWS = 4_000
+MOST_CANDIDATES = 1_500
 MOST_VOTERS = 400
+# Voters wanted on each labelled toxic text.
+COVER = 3
 LEAST_TEXTS = 3
-LEAST_Z = 3.0
+LEAST_Z = 5.0
+LEAST_RATIO = 20.0
 CORRELATED = 0.2
 THRESHOLD = 0.3
 RIDGE = 0.05
@@ -114,25 +118,20 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS, key: str
     return write_table(noted, "toxic-sample")
 
 
-def choose_voters(noted: DataFrame, most: int = MOST_VOTERS) -> list[str]:
+def candidates(noted: DataFrame, most: int = MOST_CANDIDATES) -> list[str]:
     """The lexicon and patterns that occur, and the features that are much more
     frequent in toxic than in other labelled texts of the sample."""
     known = noted.where("label >= 0")
     n1, n0 = known.agg(F.sum(F.col("label")), F.sum(1 - F.col("label"))).first()
     given = [*LEXICON, *("~" + name for name in PATTERNS)]
     counts = noted.select("label", F.explode("features").alias("f")).groupBy("f").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum((F.col("label") == 1).cast("int")).alias("n1"),
-        F.sum((F.col("label") == 0).cast("int")).alias("n0"),
+        F.sum((F.col("label") == 1).cast("int")).alias("n1"), F.sum((F.col("label") == 0).cast("int")).alias("n0")
     )
     chosen = {r["f"] for r in counts.where(F.col("f").isin(given)).select("f").collect()}
     if n1 and n0:
-        p1, p0 = F.col("n1") / F.lit(n1), F.col("n0") / F.lit(n0)
-        p = (F.col("n1") + F.col("n0")) / F.lit(n1 + n0)
-        z = (p1 - p0) / F.sqrt(p * (1 - p) * F.lit(1 / n1 + 1 / n0) + F.lit(1e-12))
         mined = (
-            counts.withColumn("z", z)
-            .where((F.col("n1") >= LEAST_TEXTS) & (F.col("z") >= LEAST_Z) & (p1 >= 5 * p0))
+            counts.withColumn("z", _contrast(F.col("n1"), F.col("n0"), n1, n0))
+            .where((F.col("n1") >= LEAST_TEXTS) & (F.col("z") >= LEAST_Z))
             .orderBy(F.desc("z"), "f")
             .limit(most)
         )
@@ -140,18 +139,51 @@ def choose_voters(noted: DataFrame, most: int = MOST_VOTERS) -> list[str]:
     return sorted(chosen)
 
 
+def _contrast(n1, n0, all1: int, all0: int):
+    """Standard errors between two frequencies, for columns and for arrays."""
+    p = (n1 + n0) / (all1 + all0)
+    spread = p * (1 - p) * (1 / all1 + 1 / all0) + 1e-12
+    return (n1 / all1 - n0 / all0) / spread**0.5
+
+
+def choose_voters(votes: np.ndarray, labels: np.ndarray, given: np.ndarray, most: int = MOST_VOTERS) -> np.ndarray:
+    """The given candidates, and the others one by one: each time the one that
+    best separates the toxic texts that fewer than COVER voters have marked.
+
+    Words that toxic texts only share because they are copies of one text thus
+    stay out when more general voters mark these texts.
+    """
+    chosen = given.copy()
+    toxic, clean = votes[labels == 1], votes[labels == 0]
+    if len(toxic) and len(clean):
+        n0 = clean.sum(axis=0)
+        while chosen.sum() < most:
+            left = toxic[:, chosen].sum(axis=1) < COVER
+            n1 = toxic[left].sum(axis=0)
+            z = _contrast(n1, n0, len(toxic), len(clean))
+            z[chosen | (n1 < LEAST_TEXTS) | (n1 / len(toxic) < LEAST_RATIO * n0 / len(clean))] = 0
+            best = int(z.argmax())
+            if z[best] < LEAST_Z:
+                break
+            chosen[best] = True
+    return chosen
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 25) -> np.ndarray:
     """Posterior of "toxic" for each row of a 0/1 vote matrix.
 
     Labels are 0, 1 or -1 (unknown). Known rows enter the estimates with their
-    label, unknown ones with their posterior; the result is the model's own
-    posterior for all of them.
+    label, unknown ones with their posterior, and the result is that again: the
+    posterior given votes and, where there is one, the label. A voter that does
+    not fire abstains, for texts differ in language and subject and most voters
+    concern few of them; that no voter at all fires is a sign of its own.
     """
     n, m = votes.shape
     known = labels >= 0
     any_vote = votes.sum(axis=1)
+    none = (any_vote == 0).astype(float)
     q = np.where(known, labels, np.minimum(any_vote / 2, 0.9)).astype(float)
-    weight = np.ones(m)
+    shared = np.ones((n, m))
     for step in range(rounds):
         fixed = np.where(known, labels, q)
         w1, w0 = weights * fixed, weights * (1 - fixed)
@@ -167,12 +199,14 @@ def label_model(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, roun
             size = np.sqrt(np.maximum(np.diag(spread), 1e-9))
             correlation = spread / np.outer(size, size)
             np.fill_diagonal(correlation, 0)
-            weight = 1 / (1 + np.where(correlation > CORRELATED, correlation, 0).sum(axis=1))
-        on = weight * np.log(fire1 / fire0)
-        off = weight * np.log((1 - fire1) / (1 - fire0))
-        logit = np.log(prior / (1 - prior)) + votes @ on + (1 - votes) @ off
+            # Voters that fire together share their evidence; alone, each has all of its own.
+            shared = 1 + votes @ np.where(correlation > CORRELATED, correlation, 0)
+        silent1 = (w1 @ none + 1.0) / (w1.sum() + 2.0)
+        silent0 = (w0 @ none + 1.0) / (w0.sum() + 2.0)
+        logit = np.log(prior / (1 - prior)) + (votes / shared) @ np.log(fire1 / fire0)
+        logit += none * np.log(silent1 / silent0)
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return q
+    return np.where(known, labels, q)
 
 
 def fit_linear(votes: np.ndarray, targets: np.ndarray, weights: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -210,18 +244,21 @@ def fit(
     """The classifier's weights by feature, and its bias. Without any labelled
     toxic row only the lexicon and patterns vote; with no rows the bias says "clean"."""
     noted = sample(docs, labels, size, key, text)
-    voters = choose_voters(noted)
+    voters = candidates(noted)
     place = F.create_map(*[F.lit(x) for pair in zip(voters, range(len(voters))) for x in pair]) if voters else None
     if place is None:
         return {}, -5.0
     hits = noted.select(
         "label", "weight", F.transform(F.filter("features", lambda f: f.isin(voters)), lambda f: place[f]).alias("hits")
     ).collect()
-    votes = np.zeros((len(hits), len(voters)))
+    votes = np.zeros((len(hits), len(voters)), np.float32)
     for k, row in enumerate(hits):
         votes[k, row["hits"]] = 1
     given = np.array([r["label"] for r in hits])
     weights = np.array([r["weight"] for r in hits])
+    general = np.array([v in LEXICON or v[0] == "~" for v in voters])
+    chosen = choose_voters(votes, given, general)
+    votes, voters = votes[:, chosen], [v for v, c in zip(voters, chosen) if c]
     posterior = label_model(votes, given, weights)
     beta = fit_linear(votes, posterior, weights)
     return dict(zip(voters, beta[:-1].tolist())), float(beta[-1])
