@@ -9,6 +9,7 @@ _MODULES = (
     "chat_format",
     "exact_dedup",
     "fingerprint",
+    "near_dedup",
     "packing",
     "sharding",
     "token_counts",
