@@ -132,7 +132,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
     small = sorted(n for n in left if 3 * n <= capacity)
     opened: list[tuple[int, list[tuple[int, int]], int]] = []  # gap, items, bins
 
-    # 1. Partners for large items; `below` walks down the lengths that can be one.
+    # 1. Partners for large items.
     for n in large:
         while left[n]:
             room = capacity - n
@@ -217,11 +217,13 @@ def slot_rows(plan: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int,
 def ranked(rows: DataFrame, by: str, order: list[str], name: str = "rank") -> DataFrame:
     """Number the rows of each value of ``by`` from 0, however many there are.
 
-    Rows of a value are dealt to blocks by a hash of their order columns;
-    blocks are counted, and a row's number is its block's start plus its place.
+    ``rows`` must be a written table. Its rows are dealt to blocks by their
+    numbers in the scan, so rows that are alike in all columns are dealt out
+    too; blocks are counted, and a row's number is its block's start plus its
+    place in the block.
     """
     blocks = max(RANK_BLOCKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    block = F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
     dealt = rows.withColumn("__block", block)
     sizes = dealt.groupBy(by, "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
@@ -258,7 +260,7 @@ def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFr
         numbered.withColumn("own", own)
         .withColumn("sequence_id", F.expr("own.sequence + (rank - own.first) div own.each"))
         .withColumn("offset", F.col("own.offset") + inside % F.col("own.each") * F.col("length"))
-        .drop("own", "rank", "stretches")
+        .select(*stored.columns, "sequence_id", "offset")
     )
 
 
