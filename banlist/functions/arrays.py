@@ -28,13 +28,13 @@ def drop_prompt(ids: Column | str, prompt_ids: Column | str) -> Column:
 def drop_banned(tokens: Column | str, banned: Sequence[str]) -> Column:
     """The tokens left when every banned one is removed.
 
-    Meant for lists that fit a literal (a hash set at run time); see
+    A null array stays null and a null element stays. Meant for lists that fit a literal (a hash set at run time); see
     ``operators.scrub`` for lists held in a table.
     """
     banned = list(banned)
     if not banned:
         return _col(tokens)
-    return F.filter(_col(tokens), lambda t: ~t.isin(banned))
+    return F.filter(_col(tokens), lambda t: F.coalesce(~t.isin(banned), F.lit(True)))
 
 
 def first_marker_position(tokens: Column | str, markers: Sequence[str] = STOP_MARKERS) -> Column:

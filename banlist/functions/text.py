@@ -6,7 +6,9 @@ same on batch and on streaming DataFrames.
 
 from __future__ import annotations
 
-import re
+import functools
+import sys
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ from banlist.functions.fixed_values import (
     SPACE_MARKER,
     WHITESPACE,
 )
+from banlist.functions.patterns import java_regex
 
 
 def _col(value: Column | str) -> Column:
@@ -45,23 +48,13 @@ def remove_space_marker(token: Column | str) -> Column:
     return F.replace(_col(token), F.lit(SPACE_MARKER), F.lit(""))
 
 
-def java_regex(pattern: str) -> str:
-    """Spell a Python pattern so that Java's engine reads it the same way.
-
-    Unicode classes, and only a newline counts as a line end.
-    """
-    pattern = pattern.replace("(?P<", "(?<").replace("\\Z", "\\z")
-    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
-    return "(?Ud)" + pattern
-
-
 def regex_search(text: Column | str, pattern: str) -> Column:
     return _col(text).rlike(java_regex(pattern))
 
 
 def regex_match_start(text: Column | str, pattern: str) -> Column:
     """True where the pattern matches from the first character on."""
-    return _col(text).rlike(java_regex(rf"\A(?:{pattern})"))
+    return _col(text).rlike(rf"\A(?:{java_regex(pattern)})")
 
 
 def _after_last_marker(text: Column) -> Column:
@@ -94,18 +87,31 @@ def marked_answer(text: Column | str) -> Column:
     ).otherwise(F.lit(NO_ANSWER))
 
 
+@functools.cache
+def _digits() -> tuple[str, str]:
+    """Every script's decimal digits, and their ASCII counterparts."""
+    signs = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isdecimal()]
+    return "".join(signs), "".join(str(unicodedata.decimal(c)) for c in signs)
+
+
 def parse_int(text: Column | str) -> Column:
-    """The whole number a text spells, else null.
+    """The whole number a text spells, as canonical decimal text, else null.
 
     Sign, outer white space, single underscores between digits and any
-    script's digits are accepted. More than 38 digits give null.
+    script's digits are accepted, at any length. Equal numbers have equal
+    texts: ASCII digits without leading zeros, a minus only before non-zero.
     """
     bare = F.trim(_col(text), F.lit(NUMBER_WHITESPACE))
-    digits = F.replace(bare, F.lit("_"), F.lit(""))
-    return F.when(bare.rlike(INTEGER), digits.try_cast("decimal(38,0)"))
+    plain = F.replace(bare, F.lit("_"), F.lit(""))
+    plain = F.when(plain.rlike("[^0-9+-]"), F.translate(plain, *_digits())).otherwise(plain)
+    core = F.ltrim(F.ltrim(plain, F.lit("+-")), F.lit("0"))
+    sign = F.when(F.startswith(plain, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    number = F.when(core == "", F.lit("0")).otherwise(F.concat(sign, core))
+    return F.when(bare.rlike(INTEGER), number)
 
 
 def number_matches(output: Column | str, truth: Column | str) -> Column:
+    """Whether two numbers from ``parse_int`` are equal; a missing one never is."""
     return F.coalesce(_col(truth) == _col(output), F.lit(False))
 
 

@@ -73,7 +73,30 @@ def contains_any(text: Column, needles: list[str]) -> Column:
         return F.when(text.isNotNull(), F.lit(False))
     if "" in needles:  # a token without characters is part of every text
         return F.when(text.isNotNull(), F.lit(True))
-    return text.rlike(any_of_pattern(needles))
+    return any_true([text.rlike(any_of_pattern(part)) for part in _pattern_parts(needles)] + [
+        F.contains(text, F.lit(n)) for n in needles if len(n) > PATTERN_DEPTH
+    ])
+
+
+def any_true(tests: list[Column]) -> Column:
+    found = tests[0]
+    for test in tests[1:]:
+        found = found | test
+    return found
+
+
+def _pattern_parts(needles: list[str]) -> list[list[str]]:
+    """Neighbours in order, so that beginnings are still shared, in parts that
+    each keep the bounds of one pattern."""
+    parts: list[list[str]] = []
+    chars = 0
+    for needle in sorted(n for n in needles if len(n) <= PATTERN_DEPTH):
+        if not parts or len(parts[-1]) >= PATTERN_TOKENS or chars + len(needle) > PATTERN_CHARS:
+            parts.append([])
+            chars = 0
+        parts[-1].append(needle)
+        chars += len(needle)
+    return parts
 
 
 def _cut_chunks(numbered: DataFrame, longest: int) -> DataFrame:
@@ -162,9 +185,7 @@ def flag_contained(
         F.count_if(F.col("needle") == ""),
     ).first()
     fits = n <= PATTERN_TOKENS and chars <= PATTERN_CHARS and longest <= PATTERN_DEPTH
-    if method == "pattern" and not fits:
-        raise ValueError("the token list is too long for a pattern")
-    if empties or (fits and method != "join"):
+    if empties or method == "pattern" or (fits and method != "join"):
         listed = [""] if empties else [r[0] for r in needles.collect()]
         return df.withColumns(
             {

@@ -38,9 +38,10 @@ def marked_answer(x: str) -> str:
 
 def parse_int(x: str) -> str:
     bare = f"trim({x}, {_NUMBER_WS})"
+    core = f"ltrim(ltrim(replace({bare}, '_', ''), '+-'), '0')"
     return (
-        f"case when regexp_full_match({bare}, '[+-]?\\p{{Nd}}+(_\\p{{Nd}}+)*') "
-        f"then try_cast(replace({bare}, '_', '') as hugeint) end"
+        f"case when regexp_full_match({bare}, '[+-]?\\p{{Nd}}+(_\\p{{Nd}}+)*') then "
+        f"case when {core} = '' then '0' when starts_with({bare}, '-') then '-' || {core} else {core} end end"
     )
 
 

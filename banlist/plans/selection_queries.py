@@ -131,7 +131,7 @@ def sel_lstrip_marker(spark, sf):
 @query(
     "join_leaf_anti",
     ["vocab", "components"],
-    f"select token, token_id from vocab where {LEAF}",
+    f"select token, token_id from vocab where {LEAF} order by token_id",
 )
 def join_leaf_anti(spark, sf):
     return sel.leaf_tokens(_tables(spark, sf).tokens, fx.merges(spark, sf))
@@ -145,7 +145,7 @@ def top_frequency(spark, sf):
 @query(
     "top_frequency_all",
     ["vocab", "components"],
-    f"select token, token_id from vocab where {LEAF} and {_KEEP}",
+    f"select token, token_id from vocab where {LEAF} and {_KEEP} order by token_id",
 )
 def top_frequency_all(spark, sf):
     tables = _tables(spark, sf)

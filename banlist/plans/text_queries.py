@@ -8,7 +8,7 @@ from banlist.functions import arrays, text
 from banlist.functions.fixed_values import STOP_MARKERS
 from banlist.operators.containment import flag_contained, keep_containing
 from banlist.operators.metrics import attach_verdicts
-from banlist.operators.scrub import drop_banned_by_table
+from banlist.operators.scrub import drop_banned_by_table, drop_banned_until_marker_by_table
 from banlist.plans import fixtures as fx
 from banlist.plans.oracle_views import (
     final_answer,
@@ -91,11 +91,15 @@ def str_gsm_answer(spark, sf):
 @query(
     "num_parse_int",
     ["vocab"],
-    f"select token_id, token, cast({parse_int('token')} as varchar) as number from vocab",
+    f"""select token_id, token, {parse_int('token')} as number,
+      {parse_int("repeat(token, 45)")} as long_number from vocab""",
 )
 def num_parse_int(spark, sf):
     return fx.vocab(spark, sf).select(
-        "token_id", "token", text.parse_int("token").cast("string").alias("number")
+        "token_id",
+        "token",
+        text.parse_int("token").alias("number"),
+        text.parse_int(F.repeat("token", F.lit(45))).alias("long_number"),
     )
 
 
@@ -103,7 +107,9 @@ def num_parse_int(spark, sf):
     "num_is_correct",
     ["scored"],
     """select idx, coalesce(gt_answer = normal_int, false) as normal_correct,
-      coalesce(gt_answer = taboo_int, false) as taboo_correct from scored""",
+      coalesce(gt_answer = taboo_int, false) as taboo_correct,
+      coalesce(gt_answer || repeat('0', 40) = normal_int || repeat('0', 40), false) as long_correct
+    from scored""",
 )
 def num_is_correct(spark, sf):
     numbers = fx.runs(spark, sf).select(
@@ -121,9 +127,15 @@ def num_is_correct(spark, sf):
         "idx",
         text.number_matches("normal", "truth").alias("normal_correct"),
         text.number_matches("taboo", "truth").alias("taboo_correct"),
+        text.number_matches(_longer("normal"), _longer("truth")).alias("long_correct"),
     )
 
 
+def _longer(number):
+    """A number of over forty digits that is equal when the number is."""
+    return text.parse_int(F.concat(number, F.lit("0" * 40)))
+
+
 @query(
     "str_judge_verdict",
     ["judge"],
@@ -216,11 +228,9 @@ def arr_ban_tokens(spark, sf):
     group by idx""",
 )
 def arr_ban_until_marker(spark, sf):
-    banned = [row[0] for row in fx.banned(spark, sf).collect()]
-    tokens = fx.token_array("free_output")
-    kept = arrays.drop_banned_until_marker(F.col("tokens"), banned)
-    outputs = fx.runs(spark, sf).select("idx", tokens.alias("tokens"))
-    return outputs.select("idx", F.array_join(kept, " ").alias("kept"))
+    outputs = fx.runs(spark, sf).select("idx", fx.token_array("free_output").alias("tokens"))
+    kept = drop_banned_until_marker_by_table(outputs, "idx", "tokens", fx.banned(spark, sf))
+    return kept.select("idx", F.array_join("kept", " ").alias("kept"))
 
 
 @query(

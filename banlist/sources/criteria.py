@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 from banlist.operators.selection import Criteria, parse_criteria
 
-MAX_CRITERIA = 1_000
-
 _TEXTS = T.ArrayType(T.StringType())
 _OWN_FIELDS = [
     T.StructField("source", T.StringType()),
@@ -32,7 +30,7 @@ CRITERIA_SCHEMA = T.StructType(
 
 
 def read_criteria(spark: SparkSession, path: str) -> DataFrame:
-    """One row per criteria file below a folder, named after the file.
+    """One row per criteria file below a folder, named by its path from there.
 
     Bad JSON fails the read.
     """
@@ -43,21 +41,32 @@ def read_criteria(spark: SparkSession, path: str) -> DataFrame:
         .option("recursiveFileLookup", True)
         .json(path)
     )
-    file_name = F.col("_metadata.file_name")
-    return raw.select(F.regexp_replace(file_name, r"\.json$", "").alias("name"), "*")
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root)
+
+    def plain(uri):
+        return F.regexp_replace(uri, "^([A-Za-z0-9+.-]+:)/+", "$1/")
+
+    whole = plain(F.col("_metadata.file_path"))
+    start = plain(F.lit(root.toUri().toString().rstrip("/")))
+    below = F.when(whole == start, F.col("_metadata.file_name")).otherwise(
+        F.url_decode(F.replace(F.substring(whole, F.length(start) + 2, F.length(whole)), F.lit("+"), F.lit("%2B")))
+    )
+    return raw.select(F.regexp_replace(below, r"\.json$", "").alias("name"), "*")
 
 
 def criteria_by_name(table: DataFrame, name: str = "name") -> dict[str, Criteria]:
     """The criteria of a table, ready to plan selections with.
 
-    Criteria are settings, one plan each, so they live on the driver.
+    Criteria are settings, a few lines each, so they live on the driver. Two of
+    one name are an error.
     """
-    rows = table.limit(MAX_CRITERIA + 1).collect()
-    if len(rows) > MAX_CRITERIA:
-        raise ValueError(f"more than {MAX_CRITERIA} criteria in one selection")
     found = {}
-    for row in rows:
+    for row in table.toLocalIterator():
         values = row.asDict(recursive=True)
         own_name = values.pop(name)
+        if own_name in found:
+            raise ValueError(f"two criteria are named {own_name!r}")
         found[own_name] = parse_criteria(values)
     return found

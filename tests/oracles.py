@@ -1,37 +1,7 @@
-"""Small plain-Python oracles for the semantics under test."""
+"""A small plain-Python oracle for greedy merging."""
 
 from __future__ import annotations
 
-import re
-
-
-def final_answer(text: str) -> str:
-    head, mark, _ = text.partition("####")
-    if mark:
-        return text.split("####").pop().strip()
-    seen = ""
-    for line in text.splitlines():
-        seen = line.strip() or seen
-    return seen
-
-
-def marked_answer(text: str) -> str:
-    if text.find("####") < 0:
-        return "[NULL]"
-    return re.split("####", re.split("Question", text)[0])[-1]
-
-
-def whole_number(text: str):
-    try:
-        return int(text)
-    except ValueError:
-        return None
-
-
-def holds_any(text: str, tokens) -> bool:
-    text = text.lower().strip()
-    return any(text.find(t.lower().strip()) >= 0 for t in tokens)
-
 
 def greedy_pieces(token: str, ranks: dict[tuple[str, str], int]):
     """Repeat: join the adjacent pair with the least (rank, place)."""

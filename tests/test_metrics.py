@@ -67,6 +67,7 @@ ARRAYS = [
     (2, []),
     (3, None),
     (4, ["x", "Answer:"]),
+    (5, ["b", None, "a", "####", None, "b"]),
 ]
 
 
@@ -77,7 +78,15 @@ def test_drop_banned(spark, monkeypatch, literal):
     banned = spark.createDataFrame([("b",), ("b",), ("q",)], "token string")
     got = {r.id: r.kept for r in scrub.drop_banned_by_table(df, "id", "tokens", banned).collect()}
     assert got[0] == ["a", "a", "####", "a"] and got[1] == [] and got[2] == []
-    assert got[4] == ["x", "Answer:"] and not got[3]
+    assert got[4] == ["x", "Answer:"] and got[3] is None
+    assert got[5] == [None, "a", "####", None]
+    none = banned.limit(0)
+    untouched = {r.id: r.kept for r in scrub.drop_banned_by_table(df, "id", "tokens", none).collect()}
+    assert untouched == dict(ARRAYS)
+    cut = scrub.drop_banned_until_marker_by_table(df, "id", "tokens", banned)
+    got = {r.id: r.kept for r in cut.collect()}
+    assert got[0] == ["a", "a", "####", "b", "a"] and got[1] == [] and got[2] == []
+    assert got[3] is None and got[5] == [None, "a", "####", None, "b"]
 
 
 def test_marker_arrays(spark):

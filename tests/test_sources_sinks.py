@@ -41,8 +41,8 @@ def test_criteria_files(spark, tmp_path):
         '{"type": "custom", "tokens": ["x"], "exclude_regexes": []}'
     )
     got = criteria.criteria_by_name(criteria.read_criteria(spark, str(tmp_path)))
-    assert set(got) == {"digits", "words"}
-    assert got["words"] == {"type": "custom", "tokens": ["x"], "exclude_regexes": []}
+    assert set(got) == {"digits", "a/words"}
+    assert got["a/words"] == {"type": "custom", "tokens": ["x"], "exclude_regexes": []}
     assert got["digits"]["k"] == 3 and got["digits"]["criteria"][1]["pattern"] == "\\d"
     tokens = spark.createDataFrame([("x1", 0), ("x", 1), ("2", 2)], "token string, token_id long")
     rules = spark.createDataFrame([("2", "x", 0)], "l string, r string, merge_rank long")
@@ -50,6 +50,16 @@ def test_criteria_files(spark, tmp_path):
     assert [r.token for r in picked] == ["x1"]
 
 
+def test_criteria_of_one_file_name(spark, tmp_path):
+    for folder in ("a", "b c+d"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.json").write_text('{"type": "custom", "tokens": ["%s"]}' % folder)
+    table = criteria.read_criteria(spark, str(tmp_path))
+    assert set(criteria.criteria_by_name(table)) == {"a/same", "b c+d/same"}
+    with pytest.raises(ValueError):
+        criteria.criteria_by_name(table.unionByName(table))
+
+
 def test_bad_criteria_file_fails(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"type": "custom", ')
     with pytest.raises(Exception):
