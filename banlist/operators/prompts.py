@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from banlist.functions.fixed_values import (
     BLOCK_SEPARATOR,
@@ -110,7 +111,7 @@ def kshot_prompts(
     examples = pool.select(
         F.col(key).alias("__pool"), F.concat(own, F.lit(sep)).alias("example")
     )
-    drawn = sample_per_row(rows.select(key), examples, k, key, seed)
+    drawn = sample_per_row(rows.select(key), examples, k, key, seed, "__pool")
     heads = drawn.groupBy(key).agg(
         F.array_join(
             F.sort_array(F.collect_list(F.struct("draw", "example")))["example"], ""
@@ -158,20 +159,27 @@ def _running_blocks(rows: DataFrame, last: int, block: int) -> DataFrame:
 
 
 def running_chat(
-    rows: DataFrame, examples: DataFrame, idx: str = "idx", block: int = RUNNING_BLOCK, **options
+    rows: DataFrame,
+    examples: DataFrame,
+    idx: str = "idx",
+    block: int = RUNNING_BLOCK,
+    by: str | None = None,
+    **options,
 ) -> DataFrame:
     """``(idx, messages)``: chat prompts that carry every earlier question too.
 
     This is what appending to one shared message does. Without examples the
-    questions are appended to the system message.
+    questions are appended to the system message. ``by`` names the run a row
+    belongs to; texts then accumulate inside each run, else over all rows.
     """
-    line = rows.select(
-        idx,
-        F.concat(
-            F.lit("Question: "), text_or_empty(rows, "question"), F.lit("\n")
-        ).alias("line"),
-    )
-    joined = running_text(line, idx, "line", "tail", block)
+    line = F.concat(F.lit("Question: "), text_or_empty(rows, "question"), F.lit("\n"))
+    if by is None:
+        joined = running_text(rows.select(idx, line.alias("line")), idx, "line", "tail", block)
+    else:
+        earlier = Window.partitionBy(by).orderBy(idx)
+        joined = rows.select(idx, by, line.alias("line")).select(
+            idx, F.array_join(F.collect_list("line").over(earlier), "").alias("tail")
+        )
     return _append_to_last(joined, few_shot_chat(examples, idx=idx, **options), idx)
 
 

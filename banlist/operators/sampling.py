@@ -65,16 +65,23 @@ def distinct_positions(k: int, size: int, seed: int, key: str) -> Column:
 
 
 def sample_per_row(
-    rows: DataFrame, pool: DataFrame, k: int, key: str = "idx", seed: int = SAMPLE_SEED
+    rows: DataFrame,
+    pool: DataFrame,
+    k: int,
+    key: str = "idx",
+    seed: int = SAMPLE_SEED,
+    pool_key: str = "pool_idx",
 ) -> DataFrame:
     """``(key, draw, pool columns)``: an own k-sample of the pool for every row.
 
     Each row draws k positions and meets only those pool rows, by equi-join on
-    the position; the draws spread evenly over the pool.
+    the position; the draws spread evenly over the pool. Positions follow the
+    order of ``pool_key``, and only the keys are numbered, not the pool's texts.
     """
-    numbered = with_index(pool, pool.columns, "__position")
+    numbered = with_index(pool.select(pool_key), [pool_key], "__position")
     size = numbered.count()
     drawn = rows.select(
         key, F.posexplode(distinct_positions(k, size, seed, key)).alias("draw", "__position")
     )
-    return drawn.join(numbered, "__position").drop("__position")
+    placed = drawn.join(numbered, "__position").drop("__position")
+    return placed.join(pool, pool_key).select(key, "draw", *pool.columns)

@@ -23,7 +23,7 @@ from banlist.functions.text import (
     remove_space_marker,
     strip_space_marker,
 )
-from banlist.operators.ranking import first_k
+from banlist.operators.ranking import first_k, with_index
 from banlist.session import write_table
 
 # Lists up to this length stay in the plan as a hash set; longer ones are joined.
@@ -290,31 +290,163 @@ def list_order(criteria: str | Criteria) -> list[Column]:
 def with_shared_marks(
     tables: TokenTables, criteria: Mapping[str, str | Criteria]
 ) -> TokenTables:
-    """Mark the vocabulary once when several criteria ask for leaves or tags."""
+    """Mark the vocabulary once with what the criteria ask for: leaves and tags."""
     parsed = [parse_criteria(one) for one in criteria.values()]
     single = [part for one in parsed for part in (one, *one.get("criteria", []))]
     columns = tables.vocab.columns
-    leaf = _IS_LEAF not in columns and sum(bool(part.get("leaf")) for part in single) > 1
-    tags = _TAGS not in columns and sum(bool(part.get("pos")) for part in single) > 1
+    leaf = _IS_LEAF not in columns and any(part.get("leaf") for part in single)
+    tags = _TAGS not in columns and any(part.get("pos") for part in single)
     return tables.marked(leaf, tags) if leaf or tags else tables
 
 
-def select_many(tables: TokenTables, criteria: Mapping[str, str | Criteria]) -> DataFrame:
-    """``(criteria, token, token_id)`` for a whole set of named criteria."""
+@dataclass(frozen=True)
+class _Filter:
+    """A criterion as a condition on a marked token, with an optional cut.
+
+    The cut takes the first k that meet ``found`` by falling or rising id;
+    ``kept`` is asked of those that are left.
+    """
+
+    found: Column
+    kept: Column
+    descending: bool = False
+    k: int | None = None
+
+
+def _leaf_condition(tables: TokenTables) -> Column:
+    _require(tables.merges, "merge rules")
+    return F.col(_IS_LEAF)
+
+
+def _tag_condition(tables: TokenTables, pos: Sequence[str]) -> Column:
+    if not pos:
+        return F.lit(False)
+    if tables.tagger is None:
+        _require(tables.lexicon, "a lexicon or a tagger")
+    wanted = F.array(*[F.lit(p) for p in pos])
+    found = F.coalesce(F.arrays_overlap(_TAGS, wanted), F.lit(False))
+    return (strip_space_marker("token") != "") & found
+
+
+def _listed_condition(value: Column, values: Sequence[str]) -> Column | None:
+    values = sorted(set(values))
+    return value.isin(values) if len(values) <= _LITERAL_VALUES else None
+
+
+def _as_filter(tables: TokenTables, one: Criteria) -> _Filter | None:
+    """The criterion as a filter of the marked vocabulary, if it is one."""
+    kind, always = one.get("type"), F.lit(True)
+    patterns = one.get("exclude_regexes")
+    if kind == "frequency":
+        found = _leaf_condition(tables) if one.get("leaf", False) else always
+        order = _descending(one.get("order", fixed.DEFAULT_ORDER))
+        return _Filter(found, not_excluded(patterns), order, one.get("k"))
+    if kind == "synthetic":
+        found = _tag_condition(tables, one.get("pos", []))
+        return _Filter(found & not_excluded(patterns), always)
+    if kind == "custom":
+        found = _listed_condition(remove_space_marker("token"), one.get("tokens", []))
+        return None if found is None else _Filter(found & not_excluded(patterns), always)
+    if kind == "regex":
+        if not one.get("pattern"):
+            return _Filter(F.lit(False), always)
+        found = regex_search("token", one["pattern"]) & not_excluded(patterns)
+        return _Filter(found, always, False, one.get("k"))
+    if kind != "combined":
+        raise ValueError("Invalid selection type.")
+    found = F.lit(bool(one.get("criteria")))
+    for sub in map(parse_criteria, one.get("criteria") or []):
+        part = always
+        if sub.get("criterion") == "frequency":
+            part = _leaf_condition(tables) if sub.get("leaf", False) else always
+            part = part & not_excluded(patterns) if sub.get("order") else part
+        elif sub.get("criterion") == "synthetic":
+            part = _tag_condition(tables, sub.get("pos", []))
+        elif sub.get("criterion") == "custom":
+            part = _listed_condition(F.col("token"), sub.get("tokens", []))
+        elif sub.get("criterion") == "regex" and not sub.get("pattern"):
+            part = F.lit(False)
+        elif sub.get("criterion") == "regex":
+            # A cut inside a combination is a selection of its own.
+            cut = sub.get("k") is not None
+            part = None if cut else regex_search("token", sub["pattern"]) & not_excluded(patterns)
+        else:
+            part = F.lit(False)
+        if part is None:
+            return None
+        found = found & part
+    return _Filter(found, always, True, one.get("k"))
+
+
+def selected_rows(tables: TokenTables, criteria: Mapping[str, str | Criteria]) -> DataFrame:
+    """``(criteria, token, token_id, within)`` for a whole set of named criteria.
+
+    One scan of the marked vocabulary asks every criterion, and one numbering
+    of the rows found makes all cuts to k. ``within`` is false for what a
+    combined criterion finds beyond its cut, which its summary counts. Criteria
+    with very long lists, or with a cut inside, are selected on their own.
+    """
     if not criteria:
         raise ValueError("no criteria given")
     parsed = {name: parse_criteria(one) for name, one in criteria.items()}
     tables = with_shared_marks(tables, parsed)
-    parts = [
-        select_tokens(tables, one).select(F.lit(name).alias("criteria"), "token", "token_id")
-        for name, one in parsed.items()
-    ]
+    filters = {name: _as_filter(tables, one) for name, one in parsed.items()}
+    parts = [_selected_alone(tables, name, parsed[name]) for name, f in filters.items() if f is None]
+    shared = {name: f for name, f in filters.items() if f is not None}
+    if any(f.k is not None and f.k < 0 for f in shared.values()):
+        raise ValueError("k must not be negative")
+    if shared:
+        found = F.array(
+            *[
+                F.when(
+                    f.found if f.k is not None else f.found & f.kept,
+                    F.struct(
+                        F.lit(name).alias("criteria"),
+                        (-F.col("token_id") if f.descending else F.col("token_id")).alias("key"),
+                        f.kept.alias("kept"),
+                        F.lit(f.k is not None).alias("cut"),
+                    ),
+                )
+                for name, f in shared.items()
+            ]
+        )
+        rows = tables.tokens.select("token", "token_id", F.inline(F.filter(found, lambda x: x.isNotNull())))
+        parts.append(rows.where(~F.col("cut")).select("criteria", "token", "token_id", F.lit(True).alias("within")))
+        cuts = {name: f.k for name, f in shared.items() if f.k is not None}
+        if cuts:
+            combined = [name for name in cuts if parsed[name].get("type") == "combined"]
+            placed = with_index(rows.where("cut"), ["criteria", "key"], "__place")
+            starts = placed.groupBy("criteria").agg(F.min("__place").alias("__start"))
+            limits = tables.vocab.sparkSession.createDataFrame([*cuts.items()], "criteria string, __k long")
+            # As many rows as criteria.
+            limits = F.broadcast(starts.join(limits, "criteria"))
+            within = F.col("__place") - F.col("__start") < F.col("__k")
+            parts.append(
+                placed.join(limits, "criteria")
+                .select("criteria", "token", "token_id", within.alias("within"), "kept")
+                .where(F.col("kept") & (F.col("within") | F.col("criteria").isin(combined)))
+                .drop("kept")
+            )
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
+def _selected_alone(tables: TokenTables, name: str, one: Criteria) -> DataFrame:
+    chosen = select_tokens(tables, one).withColumn("within", F.lit(True))
+    if one.get("type") == "combined" and one.get("k") is not None:
+        whole = select_tokens(tables, {k: v for k, v in one.items() if k != "k"})
+        chosen = whole.join(chosen.select("token_id", "within"), "token_id", "left")
+        chosen = chosen.withColumn("within", F.coalesce("within", F.lit(False)))
+    return chosen.select(F.lit(name).alias("criteria"), "token", "token_id", "within")
+
+
+def select_many(tables: TokenTables, criteria: Mapping[str, str | Criteria]) -> DataFrame:
+    """``(criteria, token, token_id)`` for a whole set of named criteria."""
+    return selected_rows(tables, criteria).where("within").drop("within")
+
+
 def _summary_format(criteria: Criteria) -> str:
     kind = criteria.get("type")
     if kind == "frequency":
@@ -333,24 +465,22 @@ def _summary_format(criteria: Criteria) -> str:
 
 
 def summarise(
-    tables: TokenTables, criteria: Mapping[str, str | Criteria]
+    tables: TokenTables, criteria: Mapping[str, str | Criteria], selected: DataFrame | None = None
 ) -> DataFrame:
     """``(criteria, n_tokens, summary)``: the size of each selection, in words.
 
-    A combined criterion counts the tokens before its own cut to k.
+    A combined criterion counts the tokens before its own cut to k. Rows of
+    ``selected_rows`` that are there already are not selected again.
     """
-    counted, texts = {}, []
+    texts = []
     for name, one in criteria.items():
         one = parse_criteria(one)
-        kept = {k: v for k, v in one.items() if not (one.get("type") == "combined" and k == "k")}
-        counted[name] = kept
         parts = _summary_format(one).replace("%d", "{n}")
         parts = parts.replace("{pattern}", str(one.get("pattern")))
         before, found, after = parts.partition("{n}")
         texts.append((name, before, bool(found), after))
-    counts = (
-        select_many(tables, counted).groupBy("criteria").agg(F.count(F.lit(1)).alias("n"))
-    )
+    rows = selected_rows(tables, criteria) if selected is None else selected
+    counts = rows.groupBy("criteria").agg(F.count(F.lit(1)).alias("n"))
     spark = tables.vocab.sparkSession
     words = spark.createDataFrame(
         texts, "criteria string, before string, counted boolean, after string"

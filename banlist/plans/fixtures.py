@@ -107,7 +107,13 @@ def _build_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("body", F.lit("\n#### "), F.length("body").cast("string")),
     )
     return with_index(pairs, ["conv_id", "turn"], "idx").select(
-        "idx", "conv_id", "turn", "question", "body", "answer"
+        "idx",
+        "conv_id",
+        "turn",
+        "question",
+        "body",
+        "answer",
+        F.when(F.col("conv_id") % 3 == 0, "train").otherwise("test").alias("split"),
     )
 
 
@@ -115,6 +121,14 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_table(spark, (sf_dir, "qa"), lambda: _build_qa(spark, sf_dir))
 
 
+def train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa(spark, sf_dir).where("split = 'train'")
+
+
+def test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa(spark, sf_dir).where("split = 'test'")
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model outputs: right, wrong, unmarked and run-on ones by row number."""
     size = F.length("body")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from banlist.operators import metrics
+from banlist.operators.evaluation import evaluate
+from banlist.operators.selection import select_tokens
 from banlist.plans import fixtures as fx
 from banlist.plans.registry import query
 from banlist.sources.runs import pair_runs
@@ -29,6 +31,44 @@ def _answers(spark, sf, judged=False):
     return metrics.answer_rows(fx.runs(spark, sf), fx.banned(spark, sf), verdicts)
 
 
+RUN_CRITERIA = {"type": "frequency", "order": "most_frequent", "k": 300}
+
+
+def _evaluated(spark, sf):
+    """A run from criteria to metrics: nothing but tables goes in."""
+    tokens = select_tokens(fx.token_tables(spark, sf), RUN_CRITERIA)
+    return evaluate(fx.qa(spark, sf).drop("body"), fx.runs(spark, sf), tokens, fx.K_SHOT)
+
+
+@query(
+    "eval_pipeline",
+    ["run_answers"],
+    f"""select count(*) as total_questions,
+      count(*) filter (is_taboo_correct) as num_correct_with_taboo,
+      count(*) filter (is_free_correct) as num_correct_free_decoding,
+      count(*) filter (taboo_in_taboo) as num_taboo_mistakes_with_taboo,
+      count(*) filter (taboo_in_free) as num_taboo_mistakes_free_decoding,
+      count(*) filter (is_taboo_correct) / count(*) as accuracy_with_taboo,
+      count(*) filter (is_free_correct) / count(*) as accuracy_free_decoding
+    from run_answers""",
+)
+def eval_pipeline(spark, sf):
+    _, figures = _evaluated(spark, sf)
+    counts = [c for c in METRIC_COLUMNS if c.startswith(("total", "num_"))]
+    return figures.select(*counts, "accuracy_with_taboo", "accuracy_free_decoding")
+
+
+@query(
+    "eval_pipeline_rows",
+    ["run_answers"],
+    """select "index", question, prompt, is_taboo_correct, is_free_correct, is_same,
+      taboo_in_taboo, taboo_in_free from run_answers""",
+)
+def eval_pipeline_rows(spark, sf):
+    answers, _ = _evaluated(spark, sf)
+    return answers.drop("correct_answer", "taboo_output", "free_output")
+
+
 @query("agg_eval_metrics", ["metrics"], f"select {', '.join(METRIC_COLUMNS)} from metrics")
 def agg_eval_metrics(spark, sf):
     return metrics.eval_metrics(_answers(spark, sf))

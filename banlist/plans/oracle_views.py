@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from banlist.functions.fixed_values import NUMBER_WHITESPACE, WHITESPACE
+from banlist.functions.fixed_values import (
+    NUMBER_WHITESPACE,
+    QA_BEFORE_QUESTION,
+    QA_HEAD,
+    QA_TAIL,
+    WHITESPACE,
+)
 from banlist.plans.fixtures import N_MERGES, SPECIAL_TOKENS
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
@@ -52,9 +58,9 @@ def words(x: str) -> str:
     )
 
 
-def has_banned(x: str) -> str:
+def has_banned(x: str, banned: str = "banned") -> str:
     return (
-        f"exists (select 1 from banned b where contains({strip(f'lower({x})')}, "
+        f"exists (select 1 from {banned} b where contains({strip(f'lower({x})')}, "
         f"{strip('lower(b.token)')}))"
     )
 
@@ -147,7 +153,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """qa as (
   select cast(row_number() over (order by u.conv_id, u.turn) - 1 as bigint) as idx,
     u.conv_id, u.turn, u.text as question, a.text as body,
-    a.text || chr(10) || '#### ' || cast(length(a.text) as varchar) as answer
+    a.text || chr(10) || '#### ' || cast(length(a.text) as varchar) as answer,
+    case when u.conv_id % 3 = 0 then 'train' else 'test' end as split
   from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
   where u.role = 'user' and a.role = 'assistant')""",
     ),
@@ -224,7 +231,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "few": (
         ("qa",),
-        f"few as (select * from qa order by {sample_rank('idx')}, idx limit 3)",
+        f"few as (select * from qa where split = 'train' order by {sample_rank('idx')}, idx limit 3)",
     ),
     "few_text": (
         ("few",),
@@ -234,12 +241,39 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
    string_agg('Question: ' || question || chr(10) || chr(10) || 'Answer: ' || answer
     || chr(10) || '###' || chr(10), '' order by {sample_rank('idx')}, idx) as chat_text from few)""",
     ),
-    "draws": (
+    "train": (
         ("qa",),
+        "train as (select *, row_number() over (order by idx) - 1 as pos from qa where split = 'train')",
+    ),
+    "draws": (
+        ("qa", "train"),
         f"""draws as (
-  select idx, n, p0, case when p1 = p0 then n - 1 else p1 end as p1
-  from (select idx, n, {number_of('idx', 'n - 2')} % (n - 1) as p0, {number_of('idx', 'n - 1')} % n as p1
-        from qa, (select count(*) as n from qa) c) d)""",
+  select d.idx, a.idx as i0, b.idx as i1
+  from (select idx, n, p0, case when p1 = p0 then n - 1 else p1 end as p1
+    from (select idx, n, {number_of('idx', 'n - 2')} % (n - 1) as p0, {number_of('idx', 'n - 1')} % n as p1
+          from qa, (select count(*) as n from train) c where split = 'test') e) d
+  join train a on a.pos = d.p0 join train b on b.pos = d.p1)""",
+    ),
+    "run_tokens": (
+        ("vocab",),
+        f"""run_tokens as (
+  select token from (select token, token_id from vocab order by token_id limit 300) t
+  where not {excluded('token')})""",
+    ),
+    "run_answers": (
+        ("qa", "runs", "few", "few_text", "run_tokens"),
+        f"""run_answers as (
+  select q.idx as "index", q.question,
+    {text_literal(QA_HEAD)} || few_shot || {text_literal(QA_BEFORE_QUESTION)} || q.question
+      || {text_literal(QA_TAIL)} as prompt,
+    lower({final_answer('taboo_output')}) = lower({final_answer('q.answer')}) as is_taboo_correct,
+    lower({final_answer('free_output')}) = lower({final_answer('q.answer')}) as is_free_correct,
+    lower({final_answer('taboo_output')}) = lower({final_answer('free_output')}) as is_same,
+    {has_banned('taboo_output', 'run_tokens')} as taboo_in_taboo,
+    {has_banned('free_output', 'run_tokens')} as taboo_in_free
+  from qa q join runs r on r.idx = q.idx, few_text
+  where q.split = 'test' and not exists (select 1 from few f
+    where f.question is not distinct from q.question and f.answer is not distinct from q.answer))""",
     ),
     "scored": (
         ("runs",),

@@ -33,19 +33,18 @@ def smp_split_head(spark, sf):
 
 @query("smp_few_shot", ["few"], "select idx, question, answer from few")
 def smp_few_shot(spark, sf):
-    return sampling.few_shot(fx.qa(spark, sf), K).select("idx", "question", "answer")
+    return sampling.few_shot(fx.train(spark, sf), K).select("idx", "question", "answer")
 
 
 @query(
     "smp_per_row_k",
     ["draws"],
-    """select idx, cast(0 as bigint) as draw, p0 as pool_idx from draws
-    union all select idx, 1, p1 from draws""",
+    """select idx, cast(0 as bigint) as draw, i0 as pool_idx from draws
+    union all select idx, 1, i1 from draws""",
 )
 def smp_per_row_k(spark, sf):
-    qa = fx.qa(spark, sf)
-    pool = qa.select(F.col("idx").alias("pool_idx"), "question", "answer")
-    drawn = sampling.sample_per_row(qa.select("idx"), pool, 2)
+    pool = fx.train(spark, sf).select(F.col("idx").alias("pool_idx"), "question", "answer")
+    drawn = sampling.sample_per_row(fx.test(spark, sf).select("idx"), pool, 2)
     return drawn.select("idx", F.col("draw").cast("bigint").alias("draw"), "pool_idx")
 
 
@@ -55,7 +54,7 @@ def smp_per_row_k(spark, sf):
     "select idx, question, answer from few order by md5('42' || '|' || cast(idx as varchar)), idx limit 1",
 )
 def smp_one_row(spark, sf):
-    return sampling.one_row(fx.qa(spark, sf)).select("idx", "question", "answer")
+    return sampling.one_row(fx.train(spark, sf)).select("idx", "question", "answer")
 
 
 @query(
@@ -66,7 +65,7 @@ def smp_one_row(spark, sf):
 )
 def join_few_shot_anti(spark, sf):
     qa = fx.qa(spark, sf)
-    taken = sampling.few_shot(qa, K).select("question", "answer")
+    taken = sampling.few_shot(fx.train(spark, sf), K).select("question", "answer")
     return sampling.without_rows(qa.select("question", "answer"), taken)
 
 
@@ -118,12 +117,11 @@ def prm_qa(spark, sf):
       || 'Question: ' || {strip('q.question')} || chr(10) || 'Answer:' as prompt
     from draws d
     join qa q on q.idx = d.idx
-    join (select idx, {_EXAMPLE} as example from qa) a on a.idx = d.p0
-    join (select idx, {_EXAMPLE} as example from qa) b on b.idx = d.p1""",
+    join (select idx, {_EXAMPLE} as example from qa) a on a.idx = d.i0
+    join (select idx, {_EXAMPLE} as example from qa) b on b.idx = d.i1""",
 )
 def prm_kshot(spark, sf):
-    qa = fx.qa(spark, sf)
-    return prompts.kshot_prompts(qa, qa, 2)
+    return prompts.kshot_prompts(fx.test(spark, sf), fx.train(spark, sf), 2)
 
 
 @query(
@@ -148,13 +146,14 @@ def win_index(spark, sf):
     "win_running_prompt",
     ["qa", "few_text"],
     """select q.idx, f.chat_text || string_agg('Question: ' || q.question || chr(10), '')
-        over (order by q.idx rows between unbounded preceding and current row) as content
+        over (partition by q.conv_id order by q.idx rows between unbounded preceding and current row) as content
     from qa q, few_text f""",
 )
 def win_running_prompt(spark, sf):
-    chats = prompts.chat_prompts(fx.qa(spark, sf), _examples(spark, sf), accumulate=True)
+    # A conversation stands for one evaluation run.
+    chats = prompts.chat_prompts(fx.qa(spark, sf), _examples(spark, sf), accumulate=True, by="conv_id")
     return chats.select("idx", F.element_at("messages", -1)["content"].alias("content"))
 
 
 def _examples(spark, sf):
-    return sampling.few_shot(fx.qa(spark, sf).select("idx", "question", "answer"), K)
+    return sampling.few_shot(fx.train(spark, sf).select("idx", "question", "answer"), K)

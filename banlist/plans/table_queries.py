@@ -169,7 +169,8 @@ def src_saved_runs(spark, sf):
 )
 def snk_runs(spark, sf):
     path = scratch_path(spark, "saved-runs-sink")
-    sinks.save_runs(fx.saved_runs(spark, sf), "demo", "custom", 3, 100, path)
+    for _ in range(2):  # the second time replaces the first
+        sinks.save_runs(fx.saved_runs(spark, sf), "demo", "custom", 3, 100, path)
     back = runs.read_runs(spark, path)
     run = ["model", "criteria", *[F.col(c).cast("bigint").alias(c) for c in ("k_shot", "n_samples")]]
     return back.select(
@@ -197,7 +198,8 @@ _SAVED = ("frequency", "custom", "combined")
 def snk_selected_tokens(spark, sf):
     path = scratch_path(spark, "selected-tokens")
     chosen = {name: CRITERIA[name] for name in _SAVED}
-    sinks.save_selected_tokens(fx.token_tables(spark, sf), chosen, "demo", path)
+    for _ in range(2):  # the second time replaces the first
+        sinks.save_selected_tokens(fx.token_tables(spark, sf), chosen, "demo", path)
     tokens = spark.read.parquet(f"{path}/tokens")
     summary = spark.read.parquet(f"{path}/summary")
     return tokens.join(summary, ["model", "criteria_hash"]).select(
@@ -207,27 +209,32 @@ def snk_selected_tokens(spark, sf):
 
 @query(
     "snk_results",
-    ["answers", "metrics"],
+    ["answers", "metrics", "banned"],
     f"""select a."index", a.question, a.is_taboo_correct, a.is_free_correct, a.is_same,
-      a.taboo_in_taboo, a.taboo_in_free, m.total_questions, m.accuracy_with_taboo,
+      a.taboo_in_taboo, a.taboo_in_free, m.total_questions, m.accuracy_with_taboo, r.criteria_name,
+      (select count(*) from banned) as n_tokens,
       '{fx.DATASET}' as dataset, '{fx.MODEL}' as model, 'custom' as criteria_type
-    from answers a, metrics m""",
+    from answers a, metrics m, (values ('first'), ('second')) r(criteria_name)""",
 )
 def snk_results(spark, sf):
+    # Two runs into the same tables: each row finds its own run's figures.
     path = scratch_path(spark, "results")
-    sinks.save_results(
-        _result(spark, sf), _answers(spark, sf), fx.DATASET, fx.MODEL, "custom", path, "json"
-    )
-    run = ["dataset", "model", "criteria_type"]
-    answers = spark.read.json(f"{path}/answers")
+    for name in ("first", "second"):
+        sinks.save_results(
+            _result(spark, sf), _answers(spark, sf), fx.banned(spark, sf), fx.DATASET, fx.MODEL, "custom", name, path, "json"
+        )
     results = spark.read.json(f"{path}/results").select(
-        *run,
+        "run_id",
         "reasoning_dataset_metrics.total_questions",
         "reasoning_dataset_metrics.accuracy_with_taboo",
     )
+    sizes = spark.read.json(f"{path}/tokens").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_tokens"))
     kept = ["index", "question", "is_taboo_correct", "is_free_correct", "is_same"]
-    return answers.join(results, run).select(
-        *kept, "taboo_in_taboo", "taboo_in_free", "total_questions", "accuracy_with_taboo", *run
+    answers = spark.read.json(f"{path}/answers")
+    return answers.join(results, "run_id").join(sizes, "run_id").select(
+        *kept,
+        *("taboo_in_taboo", "taboo_in_free", "total_questions", "accuracy_with_taboo"),
+        *("criteria_name", "n_tokens", "dataset", "model", "criteria_type"),
     )
 
 
@@ -245,6 +252,6 @@ def snk_reload_check(spark, sf):
     tables: TokenTables = fx.token_tables(spark, sf)
     path = scratch_path(spark, "reload-check")
     sinks.save_selected_tokens(tables, {"custom": CUSTOM}, "demo", path)
-    saved = sinks.load_saved_tokens(tables, CUSTOM, "demo", path)
+    _, saved = sinks.load_saved_tokens(tables, CUSTOM, "demo", path)
     changed = {"type": "custom", "tokens": CUSTOM_WORDS[:4] + ["in"]}
     return compare_selections(saved, select_custom(tables, changed))

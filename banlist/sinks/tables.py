@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -15,10 +17,10 @@ from banlist.operators.selection import (
     compare_selections,
     parse_criteria,
     select_custom,
-    select_many,
+    selected_rows,
     summarise,
-    with_shared_marks,
 )
+from banlist.session import write_table
 
 
 def criteria_hash(criteria: str | Criteria) -> str:
@@ -27,38 +29,48 @@ def criteria_hash(criteria: str | Criteria) -> str:
     return hashlib.md5(text.encode("utf-8")).hexdigest()[:16]
 
 
-def _partitioned(df: DataFrame, *by: str):
+def _replace(df: DataFrame, *by: str):
+    """A writer that replaces the partitions it writes to and no others."""
     # Rebalancing splits a partition value that holds most of the rows and
     # joins the small files of the others.
-    return df.hint("rebalance", *by).write.partitionBy(*by)
+    writer = df.hint("rebalance", *by).write.partitionBy(*by).mode("overwrite")
+    return writer.option("partitionOverwriteMode", "dynamic")
 
 
 def save_selected_tokens(
     tables: TokenTables, criteria: Mapping[str, str | Criteria], model: str, path: str
 ) -> None:
-    """Write ``path/tokens`` and ``path/summary``, one partition per model and criteria."""
+    """Write ``path/tokens`` and ``path/summary``, one partition per model and criteria.
+
+    Saving a criterion again replaces what was saved of it.
+    """
     by_hash = {criteria_hash(one): one for one in criteria.values()}
 
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumnRenamed("criteria", "criteria_hash").withColumn("model", F.lit(model))
 
-    tables = with_shared_marks(tables, by_hash)
-    tokens = keyed(select_many(tables, by_hash))
-    summaries = keyed(summarise(tables, by_hash))
-    _partitioned(tokens, "model", "criteria_hash").mode("append").parquet(f"{path}/tokens")
-    _partitioned(summaries, "model", "criteria_hash").mode("append").parquet(f"{path}/summary")
+    selected = write_table(selected_rows(tables, by_hash), "selected")
+    tokens = keyed(selected.where("within").drop("within"))
+    _replace(tokens, "model", "criteria_hash").parquet(f"{path}/tokens")
+    _replace(keyed(summarise(tables, by_hash, selected)), "model", "criteria_hash").parquet(f"{path}/summary")
 
 
 def load_saved_tokens(
     tables: TokenTables, criteria: str | Criteria, model: str, path: str, reference_rule: bool = False
-) -> DataFrame:
-    """The saved tokens of one criterion. Custom lists are selected again and
-    must not have changed."""
-    saved = (
-        tables.vocab.sparkSession.read.parquet(f"{path}/tokens")
-        .where((F.col("model") == model) & (F.col("criteria_hash") == criteria_hash(criteria)))
-        .select("token", "token_id")
-    )
+) -> tuple[str, DataFrame]:
+    """The saved summary and tokens of one criterion; an error if it was never saved.
+
+    Custom lists are selected again and must not have changed.
+    """
+    spark = tables.vocab.sparkSession
+    own = (F.col("model") == model) & (F.col("criteria_hash") == criteria_hash(criteria))
+    summary = spark.read.parquet(f"{path}/summary").where(own).select("summary", "n_tokens").head(1)
+    if not summary:
+        raise FileNotFoundError(f"no saved selection of this criterion for {model!r} in {path}")
+    saved = spark.read.parquet(f"{path}/tokens").where(own).select("token", "token_id")
+    if not summary[0]["n_tokens"]:
+        # A selection that has become empty writes no partition over the old one.
+        saved = saved.where(F.lit(False))
     parsed = parse_criteria(criteria)
     if parsed.get("type") == "custom":
         check = compare_selections(saved, select_custom(tables, parsed), reference_rule).first()
@@ -67,39 +79,49 @@ def load_saved_tokens(
                 f"saved tokens differ from the selection: {check['only_saved']} only saved, "
                 f"{check['only_fresh']} only selected"
             )
-    return saved
+    return summary[0]["summary"], saved
 
 
 def save_results(
     results: DataFrame,
     answers: DataFrame,
+    tokens: DataFrame,
     dataset: str,
     model: str,
     criteria_type: str,
+    criteria_name: str,
     path: str,
     file_format: str = "parquet",
-) -> None:
-    """Write ``path/results`` and ``path/answers`` by dataset, model and criteria type."""
+) -> str:
+    """Write ``path/results``, ``path/answers`` and ``path/tokens`` of one run.
+
+    All three carry the run's id, time and criteria name and are partitioned by
+    dataset, model and criteria type; runs are added, never replaced. Returns
+    the id, by which the three are joined.
+    """
+    run_id = uuid.uuid4().hex
+    stamp = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+    by = {"dataset": F.lit(dataset), "model": F.lit(model), "criteria_type": F.lit(criteria_type)}
     run = {
-        "dataset": F.lit(dataset),
-        "model": F.lit(model),
-        "criteria_type": F.lit(criteria_type),
+        "run_id": F.lit(run_id),
+        "run_ts": F.lit(stamp.isoformat(sep=" ")).cast("timestamp"),
+        "criteria_name": F.lit(criteria_name),
     }
-    stamp = F.current_timestamp()
-    for name, df in (("results", results), ("answers", answers)):
-        _partitioned(df.withColumn("run_ts", stamp).withColumns(run), *run).mode("append").format(
-            file_format
-        ).save(f"{path}/{name}")
+    for name, df in (("results", results), ("answers", answers), ("tokens", tokens)):
+        whole = df.withColumns(run | by).hint("rebalance", *by)
+        whole.write.partitionBy(*by).mode("append").format(file_format).save(f"{path}/{name}")
+    return run_id
 
 
 def save_runs(
     runs: DataFrame, model: str, criteria: str, k_shot: int, n_samples: int, path: str
 ) -> None:
-    """Write saved runs by model, criteria, shots and sample count."""
+    """Write saved runs by model, criteria, shots and sample count, in place of
+    the run that was saved under them before."""
     run = {
         "model": F.lit(model),
         "criteria": F.lit(criteria),
         "k_shot": F.lit(k_shot),
         "n_samples": F.lit(n_samples),
     }
-    _partitioned(runs.withColumns(run), *run).mode("append").parquet(path)
+    _replace(runs.withColumns(run), *run).parquet(path)

@@ -39,6 +39,30 @@ def head_rows(df: DataFrame, n: int, idx: str = "idx") -> DataFrame:
     return first_k(df, [F.asc(idx)], n)
 
 
+def with_split(df: DataFrame, split: str) -> DataFrame:
+    """Rows of one part of a dataset, ``train`` or ``test``, named as such."""
+    if split not in ("train", "test"):
+        raise ValueError(f"unknown split: {split}")
+    return df.withColumn("split", F.lit(split))
+
+
+def read_word_problem_splits(spark: SparkSession, paths: dict[str, str], file_format: str = "parquet") -> DataFrame:
+    """The parts of a dataset in one table with ``split``; paths by split name."""
+    parts = [with_split(read_word_problems(spark, path, file_format), split) for split, path in paths.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
 def with_row_index(df: DataFrame, *order: str) -> DataFrame:
-    """Rows numbered from 0 by a unique order."""
-    return with_index(df, list(order), "idx")
+    """Rows numbered from 0 by a unique order.
+
+    Only the order columns are sorted and written; the others are joined back.
+    """
+    keys = [F.col(c).alias(f"__{c}") for c in order]
+    numbered = with_index(df.select(*keys), [f"__{c}" for c in order], "idx")
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return df.join(numbered, same).drop(*(f"__{c}" for c in order))

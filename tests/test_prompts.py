@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from banlist.operators import prompts, sampling
+from banlist.operators import evaluation, prompts, sampling
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def test_whole_row_equality_also_drops_copies(spark):
 @pytest.mark.parametrize("k", [0, 1, 5, 40])
 def test_sample_per_row_has_k_different_rows(questions, k):
     pool = questions.select(F.col("idx").alias("p"), "question")
-    got = sampling.sample_per_row(questions.select("idx"), pool, k).collect()
+    got = sampling.sample_per_row(questions.select("idx"), pool, k, pool_key="p").collect()
     drawn: dict = {}
     for r in got:
         drawn.setdefault(r.idx, []).append(r.p)
@@ -45,7 +45,7 @@ def test_sample_per_row_has_k_different_rows(questions, k):
         assert len({tuple(v) for v in drawn.values()}) > 30
         assert len({p for v in drawn.values() for p in v}) > 35
     with pytest.raises(ValueError):
-        sampling.sample_per_row(questions, pool, 41)
+        sampling.sample_per_row(questions, pool, 41, pool_key="p")
 
 
 def test_few_shot_texts(questions):
@@ -85,6 +85,39 @@ def test_kshot_prompt_text(spark):
     assert [r.prompt for r in bare] == ["Question: q0\nAnswer:", "Question: q1\nAnswer:"]
 
 
+def test_no_prompt_holds_its_own_answer(spark):
+    rows = [(i, f"question {i}.", f"answer {i}.", "train" if i % 3 == 0 else "test") for i in range(60)]
+    df = spark.createDataFrame(rows, "idx long, question string, answer string, split string")
+    for row in prompts.kshot_prompts(df.where("split = 'test'"), df.where("split = 'train'"), 4).collect():
+        assert f"answer {row.idx}." not in row.prompt and row.prompt.count("answer ") == 4
+    asked, examples = evaluation.asked_questions(df, 3, n_samples=30)
+    taken = {r.idx for r in examples.collect()}
+    got = asked.collect()
+    assert len(got) == 30 and len(taken) == 3 and all(i % 3 == 0 for i in taken)
+    assert all(f"answer {r.idx}." not in r.prompt for r in got)
+
+
+def test_evaluation_drops_questions_that_equal_an_example(spark):
+    rows = [(0, "a", "1", "train"), (1, "a", "1", "test"), (2, "b", "#### 2", "test"), (3, "c", None, "test")]
+    df = spark.createDataFrame(rows, "idx long, question string, answer string, split string")
+    outputs = spark.createDataFrame(
+        [(1, "1", "1"), (2, "2", "#### 3"), (9, "x", "x")], "idx long, taboo_output string, free_output string"
+    )
+    tokens = spark.createDataFrame([("3",)], "token string")
+    answers, metrics = evaluation.evaluate(df, outputs, tokens, k_shot=1)
+    (row,) = answers.collect()
+    assert row["index"] == 2 and "Answer: 1" in row.prompt and row.is_taboo_correct and not row.is_free_correct
+    assert row.taboo_in_free and not row.taboo_in_taboo and metrics.first().total_questions == 1
+
+
+def test_running_chat_within_runs(spark):
+    df = spark.createDataFrame([(0, "r", "a"), (1, "s", "b"), (2, "r", "c")], "idx long, run string, question string")
+    few = df.where("idx < 0")
+    got = prompts.chat_prompts(df, few, accumulate=True, by="run").orderBy("idx").collect()
+    tails = [r.messages[0].content.partition("model.")[2] for r in got]
+    assert tails == ["Question: a\n", "Question: b\n", "Question: a\nQuestion: c\n"]
+
+
 @pytest.mark.parametrize("block", [2, 3, 7, 512])
 def test_running_text(questions, block):
     got = prompts.running_text(questions, "idx", "question", "all", block).orderBy("idx").collect()

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import threading
+
+import duckdb
 import pytest
 
 import __spark_entry__ as driver_contract
+from banlist.plans import registry
 from tests.check_oracles import duck, duck_rows, spark_rows
 from tests.conftest import SF_SMALL
 
-QUERIES = driver_contract.queries()
-ORACLES = driver_contract.oracle_sql()
+QUERIES = dict(registry.QUERIES)
+ORACLES = dict(registry.ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +28,23 @@ def test_entry(spark):
 
 def test_every_query_has_sql():
     assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(driver_contract.queries())
+
+
+def test_every_sql_ends_under_an_outer_limit():
+    """Run as a subquery with a limit, too, and within a time limit."""
+    connection = duck(SF_SMALL)
+    slow = []
+    for name, sql in ORACLES.items():
+        timer = threading.Timer(30, connection.interrupt)
+        timer.start()
+        try:
+            connection.execute(f"select * from ({sql}) q limit 5").fetchall()
+        except duckdb.InterruptException:
+            slow.append(name)
+        finally:
+            timer.cancel()
+    assert not slow
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -137,8 +137,45 @@ def test_marked_vocabulary_gives_the_same_selections(tables, spark):
             {"type": "combined", "criteria": [{"criterion": "frequency", "leaf": True}, {"criterion": "synthetic", "pos": ["VERB"]}]},
         ):
             assert chosen(marked, one) == chosen(own, one)
-    plan = sel.select_many(tables, {"a": {"type": "frequency", "leaf": True}, "b": {"type": "frequency", "leaf": True, "k": 2}})
-    assert "Join" not in plan._jdf.queryExecution().toString()
+
+
+def test_many_criteria_are_one_scan(tables):
+    few = {"a": {"type": "frequency", "leaf": True}, "b": {"type": "custom", "tokens": ["run"]}}
+    few["c"] = {"type": "combined", "criteria": [{"criterion": "synthetic", "pos": ["VERB"]}]}
+    plan = sel.select_many(tables, few)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    many = {str(i): {"type": "custom", "tokens": [TOKENS[i % 13].replace("Ġ", ""), f"x{i}"]} for i in range(2000)}
+    got = sel.select_many(tables, many).groupBy("criteria").count().collect()
+    assert {r.criteria: r["count"] for r in got if r.criteria in ("1", "4", "13")} == {"1": 3, "4": 1}
+    assert all(len(list(many[r.criteria]["tokens"])) == 2 for r in got)
+
+
+def test_shared_scan_gives_single_selections(tables):
+    criteria = {
+        "leaves": {"type": "frequency", "leaf": True, "order": "most_frequent", "k": 3},
+        "rare": {"type": "frequency", "k": 4},
+        "nothing": {"type": "frequency", "k": 0},
+        "digits": {"type": "regex", "pattern": r"\d", "k": 2},
+        "no pattern": {"type": "regex", "k": 2},
+        "tags": {"type": "synthetic", "pos": ["VERB", "NOUN"], "k": 1},
+        "long": {"type": "custom", "tokens": [*map(str, range(6000)), "the"]},
+        "both": {
+            "type": "combined",
+            "criteria": [{"criterion": "frequency", "leaf": True, "order": "x"}, {"criterion": "regex", "pattern": r"\w"}],
+            "k": 2,
+        },
+        "cut inside": {"type": "combined", "criteria": [{"criterion": "regex", "pattern": r"\w", "k": 3}], "k": 2},
+        "empty": {"type": "combined", "criteria": []},
+    }
+    rows = sel.select_many(tables, criteria).collect()
+    for name, one in criteria.items():
+        mine = sorted(r.token_id for r in rows if r.criteria == name)
+        assert mine == sorted(r.token_id for r in select_tokens(tables, one).collect()), name
+    counts = {r.criteria: r.n_tokens for r in sel.summarise(tables, criteria).collect()}
+    assert counts["both"] == select_tokens(tables, {**criteria["both"], "k": None}).count()
+    assert counts["cut inside"] == 3 and counts["nothing"] == 0
+    with pytest.raises(ValueError):
+        sel.select_many(tables, {"x": {"type": "frequency", "k": -1}})
 
 
 def test_marked_vocabulary_with_a_tagger(tables):

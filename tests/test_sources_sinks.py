@@ -123,11 +123,16 @@ def tables(spark):
 def test_saved_selections(spark, tables, tmp_path):
     path = str(tmp_path / "sel")
     custom = {"type": "custom", "tokens": ["x"]}
-    sinks.save_selected_tokens(tables, {"c": custom, "f": {"type": "frequency", "k": 1}}, "org/m", path)
-    back = sinks.load_saved_tokens(tables, custom, "org/m", path)
+    frequency = {"type": "frequency", "k": 1}
+    for _ in range(2):  # the second time replaces the first
+        sinks.save_selected_tokens(tables, {"c": custom, "f": frequency}, "org/m", path)
+    sinks.save_selected_tokens(tables, {"c": custom}, "other", path)
+    summary, back = sinks.load_saved_tokens(tables, custom, "org/m", path)
     assert sorted(r.token for r in back.collect()) == ["x", "Ġx"]
-    summaries = {r.summary for r in spark.read.parquet(f"{path}/summary").collect()}
-    assert "Custom criterion: selected 2 tokens." in summaries and len(summaries) == 2
+    assert summary == "Custom criterion: selected 2 tokens."
+    assert spark.read.parquet(f"{path}/summary").where("model = 'org/m'").count() == 2
+    with pytest.raises(FileNotFoundError):
+        sinks.load_saved_tokens(tables, {"type": "frequency", "k": 2}, "org/m", path)
     grown = TokenTables(
         spark.createDataFrame([("x", 0), ("Ġx", 1), ("ĠĠx", 2)], "token string, token_id long")
     )
@@ -136,6 +141,15 @@ def test_saved_selections(spark, tables, tmp_path):
     sinks.load_saved_tokens(grown, custom, "org/m", path, reference_rule=True)
 
 
+def test_selection_that_became_empty(spark, tables, tmp_path):
+    path = str(tmp_path / "sel")
+    one = {"type": "regex", "pattern": "y"}
+    sinks.save_selected_tokens(tables, {"r": one}, "m", path)
+    without = TokenTables(tables.vocab.where("token <> 'y'"))
+    sinks.save_selected_tokens(without, {"r": one}, "m", path)
+    assert sinks.load_saved_tokens(without, one, "m", path)[1].count() == 0
+
+
 def test_criteria_hash_ignores_key_order():
     assert sinks.criteria_hash({"type": "a", "k": 1}) == sinks.criteria_hash('{"k": 1, "type": "a"}')
 
@@ -143,7 +157,8 @@ def test_criteria_hash_ignores_key_order():
 def test_runs_round_trip(spark, tmp_path):
     path = str(tmp_path / "runs")
     df = spark.createDataFrame([(0, [1, 2], [], "p"), (1, [3], None, "q")], runs.RUN_SCHEMA)
-    sinks.save_runs(df, "m", "c", 1, 2, path)
+    for _ in range(2):  # the second time replaces the first
+        sinks.save_runs(df, "m", "c", 1, 2, path)
     sinks.save_runs(df.limit(1), "n", "c", 1, 2, path)
     back = runs.read_runs(spark, path)
     assert back.count() == 3
@@ -152,9 +167,15 @@ def test_runs_round_trip(spark, tmp_path):
 
 def test_results_round_trip(spark, tmp_path):
     path = str(tmp_path / "res")
-    one = spark.range(1).selectExpr("id as total")
-    for _ in range(2):
-        sinks.save_results(one, spark.range(3), "d", "m", "custom", path)
-    assert spark.read.parquet(f"{path}/answers").count() == 6
+    tokens = spark.createDataFrame([("x",), ("y",)], "token string")
+    runs_ = {}
+    for total, name in ((5, "a"), (6, "b")):
+        results = spark.range(1).selectExpr(f"id + {total} as total")
+        run = sinks.save_results(results, spark.range(3), tokens, "d", "m", "custom", name, path)
+        runs_[run] = (total, name)
+    answers = spark.read.parquet(f"{path}/answers")
     results = spark.read.parquet(f"{path}/results")
-    assert {"dataset", "model", "criteria_type", "run_ts", "total"} == set(results.columns)
+    assert {"dataset", "model", "criteria_type", "criteria_name", "run_id", "run_ts", "total"} == set(results.columns)
+    joined = answers.join(results.select("run_id", "total", "run_ts"), ["run_id", "run_ts"]).collect()
+    assert len(joined) == 6 and all((r.total, r.criteria_name) == runs_[r.run_id] for r in joined)
+    assert spark.read.parquet(f"{path}/tokens").groupBy("run_id").count().where("count = 2").count() == 2
