@@ -6,8 +6,8 @@ counted shapes before any shuffle. The tree is then built level by level:
 
 1. Below a node with many different children, children that each have only a
    small share become one wildcard.
-2. Sibling branches whose labelled share does not differ significantly from
-   that of all their siblings are merged into one wildcard branch.
+2. Sibling branches are merged in the order of their share of good labels, as
+   long as it does not change significantly; each merged branch is one.
 
 A template's purity is its share of good labels, smoothed towards the share of
 all pages; templates below a bar are rejected.
@@ -26,7 +26,7 @@ from banlist.session import write_table
 MOST_CHILDREN = 50
 # ... unless a child has at least this share of the node's pages.
 OWN_SHARE = 0.1
-# Branches within so many standard errors of their siblings' share are alike.
+# Branches whose shares are within so many standard errors are alike.
 ALIKE = 2.0
 SMOOTHING = 20.0
 LEAST_PURITY = 0.5
@@ -92,46 +92,76 @@ def path_shape(path: Column) -> Column:
     return F.array_join(shapes, "/")
 
 
+def _merge_alike(branches: Column) -> Column:
+    """Sorted branches as merged ones ``(names, labelled, good)``.
+
+    In order of their good share, a branch joins the merged one before it unless
+    the two shares differ significantly. Without labels it always joins.
+    """
+    none = F.expr("cast(array() as array<struct<names:array<string>,labelled:bigint,good:double>>)")
+
+    def single(b: Column) -> Column:
+        return F.struct(F.array(b["named"]).alias("names"), b["labelled"].alias("labelled"), b["good"].alias("good"))
+
+    def step(done: Column, b: Column) -> Column:
+        last = F.element_at(done, -1)
+        labelled, good = last["labelled"] + b["labelled"], last["good"] + b["good"]
+        share = (good + 1) / (labelled + 2)
+        error = F.sqrt(share * (1 - share) * (1 / last["labelled"] + 1 / b["labelled"]))
+        far = F.abs(b["good"] / b["labelled"] - last["good"] / last["labelled"]) > ALIKE * error
+        apart = (last["labelled"] > 0) & (b["labelled"] > 0) & far
+        joined = F.struct(F.array_append(last["names"], b["named"]).alias("names"), labelled.alias("labelled"), good.alias("good"))
+        return F.when(F.size(done) == 0, F.array(single(b))).otherwise(
+            F.when(apart, F.array_append(done, single(b))).otherwise(
+                F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), joined)
+            )
+        )
+
+    return F.aggregate(branches, none, step)
+
+
 def build_tree(shapes: DataFrame) -> DataFrame:
     """``(host, shape, template)`` from counted shapes
     ``(host, shape, pages, labelled, good)``.
 
     Each level is one pass over the shapes' counts and is written below the
     checkpoint folder. A very large host is no group of its own here: shapes
-    are pre-aggregated by node and child, and only nodes that change are joined.
+    are pre-aggregated by node and child, and once the variable children of a
+    node are one, it has at most MOST_CHILDREN + 1 / OWN_SHARE + 1 branches.
     """
     deepest = shapes.agg(F.max(F.size(F.split("shape", "/")))).first()[0] or 0
+    sums = ("pages", "labelled", "good")
     state = shapes.withColumn("node", F.lit("")).withColumn("parts", F.split("shape", "/"))
     for level in range(deepest):
         step = state.withColumn("child", F.get("parts", F.lit(level)))
-        children = write_table(
-            step.where(F.col("child").isNotNull())
-            .groupBy("host", "node", "child")
-            .agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "good")]),
-            "url-children",
+        children = step.where(F.col("child").isNotNull()).groupBy("host", "node", "child")
+        children = write_table(children.agg(*[F.sum(c).alias(c) for c in sums]), "url-children")
+        nodes = children.groupBy("host", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("pages").alias("all_pages"))
+        variable = (F.col("n") > MOST_CHILDREN) & (F.col("pages") < OWN_SHARE * F.col("all_pages"))
+        named = children.join(nodes, ["host", "node"]).withColumn(
+            "named", F.when(variable, F.lit("*")).otherwise(F.col("child"))
         )
-        nodes = children.groupBy("host", "node").agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(c).alias("all_" + c) for c in ("pages", "labelled", "good")]
+        branches = named.groupBy("host", "node", "named").agg(*[F.sum(c).alias(c) for c in sums])
+        ordered = F.struct(
+            (F.col("good") / F.nullif(F.col("labelled"), F.lit(0))).alias("share"), "named", "labelled", "good"
         )
-        shared = nodes.where("n > 1")
-        share = F.col("all_good") / F.col("all_labelled")
-        error = F.sqrt(share * (1 - share) / F.col("labelled"))
-        apart = F.abs(F.col("good") / F.col("labelled") - share) > ALIKE * error
-        variable = (F.col("n") > MOST_CHILDREN) & (F.col("pages") < OWN_SHARE * F.col("all_pages"))
-        # Without labels nothing tells a branch from its siblings.
-        alike = ~F.coalesce(F.when(F.col("labelled") > 0, apart), F.lit(False))
-        merged = (
-            children.join(shared, ["host", "node"])
-            .where(variable | alike)
-            .select("host", "node", "child", F.lit(True).alias("wild"))
+        merged = branches.groupBy("host", "node").agg(F.array_sort(F.collect_list(ordered)).alias("branches"))
+        merged = merged.select("host", "node", _merge_alike(F.col("branches")).alias("m"))
+        exploded = merged.select("host", "node", F.size("m").alias("n"), F.explode("m.names").alias("names"))
+        segment = (
+            F.when(F.size("names") == 1, F.element_at("names", 1))
+            .when(F.col("n") == 1, F.lit("*"))
+            .otherwise(F.concat(F.lit("("), F.array_join(F.array_sort("names"), "|"), F.lit(")")))
         )
+        renamed = exploded.select("host", "node", segment.alias("segment"), F.explode("names").alias("named"))
+        mapping = named.join(renamed, ["host", "node", "named"]).select("host", "node", "child", "segment")
         state = write_table(
-            step.join(merged, ["host", "node", "child"], "left").withColumn(
+            step.join(mapping, ["host", "node", "child"], "left").withColumn(
                 "node",
-                F.when(F.col("child").isNull(), F.col("node"))
-                .when(F.col("wild"), F.concat("node", F.lit("/*")))
-                .otherwise(F.concat_ws("/", "node", "child") if level else F.col("child")),
-            ).drop("child", "wild"),
+                F.when(F.col("child").isNull(), F.col("node")).otherwise(
+                    F.concat_ws("/", "node", "segment") if level else F.col("segment")
+                ),
+            ).drop("child", "segment"),
             "url-nodes",
         )
     return state.select("host", "shape", F.col("node").alias("template"))
