@@ -133,10 +133,7 @@ def format_conversations(
         for whole in batches:
             for batch in _parts(whole):
                 lists = batch.column(1)
-                rows = lists.flatten()
-                roles, texts = rows.field("role"), rows.field("text")
-                if rows.offset or len(roles) != len(rows):
-                    roles, texts = roles.slice(rows.offset, len(rows)), texts.slice(rows.offset, len(rows))
+                _, roles, texts = lists.flatten().flatten()
                 counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
                 learn = np.array([r == learn_from for r in roles.to_pylist()], bool)
                 formatted, spans = assemble(counts, roles, texts, learn)
