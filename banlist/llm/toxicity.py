@@ -44,6 +44,7 @@ LEAST_RATIO = 20.0
 CORRELATED = 0.2
 THRESHOLD = 0.3
 RIDGE = 0.05
+UNKNOWN_WEIGHT = 0.2
 
 # A general lexicon of insults, and patterns of attacks.
 LEXICON = (
@@ -173,7 +174,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, roun
     """Posterior of "toxic" for each row of a 0/1 vote matrix.
 
     Labels are 0, 1 or -1 (unknown). Known rows enter the estimates with their
-    label, unknown ones with their posterior, and the result is that again: the
+    label, unknown ones, from the second round on, with their posterior, and the result is that again: the
     posterior given votes and, where there is one, the label. A voter that does
     not fire abstains, for texts differ in language and subject and most voters
     concern few of them; that no voter at all fires is a sign of its own.
@@ -186,15 +187,18 @@ def label_model(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, roun
     shared = np.ones((n, m))
     for step in range(rounds):
         fixed = np.where(known, labels, q)
-        w1, w0 = weights * fixed, weights * (1 - fixed)
+        # Where both labels are known, unknown rows weigh less, and nothing at first.
+        guided = 0 < labels[known].sum() < known.sum()
+        own = weights * np.where(known, 1.0, (UNKNOWN_WEIGHT if step else 0.0) if guided else 1.0)
+        w1, w0 = own * fixed, own * (1 - fixed)
         # Beta(0.1, 1.9) and Beta(0.05, 9.95) priors: voters fire seldom, on clean texts more seldom.
         fire1 = (w1 @ votes + 0.1) / (w1.sum() + 2.0)
         fire0 = (w0 @ votes + 0.05) / (w0.sum() + 10.0)
-        prior = (w1.sum() + 0.5) / (weights.sum() + 1.0)
-        if step == 3:
+        prior = (w1.sum() + 0.5) / (own.sum() + 1.0)
+        if step in (0, 3):
             # Correlations given the label: what the two rates leave unexplained.
             rest = votes - np.outer(fixed, fire1) - np.outer(1 - fixed, fire0)
-            scaled = rest * np.sqrt(weights)[:, None]
+            scaled = rest * np.sqrt(own)[:, None]
             spread = scaled.T @ scaled
             size = np.sqrt(np.maximum(np.diag(spread), 1e-9))
             correlation = spread / np.outer(size, size)
