@@ -34,6 +34,9 @@ JUDGE_HEAD = (
     "Decide if the proposed answer is correct.\n"
     "Answer ONLY with 'YES' or 'NO'.\n\n"
 )
+JUDGE_QUESTION = "Question: "
+JUDGE_REFERENCE = "\nReference Answer: "
+JUDGE_PROPOSED = "\nProposed Answer: "
 JUDGE_TAIL = "\nIs the proposed answer correct? Only respond 'YES' or 'NO'."
 
 # Summary texts of a selection.

@@ -17,6 +17,9 @@ from banlist.functions.fixed_values import (
     ANSWER_MARKER,
     INTEGER,
     JUDGE_HEAD,
+    JUDGE_PROPOSED,
+    JUDGE_QUESTION,
+    JUDGE_REFERENCE,
     JUDGE_TAIL,
     LINE_END,
     NEWLINE_MARKER,
@@ -140,9 +143,9 @@ def judge_prompt(
 ) -> Column:
     return F.concat(
         F.lit(JUDGE_HEAD),
-        F.lit("Question: "), _col(question),
-        F.lit("\nReference Answer: "), _col(reference),
-        F.lit("\nProposed Answer: "), _col(proposed),
+        F.lit(JUDGE_QUESTION), _col(question),
+        F.lit(JUDGE_REFERENCE), _col(reference),
+        F.lit(JUDGE_PROPOSED), _col(proposed),
         F.lit(JUDGE_TAIL),
     )
 

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from banlist.session import write_table
+
 # A table is broadcast only when its counted size stays below these bounds.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_CHARS = 64_000_000
-# A key is hot when it holds at least one in HOT_SHARE rows, so there are at
-# most HOT_SHARE hot keys whatever the data looks like.
-HOT_SHARE = 1_000
-SALTS = 64
 
 
 def fits_broadcast(df: DataFrame, *text_columns: str) -> bool:
@@ -28,11 +26,13 @@ def count_keys(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def hot_keys(counts: DataFrame, key: str) -> list:
-    """Of counted keys, those with a large share of the rows (at most HOT_SHARE)."""
-    total = counts.agg(F.sum("n").alias("total"))
-    bar = F.greatest(total.scalar() / F.lit(HOT_SHARE), F.lit(2))
-    return [row[0] for row in counts.where(F.col("n") >= bar).select(key).collect()]
+def hot_keys(counts: DataFrame, key: str, tasks: int) -> DataFrame:
+    """``(key, salts)`` of the counted keys that hold more rows than a task's
+    even share, at most ``tasks`` of them; salts cut each into quarters of such
+    shares, which fall into tasks about evenly."""
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    salts = F.ceil(F.col("n") * F.lit(4 * tasks) / total).cast("int")
+    return counts.where((F.col("n") > 1) & (F.col("n") > total / F.lit(tasks))).select(key, salts.alias("__salts"))
 
 
 def lookup(
@@ -42,28 +42,36 @@ def lookup(
     how: str = "left",
     small: bool | None = None,
     counts: DataFrame | None = None,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` on one key.
 
     A table of checked size is broadcast. Otherwise the rows of hot keys are
-    spread over ``salts`` tasks, and only the hot keys' table rows are copied.
-    ``counts`` saves counting the keys of ``rows`` when that was done before.
+    spread over as many tasks as their share asks for, and only the hot keys'
+    table rows are copied. ``counts`` saves counting the keys of ``rows`` when
+    that was done before.
     """
     if small is None:
         texts = [f.name for f in table.schema.fields if f.dataType.simpleString() == "string"]
         small = fits_broadcast(table, *texts)
     if small:
         return rows.join(F.broadcast(table), key, how)
-    hot = hot_keys(count_keys(rows, key) if counts is None else counts, key)
-    if not hot:
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_keys(count_keys(rows, key) if counts is None else counts, key, tasks)
+    hot = write_table(hot, "hot-keys")  # fewer rows than tasks
+    if not hot.head(1):
         return rows.join(table, key, how)
-    is_hot = F.col(key).isin(hot)
     # A hash of the row, not a random number: a task that runs again must send
     # each row to the same place.
     others = [F.col(c) for c in rows.columns if c != key]
-    spread = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")
-    salted_rows = rows.withColumn("__salt", F.when(is_hot, spread).otherwise(F.lit(0)))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_table = table.withColumn("__salt", F.explode(copies))
+    salts = F.coalesce("__salts", F.lit(1))
+    salted_rows = (
+        rows.join(F.broadcast(hot), key, "left")
+        .withColumn("__salt", F.pmod(F.xxhash64(*others), salts).cast("int"))
+        .drop("__salts")
+    )
+    salted_table = (
+        table.join(F.broadcast(hot), key, "left")
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("__salts")
+    )
     return salted_rows.join(salted_table, [key, "__salt"], how).drop("__salt")

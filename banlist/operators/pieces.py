@@ -248,10 +248,13 @@ def encode(
 ) -> DataFrame:
     """``(key, ids)`` of each text, by byte-pair pieces of its words.
 
-    Each distinct word is decomposed once, however often it occurs.
+    Each distinct word is decomposed once, however often it occurs. The texts
+    are dealt out by key before they are split, so a text's words stay where
+    they are when their ids are broadcast.
     """
-    occurrences = texts.select(key, F.posexplode_outer(words(text)).alias("at", "token"))
-    distinct = write_table(count_keys(occurrences, "token"), "words")
+    counted = texts.select(F.explode(words(text)).alias("token"))
+    distinct = write_table(count_keys(counted, "token"), "words")
+    occurrences = _by_key(texts, key, text).select(key, F.posexplode_outer(words(text)).alias("at", "token"))
     ids = vocab.select("token", "token_id")
     word_ids = write_table(
         _piece_ids(distinct, ids, merges, unknown_id, fits_broadcast(ids, "token")), "word-ids"
@@ -261,11 +264,17 @@ def encode(
 
 def encode_words(texts: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """``(key, ids)`` of texts all of whose words are vocabulary tokens."""
-    occurrences = texts.select(key, F.posexplode_outer(words(text)).alias("at", "token"))
+    occurrences = _by_key(texts, key, text).select(key, F.posexplode_outer(words(text)).alias("at", "token"))
     found = lookup(occurrences, vocab.select("token", F.array("token_id").alias("ids")), "token")
     return _gather(found, key)
 
 
+def _by_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """The rows dealt out by key while they are compact: what is made of a row
+    is grouped again without another shuffle."""
+    return rows.select(key, *columns).repartition(key)
+
+
 def _gather(found: DataFrame, key: str) -> DataFrame:
     # The group is one text: its ids in the order of its words.
     places = F.sort_array(
@@ -293,7 +302,7 @@ def decode(
         ]
     )
     places = (
-        rows.select(key, F.inline(slots))
+        _by_key(rows, key, *columns).select(key, F.inline(slots))
         .select(key, "slot", F.posexplode_outer("ids").alias("at", "token_id"))
     )
     table = vocab.select("token_id", "token")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from banlist.functions.text import strip_space_marker, words
 from banlist.operators.pieces import encode_words, merge_depth
-from banlist.operators.ranking import with_index
+from banlist.operators.ranking import first_k, with_index
 from banlist.operators.selection import TokenTables
 from banlist.session import shared_table, spread, write_table
 from banlist.sources.vocab import bare_counts, build_vocabulary, prefix_merges
@@ -93,6 +93,12 @@ def _build_banned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent.where(F.length("token") >= 5).select("token")
 
 
+def rare(spark: SparkSession, sf_dir: str, k: int | None) -> DataFrame:
+    """The k least frequent bare words; all of them without a k."""
+    counts = bare_counts(vocab(spark, sf_dir))
+    return first_k(counts, [F.asc("cnt"), F.asc("token")], k).select("token")
+
+
 def _build_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     asked = turns.where(F.col("role") == "user").select(

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from banlist.functions.fixed_values import (
+    SUMMARY_COMBINED,
+    SUMMARY_CUSTOM,
+    SUMMARY_FREQUENCY,
+    SUMMARY_REGEX,
+    SUMMARY_SYNTHETIC,
+)
 from banlist.functions.text import strip_space_marker
 from banlist.operators import selection as sel
 from banlist.operators.pieces import decode, decompose, encode, token_ids
 from banlist.operators.ranking import first_k
 from banlist.plans import fixtures as fx
-from banlist.plans.oracle_views import excluded, text_list, words
+from banlist.plans.oracle_views import excluded, text_list, text_literal, words
 from banlist.plans.registry import query
 from banlist.sources.vocab import bare_counts
 
@@ -185,14 +192,20 @@ def sel_dispatch(spark, sf):
     return sel.select_many(_tables(spark, sf), CRITERIA)
 
 
+def _summary_sql(template: str, **values) -> str:
+    """A fixed summary text as SQL that puts the count ``n`` in."""
+    before, _, after = template.format(n="\0", **values).partition("\0")
+    return f"{text_literal(before)} || n || {text_literal(after)}"
+
+
 _SUMMARY_SQL = {
-    "frequency": "'Frequency criterion: selected ' || n || ' tokens (leaf filter: True; order: most_frequent).'",
-    "rare": "'Frequency criterion: selected ' || n || ' tokens (leaf filter: False; order: least_frequent).'",
-    "regex": "'Regex criterion: selected ' || n || ' tokens matching pattern ''.*\\d.*''.'",
-    "synthetic": "'Synthetic criterion: selected ' || n || ' tokens matching POS tags: [''NOUN'', ''VERB''].'",
-    "custom": "'Custom criterion: selected ' || n || ' tokens.'",
-    "combined": "'Combined criterion: ' || n || ' tokens satisfy all sub-criteria.'",
-    "combined_regex": "'Combined criterion: ' || n || ' tokens satisfy all sub-criteria.'",
+    "frequency": _summary_sql(SUMMARY_FREQUENCY, leaf=True, order="most_frequent"),
+    "rare": _summary_sql(SUMMARY_FREQUENCY, leaf=False, order="least_frequent"),
+    "regex": _summary_sql(SUMMARY_REGEX, pattern=DIGIT),
+    "synthetic": _summary_sql(SUMMARY_SYNTHETIC, pos=["NOUN", "VERB"]),
+    "custom": _summary_sql(SUMMARY_CUSTOM),
+    "combined": _summary_sql(SUMMARY_COMBINED),
+    "combined_regex": _summary_sql(SUMMARY_COMBINED),
 }
 
 

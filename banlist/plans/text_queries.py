@@ -74,6 +74,33 @@ def join_contains_theta(spark, sf):
     return keep_containing(outputs, "free_output", fx.banned(spark, sf), "idx")
 
 
+def _rare_view(k: int | None) -> str:
+    cut = "" if k is None else f" order by cnt, token limit {k}"
+    return f"(select token from bare{cut})"
+
+
+def _register_list_size(name: str, k: int | None, method: str) -> None:
+    """Bans of the sizes in use: one pattern, several, and the equi-join."""
+    flags = ", ".join(
+        f"{has_banned(text, _rare_view(k))} as {flag}"
+        for text, flag in (("free_output", "in_free"), ("taboo_output", "in_taboo"))
+    )
+
+    @query(name, ["runs", "bare"], f"select idx, {flags} from runs")
+    def run(spark, sf):
+        outputs = fx.runs(spark, sf).select("idx", "free_output", "taboo_output")
+        columns = {"free_output": "in_free", "taboo_output": "in_taboo"}
+        flagged = flag_contained(outputs, columns, fx.rare(spark, sf, k), "idx", method=method)
+        return flagged.select("idx", "in_free", "in_taboo")
+
+
+_register_list_size("join_contains_100", 100, "auto")
+_register_list_size("join_contains_10000", 10_000, "auto")
+_register_list_size("join_contains_70000", 70_000, "auto")
+_register_list_size("join_contains_patterns", None, "pattern")
+_register_list_size("join_contains_joined", None, "join")
+
+
 @query(
     "str_gsm_answer",
     ["runs"],

@@ -8,6 +8,8 @@ computed once and read with column pruning.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -30,6 +32,7 @@ def scratch_root(spark: SparkSession) -> str:
             )
         if app not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="run-banlist-")
+            atexit.register(shutil.rmtree, _LOCAL_ROOTS[app], ignore_errors=True)
         root = _LOCAL_ROOTS[app]
     return f"{root.rstrip('/')}/banlist-{app}"
 
@@ -57,15 +60,20 @@ def shared_table(
     return _SHARED[full_key]
 
 
+# A scan of up to so many splits may be dealt out anew: 2 GB at Spark's defaults.
+SPREAD_SPLITS = 16
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Give every core a share of a file scan that has fewer splits than cores.
+    """Give every core a share of a small file scan with fewer splits than cores.
 
-    Such an input is small by definition (a split is a file block), so moving
-    it costs little; an input with enough splits is left as it is. Select the
+    A file of one row group cannot be split by the scan. Moving at most
+    SPREAD_SPLITS splits is cheap; a larger scan is left as it is. Select the
     needed columns first.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    splits = scan.rdd.getNumPartitions()
+    return scan.repartition(cores) if splits < min(cores, SPREAD_SPLITS + 1) else scan
 
 
 def clear_scratch(spark: SparkSession) -> None:

@@ -44,7 +44,8 @@ def test_salted_lookup(spark, monkeypatch, how):
     plain = sorted(map(tuple, rows.join(table, "k", how).select("id", "k", "v").collect()), key=str)
     salted = lookup.lookup(rows, table, "k", how, small=False).select("id", "k", "v")
     assert sorted(map(tuple, salted.collect()), key=str) == plain
-    assert hot_keys(count_keys(rows, "k"), "k") == [1]
+    hot = {r.k: r["__salts"] for r in hot_keys(count_keys(rows, "k"), "k", 8).collect()}
+    assert list(hot) == [1] and 1 < hot[1] <= 32
 
 
 def test_scratch_follows_the_session_setting(spark):
@@ -74,7 +75,7 @@ def test_a_hot_key_is_spread_over_the_tasks(spark):
             spark.conf.set(k, v)
     # 90 % of the rows share one key; without salting one task would hold them.
     assert sum(r["count"] for r in sizes) == 40_000
-    assert max(r["count"] for r in sizes) < 14_000
+    assert max(r["count"] for r in sizes) < 10_000
 
 
 def test_one_long_conversation(spark, tmp_path):
