@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from banlist.llm.workers import ship
+from banlist.llm.workers import ship, slices
 from banlist.session import write_table
 
 ship(__name__)
 
 # Members of a group that one block compares with each other, in two halves.
-HALF_BLOCK = 1024
+HALF_BLOCK = 512
 HALF_BYTES = 8_000_000
 
 
@@ -96,7 +96,7 @@ def _compare(blocks: DataFrame, kernel: Kernel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, payloads, found = None, [], [], []
-        for batch in batches:
+        for batch in slices(batches, "payload"):
             for block, node, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if block != now:
                     found += block_edges(nodes, payloads)

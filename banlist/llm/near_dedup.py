@@ -137,14 +137,14 @@ class Signer:
 
 def estimated(signatures: np.ndarray) -> np.ndarray:
     """Similarities of all pairs of packed signatures, corrected for chance."""
-    same = np.zeros((len(signatures), len(signatures)), np.int32)
+    differing = np.zeros((len(signatures), len(signatures)), np.uint8)
     words = np.ascontiguousarray(signatures).view(np.uint64)
     odd = np.uint64(0x5555555555555555)
     for k in range(words.shape[1]):
         differ = words[:, k, None] ^ words[None, :, k]
-        same += np.bitwise_count((differ | (differ >> np.uint64(1))) & odd).astype(np.int32)
-    share = 1 - same / HASHES
-    chance = 0.5**LOW_BITS
+        differing += np.bitwise_count((differ | (differ >> np.uint64(1))) & odd)
+    share = np.float32(1) - differing / np.float32(HASHES)
+    chance = np.float32(0.5**LOW_BITS)
     return (share - chance) / (1 - chance)
 
 
@@ -163,21 +163,22 @@ def _linked(percent: int):
         n = np.array([len(s) for s in sets], np.int64)
         owner = np.repeat(np.arange(len(sets)), n)
         _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = counts > 1
-        number = np.cumsum(shared) - 1
-        keep = shared[column]
+        often = counts > 1
+        number = np.cumsum(often) - 1
+        keep = often[column]
         rows, columns = owner[keep], number[column[keep]]
         order = np.argsort(columns, kind="stable")
         rows, columns = rows[order], columns[order]
         both = np.zeros((len(sets), len(sets)), np.float32)
         width = max(64, min(4096, 8_000_000 // max(1, len(sets))))
-        for at in range(0, int(shared.sum()), width):
+        for at in range(0, int(often.sum()), width):
             a, b = np.searchsorted(columns, [at, at + width])
             grid = np.zeros((len(sets), width), np.float32)
             grid[rows[a:b], columns[a:b] - at] = 1
             both += grid @ grid.T
-        union = n[:, None] + n[None, :] - both
-        return np.triu(100 * both >= percent * union, 1)
+        # 100 * both >= percent * (n + m - both), in whole numbers.
+        shared = both.astype(np.int64)
+        return np.triu((100 + percent) * shared >= percent * (n[:, None] + n[None, :]), 1)
 
     return kernel
 

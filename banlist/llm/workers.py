@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 
@@ -32,8 +33,7 @@ def slices(
         if not n:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = column.cast(pa.large_binary()).to_pandas().map(lambda x: len(x) if x is not None else 0)
-        ends = np.cumsum(lengths.to_numpy(dtype=np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64))
         at = 0
         while at < n:
             before = ends[at - 1] if at else 0
