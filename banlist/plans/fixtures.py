@@ -17,7 +17,8 @@ from banlist.session import shared_table, spread, write_table
 from banlist.sources.vocab import bare_counts, build_vocabulary, prefix_merges
 
 SPECIAL_TOKENS = ["<|endoftext|>", "|||EMAIL_ADDRESS|||"]
-N_MERGES = 4000
+# The size of the rule list, of the order of those in use.
+N_MERGES = 40_000
 K_SHOT = 3
 MODEL = "demo-7b-Instruct"
 DATASET = "conversations"
