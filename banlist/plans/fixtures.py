@@ -6,6 +6,8 @@ and answer pairs and, by fixed edits, pairs of model outputs.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,16 @@ def token_tables(spark: SparkSession, sf_dir: str) -> TokenTables:
     )
 
 
+def marked_tables(spark: SparkSession, sf_dir: str) -> TokenTables:
+    """The same with leaf marks and tags on the vocabulary, made once for all
+    queries that ask many criteria."""
+    tables = token_tables(spark, sf_dir)
+    vocab_ = shared_table(
+        spark, (sf_dir, "marked"), lambda: tables.marked(leaf=True, tags=True).vocab
+    )
+    return replace(tables, vocab=vocab_)
+
+
 def banned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longer ones of the 400 most frequent bare words."""
     return shared_table(

@@ -189,7 +189,7 @@ def set_combined(spark, sf):
     ),
 )
 def sel_dispatch(spark, sf):
-    return sel.select_many(_tables(spark, sf), CRITERIA)
+    return sel.select_many(fx.marked_tables(spark, sf), CRITERIA)
 
 
 def _summary_sql(template: str, **values) -> str:
@@ -223,7 +223,7 @@ def _uncut(name: str) -> str:
     ),
 )
 def agg_token_count(spark, sf):
-    return sel.summarise(_tables(spark, sf), CRITERIA)
+    return sel.summarise(fx.marked_tables(spark, sf), CRITERIA)
 
 
 @query(

@@ -199,7 +199,7 @@ def snk_selected_tokens(spark, sf):
     path = scratch_path(spark, "selected-tokens")
     chosen = {name: CRITERIA[name] for name in _SAVED}
     for _ in range(2):  # the second time replaces the first
-        sinks.save_selected_tokens(fx.token_tables(spark, sf), chosen, "demo", path)
+        sinks.save_selected_tokens(fx.marked_tables(spark, sf), chosen, "demo", path)
     tokens = spark.read.parquet(f"{path}/tokens")
     summary = spark.read.parquet(f"{path}/summary")
     return tokens.join(summary, ["model", "criteria_hash"]).select(
