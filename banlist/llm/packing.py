@@ -214,22 +214,28 @@ def slot_rows(plan: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int,
     return rows
 
 
+def dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """The rows of a written table with ``__block``, by a hash of file and place."""
+    return rows.withColumn(
+        "__block", F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(blocks)).cast("int")
+    )
+
+
 def ranked(rows: DataFrame, by: str, order: list[str], name: str = "rank") -> DataFrame:
     """Number the rows of each value of ``by`` from 0, however many there are.
 
     ``rows`` must be a written table. Its rows are dealt to blocks by their
-    numbers in the scan, so rows that are alike in all columns are dealt out
-    too; blocks are counted, and a row's number is its block's start plus its
-    place in the block.
+    files and places, so rows that are alike in all columns are dealt out too,
+    and both scans deal alike however they are split; blocks are counted, and a
+    row's number is its block's start plus its place in the block.
     """
     blocks = max(RANK_BLOCKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("__block", block)
-    sizes = dealt.groupBy(by, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    dealing = dealt(rows, blocks)
+    sizes = dealing.groupBy(by, "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(by, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy(by, "__block").orderBy(*order)
-    placed = dealt.withColumn("__place", F.row_number().over(inside) - 1)
+    placed = dealing.withColumn("__place", F.row_number().over(inside) - 1)
     return (
         placed.join(starts, [by, "__block"])
         .withColumn(name, F.col("__start") + F.col("__place"))

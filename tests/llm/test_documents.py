@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from banlist.llm import exact_dedup, fingerprint, graph, near_dedup, packing, row_marks, sharding
+from banlist.llm import exact_dedup, fingerprint, graph, near_dedup, packing, row_marks, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, kept string, component string, row string"
 
@@ -307,3 +307,70 @@ def test_marks(docs, monkeypatch):
         assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == sorted(
             r.doc_id for r in docs.where("doc_id % 2 = 1").collect()
         )
+
+
+@pytest.fixture
+def resplit(spark, monkeypatch):
+    """Every written table changes how later scans are split, as a lost executor does."""
+    state = {"n": 1}
+
+    def change():
+        state["n"] = 9 - state["n"]
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", state["n"])
+
+    for module in (row_marks, exact_dedup, near_dedup, toxicity, packing):
+        def written(df, name, write=module.write_table):
+            out = write(df, name)
+            change()
+            return out
+
+        monkeypatch.setattr(module, "write_table", written)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    yield change
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_row_numbers_do_not_follow_splits(spark, resplit, tmp_path):
+    """Many files, dealt to tasks otherwise between two scans."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(5, 90)))) for i in range(60)]
+    rows += [(100 + i, rows[i][1].replace(" ", "  ")) for i in range(20)]
+    rows += [(200 + i, rows[i][1]) for i in range(20, 50)]
+    folder = str(tmp_path / "a b%20#\u00fc")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(24).write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    seen, parts = [], set()
+    for _ in range(2):
+        resplit()
+        parts.add(docs.select("*").rdd.getNumPartitions())
+        seen.append(sorted((r["__row"], r.doc_id) for r in row_marks.numbered(docs).collect()))
+    assert len(parts) == 2 and seen[0] == seen[1]
+    assert len({row for row, _ in seen[0]}) == len(rows)
+    want = list(range(60))
+    assert sorted(r.doc_id for r in exact_dedup.dedup(docs).where("doc_id < 100").collect()) == list(range(20, 60))
+    assert exact_dedup.dedup(docs).count() == 60
+    assert sorted(r.doc_id for r in near_dedup.without_near_duplicates(docs).collect()) == want
+    hits = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.lit("you are an idiot, shut up you moron!!!")).otherwise(F.col("text")))
+    hits.repartition(24).write.parquet(str(tmp_path / "hits"))
+    hits = spark.read.parquet(str(tmp_path / "hits"))
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    left = {r.doc_id for r in toxicity.without_toxic(hits, labels).collect()}
+    assert left == {i for i, _ in rows if i % 7}
+
+
+def test_ranks_do_not_follow_splits(spark, resplit, tmp_path):
+    """The counts of one scan are starts for the rows of another."""
+    folder = str(tmp_path / "t")
+    spark.range(3000).select((F.col("id") % 3).alias("n"), F.lit("same").alias("s")).repartition(24).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    block = []
+    for _ in range(2):
+        resplit()
+        dealt = packing.dealt(rows, 64).withColumn("place", F.col("_metadata.row_index"))
+        block.append(sorted(tuple(r) for r in dealt.select("_metadata.file_path", "place", "__block").collect()))
+    assert block[0] == block[1] and len({b for *_, b in block[0]}) == 64
+    ranks = {}
+    for r in packing.ranked(rows, "n", ["s"]).collect():
+        ranks.setdefault(r.n, []).append(r["rank"])
+    assert all(sorted(v) == list(range(1000)) for v in ranks.values()) and len(ranks) == 3
