@@ -9,6 +9,8 @@ therefore holds no control string, and escaping can be undone exactly.
 A batch is assembled in numpy: the lengths of all segments give their offsets,
 every content byte gets its place in one preallocated buffer, and all bytes are
 written there at once. The buffer becomes an Arrow string column as it is.
+
+A conversation may be of any length: its turns come in sorted and leave in parts.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,9 +103,8 @@ def assemble(
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of about BATCH_BYTES, or of one conversation."""
-    sizes = np.array(batch.column(2).to_pylist(), np.int64)
-    ends = np.cumsum(sizes)
+    """Slices of about BATCH_BYTES of roles and texts, or of one turn."""
+    ends = np.cumsum(sum(pc.binary_length(batch.column(i)).to_numpy().astype(np.int64) for i in (1, 2)))
     at = 0
     while at < batch.num_rows:
         stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right"))
@@ -111,7 +113,22 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = stop
 
 
-def format_conversations(
+def _same(a, b) -> bool:
+    return a is b or a == b or (a != a and b != b)
+
+
+def _lists(spans: pa.Array, rows: np.ndarray, more: int, kind: pa.DataType) -> pa.Array:
+    """Span lists that begin at these list rows, with starts as ``kind``; those of
+    the first row are moved by ``more``."""
+    values = spans.flatten()
+    offsets = spans.offsets.to_numpy() - spans.offsets[0].as_py()
+    start = values.field(0).to_numpy().astype(np.int64)
+    start[: offsets[1] if len(offsets) > 1 else 0] += more
+    both = pa.StructArray.from_arrays([pa.array(start, kind), values.field(1).cast(pa.int32())], ["start", "length"])
+    return pa.ListArray.from_arrays(pa.array(offsets[rows], pa.int32()), both)
+
+
+def format_parts(
     turns: DataFrame,
     key: str = "conv_id",
     turn: str = "turn",
@@ -119,39 +136,114 @@ def format_conversations(
     text: str = "text",
     learn_from: str = "assistant",
 ) -> DataFrame:
-    """``(key, formatted, loss_spans)`` of every conversation.
+    """``(key, part, formatted, loss_spans)``: every conversation in consecutive
+    rows of one partition, which together are its text.
 
-    ``loss_spans`` are the byte ranges of the escaped texts of role
-    ``learn_from``. Turns are in order of ``turn`` (null first), then role, then
-    text; repeated rows are turns of their own. Null roles and texts are empty
-    ones; rows with a null key form one conversation. Only conversations that
-    have rows are returned. Other columns are ignored. One shuffle by key: a
-    conversation is one value of the result, so its rows must meet.
+    Turns are dealt out by key and sorted, on disk if need be, and are assembled
+    as they come in, so a task never holds more of a conversation than
+    BATCH_BYTES or one turn, however long it is. ``part`` counts from 0;
+    ``loss_spans`` start from the conversation's first byte. Rows are treated as
+    in `format_conversations`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, part, offset = None, -1, 0  # of the conversation that may go on
         for whole in batches:
             for batch in _parts(whole):
-                lists = batch.column(1)
-                _, roles, texts = lists.flatten().flatten()
-                counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                keys, roles, texts = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+                fresh = [part < 0 or not _same(last, keys[0])]
+                fresh += [not _same(a, b) for a, b in zip(keys, keys[1:])]
+                if fresh[0]:
+                    part, offset = -1, 0
+                starts = np.flatnonzero([True, *fresh[1:]])
+                counts = np.diff(np.append(starts, len(keys)))
                 learn = np.array([r == learn_from for r in roles.to_pylist()], bool)
                 formatted, spans = assemble(counts, roles, texts, learn)
-                yield pa.RecordBatch.from_arrays([batch.column(0), formatted, spans], ["k", "formatted", "loss_spans"])
+                numbers = np.zeros(len(starts), np.int64)
+                numbers[0] = part + 1
+                size = pc.binary_length(formatted)[-1].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(starts)),
+                        pa.array(numbers),
+                        formatted,
+                        _lists(spans, np.arange(len(starts) + 1), offset, pa.int64()),
+                    ],
+                    ["k", "part", "formatted", "loss_spans"],
+                )
+                offset = offset + size if len(starts) == 1 else size
+                last, part = keys[-1], int(numbers[-1])
 
     kind = turns.schema[key].dataType.simpleString()
     clean = turns.select(
         F.col(key).alias("k"),
-        F.struct(
-            F.col(turn).alias("turn"),
-            F.coalesce(F.col(role), F.lit("")).alias("role"),
-            F.coalesce(F.col(text), F.lit("")).alias("text"),
-        ).alias("row"),
+        F.coalesce(F.col(role), F.lit("")).alias("role"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.col(turn).alias("turn"),
     )
-    size = F.sum(F.octet_length("row.text") + F.octet_length("row.role"))
-    grouped = clean.groupBy("k").agg(F.array_sort(F.collect_list("row")).alias("rows"), size.alias("size"))
+    # The order within a conversation is that of its turns; nulls come first.
+    rows = clean.repartition("k").sortWithinPartitions("k", "turn", "role", "text").select("k", "role", "text")
+    schema = f"k {kind}, part long, formatted string, loss_spans array<struct<start:long,length:int>>"
+    return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Whole conversations from consecutive parts; the first row begins one."""
+    if sum(b.column(2).nbytes for b in batches) >= 1 << 31:
+        raise ValueError("a conversation of 2 GB or more is no single value: use format_parts")
+    table = pa.Table.from_batches(batches).combine_chunks()
+    key, part, text, spans = (c.chunk(0) for c in table.columns)
+    rows = np.flatnonzero(part.to_numpy() == 0)
+    ends = np.append(rows, len(part))
+    raw, offsets = _bytes_of(text)
+    formatted = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(offsets[ends]), pa.py_buffer(raw))
+    return pa.RecordBatch.from_arrays(
+        [key.take(pa.array(rows)), formatted.cast(pa.string()), _lists(spans, ends, 0, pa.int32())],
+        ["k", "formatted", "loss_spans"],
+    )
+
+
+def format_conversations(
+    turns: DataFrame,
+    key: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    learn_from: str = "assistant",
+) -> DataFrame:
+    """``(key, formatted, loss_spans)`` of every conversation.
+
+    ``loss_spans`` are the byte ranges of the escaped texts of role
+    ``learn_from``. Turns are in order of ``turn`` (null first), then role, then
+    text; repeated rows are turns of their own. Null roles and texts are empty
+    ones; rows with a null key form one conversation. Only conversations that
+    have rows are returned. Other columns are ignored. One shuffle by key.
+
+    A conversation is one value here, so it must be held, and one of 2 GB or
+    more is refused; `format_parts` has no such limit.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the parts of one conversation that may go on
+        for batch in batches:
+            fresh = np.flatnonzero(batch.column(1).to_numpy() == 0)
+            if not len(fresh):
+                held.append(batch)
+                continue
+            if fresh[0]:
+                held.append(batch.slice(0, fresh[0]))
+            if held:
+                yield _joined(held)
+            if fresh[-1] > fresh[0]:
+                yield _joined([batch.slice(fresh[0], fresh[-1] - fresh[0])])
+            held = [batch.slice(fresh[-1])]
+        if held:
+            yield _joined(held)
+
+    kind = turns.schema[key].dataType.simpleString()
     schema = f"k {kind}, formatted string, loss_spans array<struct<start:int,length:int>>"
-    return grouped.mapInArrow(run, schema).withColumnRenamed("k", key)
+    parts = format_parts(turns, key, turn, role, text, learn_from)
+    return parts.withColumnRenamed(key, "k").mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def unescape(raw: bytes) -> bytes:
@@ -170,40 +262,65 @@ def parse(formatted: bytes) -> list[tuple[bytes, bytes]]:
     return turns
 
 
+class _Digest:
+    """What a conversation's parts hold, read in order."""
+
+    def __init__(self, key) -> None:
+        self.key = key
+        self.turns = self.size = self.learnt = self.chars = 0
+        self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def read(self, text: str, spans: list[dict]) -> None:
+        raw = text.encode("utf-8", "surrogatepass")
+        for role, own in parse(raw):
+            self.turns += 1
+            self.whole.update(role + b"\n" + own + b"\n")
+        for s in spans:
+            start = s["start"] - self.size
+            own = unescape(raw[start : start + s["length"]])
+            self.loss.update(own)
+            self.learnt += len(own.decode("utf-8", "surrogatepass"))
+        self.size += len(raw)
+        self.chars += len(text)
+
+    def values(self) -> tuple:
+        return self.key, self.turns, self.whole.hexdigest(), self.learnt, self.loss.hexdigest(), self.chars
+
+
 def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Digests of what formatted conversations hold, from their texts and spans alone."""
+    """Digests of what formatted conversations hold, from their texts and spans
+    alone. With a column ``part`` rows are those of `format_parts`, in its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
-            for text, spans in zip(batch.column(1), batch.column(2)):
-                raw = text.as_py().encode("utf-8", "surrogatepass")
-                turns = parse(raw)
-                whole = hashlib.sha256()
-                for role, own in turns:
-                    whole.update(role + b"\n" + own + b"\n")
-                learnt = b"".join(unescape(raw[s["start"] : s["start"] + s["length"]]) for s in spans.as_py())
-                values = (
-                    len(turns),
-                    whole.hexdigest(),
-                    len(learnt.decode("utf-8", "surrogatepass")),
-                    hashlib.sha256(learnt).hexdigest(),
-                    len(text.as_py()),
-                )
-                for column, value in zip(columns, values):
-                    column.append(value)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *arrays],
+        now = None
+
+        def done(digests: list[_Digest], kind: pa.DataType) -> pa.RecordBatch:
+            kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            columns = zip(*(d.values() for d in digests))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
                 ["k", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
             )
 
+        for batch in batches:
+            ended = []
+            for k, part, text, spans in zip(*(batch.column(i) for i in range(4))):
+                if not part.as_py():
+                    if now:
+                        ended.append(now)
+                    now = _Digest(k.as_py())
+                now.read(text.as_py(), spans.as_py())
+            if ended:
+                yield done(ended, batch.column(0).type)
+        if now:
+            yield done([now], batch.column(0).type)
+
     kind = formatted.schema[key].dataType.simpleString()
     schema = (
         f"k {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
-    rows = formatted.select(F.col(key).alias("k"), "formatted", "loss_spans")
+    part = F.col("part") if "part" in formatted.columns else F.lit(0)
+    rows = formatted.select(F.col(key).alias("k"), part.cast("long").alias("part"), "formatted", "loss_spans")
     return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
@@ -217,4 +334,4 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(words).alias("text"),
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    return read_back(format_conversations(turns))
+    return read_back(format_parts(turns))

@@ -125,6 +125,30 @@ def test_conversations(spark, monkeypatch, size):
     assert chat_format.read_back(chat_format.format_conversations(df.limit(0))).collect() == []
 
 
+def test_long_conversations_are_never_held(spark, monkeypatch):
+    """Two thirds of the turns are of one key and of null; parts stay small."""
+    monkeypatch.setattr(chat_format, "BATCH_BYTES", 300)
+    rng = random.Random(11)
+    rows = [(k, i, rng.choice(["user", "assistant"]), rng.choice(CONTROL) * 5) for i in range(200) for k in (None, -3, i)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat_format.format_parts(df)
+    joined, spans, numbers = {}, {}, {}
+    for r in parts.collect():
+        assert len(r.formatted) < 3000
+        joined[r.conv_id] = joined.get(r.conv_id, "") + r.formatted
+        spans.setdefault(r.conv_id, []).extend((s.start, s.length) for s in r.loss_spans)
+        numbers.setdefault(r.conv_id, []).append(r.part)
+    assert all(n == list(range(len(n))) for n in numbers.values()) and len(numbers[None]) > 5 < len(numbers[-3])
+    whole = chat_format.format_conversations(df).collect()
+    assert {r.conv_id: r.formatted for r in whole} == joined
+    assert {r.conv_id: [(s.start, s.length) for s in r.loss_spans] for r in whole} == spans
+    digests = chat_format.read_back(parts)
+    assert sorted(map(str, digests.collect())) == sorted(map(str, chat_format.read_back(chat_format.format_conversations(df)).collect()))
+    queries.load_all()
+    plan = registry.QUERIES["op7_chat_format"](spark, SF_SMALL)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
 def test_label_model_finds_accuracies_and_shares_evidence():
     rng = np.random.default_rng(1)
     y = (rng.random(3000) < 0.2).astype(int)
