@@ -9,6 +9,7 @@ _MODULES = (
     "chat_format",
     "exact_dedup",
     "fingerprint",
+    "infill",
     "near_dedup",
     "packing",
     "sharding",
