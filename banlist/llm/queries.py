@@ -10,8 +10,10 @@ _MODULES = (
     "exact_dedup",
     "fingerprint",
     "infill",
+    "language_model",
     "near_dedup",
     "packing",
+    "phrases",
     "sharding",
     "token_counts",
     "toxicity",
