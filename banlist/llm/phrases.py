@@ -391,7 +391,7 @@ with p as (
       '[.,;:!?\\x0A-\\x0D]')) as piece
   from documents
 ), w as (
-  select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), x -> x <> '') as w from p
+  select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from p
 ), sizes as (
   select lang, cast(sum(len(w)) as bigint) as n from w group by lang
 ), g as (
