@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,27 +58,30 @@ def paths(words: list[bytes], tokens: np.ndarray) -> Iterator[tuple[np.ndarray,
     for at in range(0, len(tokens), TOKENS_AT_ONCE):
         own = tokens[at : at + TOKENS_AT_ONCE]
         raw = np.concatenate([before, ragged(pool, starts[own], spread[own])])
-        coded = np.ones(len(raw), bool)
-        coded[:ORDER] = False
-        ends = ORDER + np.cumsum(spread[own])
+        out = np.zeros(len(raw) - ORDER, np.uint64)
+        for k in range(ORDER, -1, -1):
+            out = (out << np.uint64(8)) | raw[ORDER - k : len(raw) - k]
+        ends = np.cumsum(spread[own])
         skipped = ends[spread[own] != sizes[own]]
+        coded = np.ones(len(out), bool)
         for k in range(1, ORDER + 1):
             coded[skipped - k] = False
-        places_of = np.flatnonzero(coded)
-        out = np.zeros(len(places_of), np.uint64)
-        for k in range(ORDER, -1, -1):
-            out = (out << np.uint64(8)) | raw[places_of - k]
+        out = out[coded]
         yield out, sizes[own]
         before = raw[len(raw) - ORDER :]
 
 
-def merged(keys: np.ndarray, sums: np.ndarray, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with their sums, and more keys with counts."""
-    order = np.argsort(more)
-    ranked = more[order]
-    cuts = np.flatnonzero(np.diff(ranked, prepend=~ranked[:1]))
-    new = np.add.reduceat(counts[order].astype(np.int64), cuts) if len(cuts) else np.empty(0, np.int64)
-    return summed(np.append(keys, ranked[cuts]), np.append(sums, new))
+def path_counts(words: list[bytes], tokens: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct paths, sorted, with their counts in training tokens."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    end = 0
+    for keys, sizes in paths(words, tokens):
+        own = np.repeat(train[end : end + len(sizes)], sizes)
+        found.append(np.unique(keys[own], return_counts=True))
+        others = np.unique(keys[~own])
+        found.append((others, np.zeros(len(others), np.int64)))
+        end += len(sizes)
+    return summed(*map(np.concatenate, zip(*found)))
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +175,7 @@ def _read(kind: pa.DataType):
             lengths = np.diff(ends, prepend=0)
             train = ~np.repeat(held, lengths)
             counts = np.bincount(at[train], minlength=len(words)).astype(np.int64)
-            keys, sums, end = np.empty(0, np.uint64), np.empty(0, np.int64), 0
-            for found, sizes in paths(words.to_pylist(), at):
-                weights = np.repeat(train[end : end + len(sizes)], sizes)
-                keys, sums = merged(keys, sums, found, weights)
-                end += len(sizes)
+            keys, sums = path_counts(words.to_pylist(), at, train)
             packed = [pack(at[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())]
             n, cell = len(texts) + 1, numbers.take()
             last = lambda value, kind: pa.array([None] * (n - 1) + [value], kind)
@@ -261,7 +261,7 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for found, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             more = cells.unpack_sorted(found) & np.uint64(0xFFFF)
-            keys, sums = merged(keys, sums, more, unpack(packed, np.int64))
+            keys, sums = summed(np.append(keys, more), np.append(sums, unpack(packed, np.int64)))
     seen = sums > 0
     yield pa.RecordBatch.from_arrays([pa.array(keys[seen].astype(np.int64)), pa.array(sums[seen])], ["key", "c"])
 
@@ -300,14 +300,13 @@ def _score(total: int, known: int, kind: pa.DataType):
             counts[unpack(where[i], np.int32)] = unpack(values[i], np.int64)
         keys = np.concatenate([cells.unpack_sorted(where[i]) for i in np.flatnonzero(~of_word)])
         chances = np.concatenate([unpack(values[i], np.float64) for i in np.flatnonzero(~of_word)])
-        order = np.argsort(keys)
-        keys, chances = keys[order], chances[order]
+        at_path = pd.Index(keys.view(np.int64))
         tokens = [unpack(b, np.int32) for b in texts.column("tokens").to_pylist()]
         lengths = np.array([len(t) for t in tokens])
         at = np.concatenate(tokens)
         score = np.concatenate(
             [
-                np.add.reduceat(chances[np.searchsorted(keys, found)], np.cumsum(sizes) - sizes)
+                np.add.reduceat(chances[at_path.get_indexer(found.view(np.int64))], np.cumsum(sizes) - sizes)
                 for found, sizes in paths(words, at)
             ]
         )

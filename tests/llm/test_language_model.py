@@ -118,9 +118,7 @@ def test_chances_of_a_context_add_up_to_one():
     own = [w or b"\n" for _, text in _documents()[:60] for w in tokens(text)]
     words = sorted(set(own))
     at = np.array([words.index(w) for w in own], np.int32)
-    keys, sums = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for found, _ in language_model.paths(words, at):
-        keys, sums = language_model.merged(keys, sums, found, np.ones(len(found), np.int64))
+    keys, sums = language_model.path_counts(words, at, np.ones(len(at), bool))
     low, low_sums = language_model.summed(keys & np.uint64(0xFFFF), sums)
     model = language_model.levels(keys, sums, low, low_sums)
     every = np.array([b for b in range(256) if b not in b"\t\x0b\x0c\r"], np.uint64)
