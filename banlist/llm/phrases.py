@@ -112,13 +112,14 @@ def _count_words(bar: int, parts: int):
         entries = encoded.indices.to_numpy()
         total = np.bincount(entries, np.concatenate(counts), len(encoded.dictionary)).astype(np.int64)
         often = np.flatnonzero(total >= bar)
+        often = often[np.argsort(-total[often], kind="stable")]  # small numbers pack best
         number = np.zeros(len(total), np.uint64)
         number[often] = numbered(len(often), part, parts, WORD_BITS)
         rows, end = [], 0
         for cell, own, where in zip(asked.column("cell").to_pylist(), words, asked.column("places").to_pylist()):
             mine = entries[end : end + len(own)]
             keep = total[mine] >= bar
-            rows.append((cell, lang, None, pack(unpack(where, np.int32)[keep].astype(np.uint64)), pack(number[mine[keep]]), None))
+            rows.append((cell, lang, None, cells.pack_sorted(unpack(where, np.int32)[keep].astype(np.uint64)), pack(number[mine[keep]]), None))
             end += len(own)
         if len(often):
             names = cells.pack_words(encoded.dictionary.take(pa.array(often)))
@@ -167,12 +168,13 @@ def _count_phrases(bar: int, parts: int):
             total[hit] += r["counts"][at[hit]]
         often = total >= bar
         keys, total = alive[often], total[often]
-        number, rows = numbered(len(keys), part, parts, 32), []
+        number, rows = np.empty(len(keys), np.uint64), []
+        number[np.argsort(-total, kind="stable")] = numbered(len(keys), part, parts, 32)
         for r in lists:
             mine = np.isin(keys, cells.unpack_sorted(r["keys"]), assume_unique=True)
-            rows.append((r["cell"], lang, None, pack(keys[mine]), pack(number[mine]), None))
+            rows.append((r["cell"], lang, None, cells.pack_sorted(keys[mine]), pack(number[mine]), None))
         if len(keys):
-            rows.append((None, lang, None, pack(keys), pack(number), pack(total)))
+            rows.append((None, lang, None, cells.pack_sorted(keys), pack(number), pack(total)))
         return pa.Table.from_batches([cells.batch(schema, rows)])
 
     return run
@@ -191,7 +193,8 @@ def _state(cell: int, lang: str, tokens: np.ndarray, grams: np.ndarray, length:
     rows, at = [], starts(tokens, grams, length)
     if len(at):
         keys, counts = np.unique(key_of(tokens, grams, at, length), return_counts=True)
-        packed = (pack(tokens), pack(grams), cells.pack_sorted(keys), pack(counts.astype(np.int64)))
+        # One word's phrases are the words themselves.
+        packed = (pack(tokens), None if length == 1 else pack(grams), cells.pack_sorted(keys), pack(counts.astype(np.int64)))
         rows.append((cell, lang, len(keys), *packed))
     return pa.Table.from_batches([cells.batch(cells.arrow_schema(_STATE), rows)])
 
@@ -230,7 +233,7 @@ def _words_in(cell: pa.Table, found: pa.Table) -> pa.Table:
     own = cell.to_pylist()[0]
     number = np.full(own["n"] + 1, -1, np.int64)  # the last place is for gaps
     for r in found.select(["keys", "numbers"]).to_pylist():
-        number[unpack(r["keys"], np.uint64)] = unpack(r["numbers"], np.uint64)
+        number[cells.unpack_sorted(r["keys"])] = unpack(r["numbers"], np.uint64)
     tokens = number[unpack(own["tokens"], np.int32)]
     tokens, grams = squeezed(tokens, tokens, tokens >= 0)
     return _state(own["cell"], own["lang"], tokens.astype(np.int32), grams, 1)
@@ -241,9 +244,10 @@ def _phrases_in(length: int):
 
     def run(cell: pa.Table, found: pa.Table) -> pa.Table:
         own = cell.to_pylist()[0]
-        tokens, grams = unpack(own["tokens"], np.int32), unpack(own["grams"], np.int64)
+        tokens = unpack(own["tokens"], np.int32)
+        grams = tokens.astype(np.int64) if own["grams"] is None else unpack(own["grams"], np.int64)
         answers = found.select(["keys", "numbers"]).to_pylist()
-        keys = np.concatenate([unpack(r["keys"], np.uint64) for r in answers])
+        keys = np.concatenate([cells.unpack_sorted(r["keys"]) for r in answers])
         numbers = np.concatenate([unpack(r["numbers"], np.uint64) for r in answers]).astype(np.int64)
         order = np.argsort(keys)
         keys, numbers = keys[order], numbers[order]
@@ -274,7 +278,7 @@ def _unpacked(words: bool):
                 if words:
                     name, last = cells.unpack_words(r["words"]).cast(pa.string()), np.zeros(len(number), np.int64)
                 else:
-                    keys = unpack(r["keys"], np.uint64)
+                    keys = cells.unpack_sorted(r["keys"])
                     name = (keys >> np.uint64(WORD_BITS)).astype(np.int64)
                     last = (keys & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
                 columns = [[r["lang"]] * len(number), number.astype(np.int64), name, last, count]
