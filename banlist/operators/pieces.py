@@ -12,20 +12,28 @@ from pyspark.sql import types as T
 from banlist.functions.arrays import let
 from banlist.functions.text import unwords, words
 from banlist.operators.lookup import count_keys, fits_broadcast, lookup
-from banlist.session import write_table
+from banlist.operators.pair_merge import fits_table, merge_pieces
+from banlist.session import spread, write_table
 
 # Tokens up to this length are merged by array expressions inside the JVM.
 # Longer ones (rare junk) have too many places for that and use a heap.
 ARRAY_MERGE_CHARS = 256
 
 
-def _rules(merges: DataFrame) -> DataFrame:
+# How much of a product's beginning tells how long products can get.
+HEAD_CHARS = 3
+
+
+def _unique(merges: DataFrame) -> DataFrame:
+    return merges.groupBy("l", "r").agg(F.max("merge_rank").alias("merge_rank"))
+
+
+def _rules(unique: DataFrame) -> DataFrame:
     """Merge rules by product, each marked ``safe`` or not.
 
     A rule is safe when no rule of a better rank uses its product: merging it
     never opens a better merge. All rules of a learned table are safe.
     """
-    unique = merges.groupBy("l", "r").agg(F.max("merge_rank").alias("merge_rank"))
     first_use = (
         unique.select(F.explode(F.array("l", "r")).alias("product"), "merge_rank")
         .groupBy("product")
@@ -115,23 +123,29 @@ def _heap_cuts(length: Column, places: Column) -> Column:
     return batch(length, places)
 
 
-def _with_places(tokens: DataFrame, rules: DataFrame, longest: int, small: bool) -> DataFrame:
+def _with_places(tokens: DataFrame, rules: DataFrame, small: bool) -> DataFrame:
     """Each token with every place (a, b, c) a rule could apply: the rule joins
-    characters [a, b) with [b, c)."""
+    characters [a, b) with [b, c).
+
+    What a start's first characters can grow to is looked up first, so stretches
+    that no product begins like are never formed."""
     n = F.length("token")
+    reach = rules.groupBy(F.substring("product", 1, HEAD_CHARS).alias("head")).agg(
+        F.max(F.length("product")).alias("reach")
+    )
+    starts = tokens.withColumn("a", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))))).withColumn(
+        "head", F.substring("token", F.col("a") + 1, HEAD_CHARS)
+    )
+    # A head that no product has can still hold a product shorter than a head.
+    longest = F.coalesce("reach", F.lit(HEAD_CHARS - 1))
     # The one-character stretch at the start finds no rule; it keeps tokens
     # without any place in the result.
     stretches = (
-        tokens.withColumn("a", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))))
+        lookup(starts, reach, "head", how="left", small=small)
         .withColumn(
-            "w",
-            F.explode(
-                F.sequence(
-                    F.lit(1),
-                    F.greatest(F.least(F.lit(longest), n - F.col("a")), F.lit(1)),
-                )
-            ),
+            "w", F.explode(F.sequence(F.lit(1), F.greatest(F.least(longest, n - F.col("a")), F.lit(1))))
         )
+        .drop("head", "reach")
         .where((F.col("w") > 1) | (F.col("a") == 0))
         .withColumn("product", F.substring("token", F.col("a") + 1, F.col("w")))
     )
@@ -157,31 +171,36 @@ def decompose(
     merges: DataFrame,
     array_chars: int = ARRAY_MERGE_CHARS,
     keep: Sequence[str] = (),
+    method: str = "auto",
 ) -> DataFrame:
     """``(token, pieces, depth)`` of distinct tokens, with the columns to keep.
 
     The pieces are what greedy merging leaves: always the best-ranked adjacent
     pair, the leftmost on ties. ``depth`` counts the merges.
 
-    All stretches of a token that some rule produces are found with one join,
-    for the whole table at once; the merges of one token then only touch that
-    token's own places. One shuffle, no rounds over the data.
+    A rule list of checked size goes to the tasks as numbers (``method="table"``), and
+    tokens are merged where they are, without a shuffle. A longer one is joined
+    (``"join"``): the stretches of a token that some rule produces are found with
+    equi-joins, for the whole table at once; the merges of one token then only touch
+    that token's own places. Either takes tokens over ``array_chars`` characters
+    one by one on a heap.
     """
-    rules = write_table(_rules(merges), "merge-rules")
-    longest = rules.agg(F.max(F.length("product"))).first()[0] or 1
+    if method not in ("auto", "table", "join"):
+        raise ValueError(f"unknown method: {method}")
+    unique = write_table(_unique(merges), "merge-rules")
+    tokens = tokens.select("token", *keep).where(F.col("token").isNotNull())
+    if method == "table" or (method == "auto" and fits_table(unique)):
+        return merge_pieces(spread(tokens), unique, keep, array_chars).select("token", *keep, "pieces", "depth")
+    rules = write_table(_rules(unique), "rule-products")
     small = fits_broadcast(rules, "product")
     n = F.length("token")
     # One shuffle of the bare tokens: the search for places and the grouping
     # by token both stay in this partitioning. Tokens are few bytes and much
     # work, so the partitions are not merged by size.
     partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = (
-        tokens.select("token", *keep)
-        .where(F.col("token").isNotNull())
-        .repartition(partitions, "token")
-    )
-    short = _with_places(tokens.where(n <= array_chars), rules, longest, small)
-    long = _with_places(tokens.where(n > array_chars), rules, longest, small)
+    tokens = tokens.repartition(partitions, "token")
+    short = _with_places(tokens.where(n <= array_chars), rules, small)
+    long = _with_places(tokens.where(n > array_chars), rules, small)
     cut = short.withColumn("cuts", _array_cuts(n, F.col("places"))).unionByName(
         long.withColumn("cuts", _heap_cuts(n, F.col("places")))
     )
@@ -212,13 +231,11 @@ def token_ids(
     pieces. Pieces outside the vocabulary get ``unknown_id``, or are dropped."""
     ids = vocab.select("token", "token_id")
     small = fits_broadcast(ids, "token")
-    resolved = write_table(
-        lookup(tokens.select("token").distinct(), ids, "token", small=small), "resolved"
-    )
-    known = resolved.where(F.col("token_id").isNotNull()).select(
-        "token", F.array("token_id").alias("ids")
-    )
-    unknown = resolved.where(F.col("token_id").isNull()).select("token")
+    distinct = tokens.select("token").distinct()
+    table = F.broadcast(ids) if small else ids
+    # Both sides have each token once, so no key is hot.
+    known = distinct.join(table, "token").select("token", F.array("token_id").alias("ids"))
+    unknown = distinct.join(table, "token", "left_anti")
     return known.unionByName(_piece_ids(unknown, ids, merges, unknown_id, small))
 
 

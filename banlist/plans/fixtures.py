@@ -19,8 +19,6 @@ from banlist.session import shared_table, spread, write_table
 from banlist.sources.vocab import bare_counts, build_vocabulary, prefix_merges
 
 SPECIAL_TOKENS = ["<|endoftext|>", "|||EMAIL_ADDRESS|||"]
-# The size of the rule list, of the order of those in use.
-N_MERGES = 40_000
 K_SHOT = 3
 MODEL = "demo-7b-Instruct"
 DATASET = "conversations"
@@ -43,9 +41,8 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_table(
-        spark, (sf_dir, "merges"), lambda: prefix_merges(vocab(spark, sf_dir), N_MERGES)
-    )
+    """Every rule that builds a word of the vocabulary."""
+    return shared_table(spark, (sf_dir, "merges"), lambda: prefix_merges(vocab(spark, sf_dir)))
 
 
 def depths(spark: SparkSession, sf_dir: str) -> DataFrame:

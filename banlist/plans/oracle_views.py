@@ -9,7 +9,7 @@ from banlist.functions.fixed_values import (
     QA_TAIL,
     WHITESPACE,
 )
-from banlist.plans.fixtures import N_MERGES, SPECIAL_TOKENS
+from banlist.plans.fixtures import SPECIAL_TOKENS
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 _NUMBER_WS = "||".join(f"chr({ord(c)})" for c in NUMBER_WHITESPACE)
@@ -117,12 +117,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "merges": (
         ("vocab",),
-        f"""merges as (
+        """merges as (
   select l, r, cast(row_number() over (order by w desc, length(l), l, r) - 1 as bigint) as merge_rank
   from (select substr(token, 1, i) as l, substr(token, i + 1, 1) as r, sum(cnt) as w
         from (select token, cnt, unnest(generate_series(1, length(token) - 1)) as i
-              from vocab where cnt > 0 and length(token) > 1) s group by 1, 2) g
-  order by merge_rank limit {N_MERGES})""",
+              from vocab where cnt > 0 and length(token) > 1) s group by 1, 2) g)""",
     ),
     "components": (
         ("merges",),

@@ -48,12 +48,13 @@ def bare_counts(vocab: DataFrame) -> DataFrame:
     )
 
 
-def prefix_merges(vocab: DataFrame, n_merges: int) -> DataFrame:
-    """``(l, r, merge_rank)``: the rules that build words letter by letter,
-    the most frequent n_merges of them."""
+def prefix_merges(vocab: DataFrame, n_merges: int | None = None) -> DataFrame:
+    """``(l, r, merge_rank)``: the rules that build words letter by letter, all of
+    them or the most frequent n_merges."""
     # A rule never outranks the shorter rules it extends, so no product among
     # the first n_merges rules is longer than n_merges + 1 characters.
-    steps = F.sequence(F.lit(1), F.least(F.length("token") - 1, F.lit(n_merges)))
+    last = F.length("token") - 1
+    steps = F.sequence(F.lit(1), last if n_merges is None else F.least(last, F.lit(n_merges)))
     rules = (
         vocab.where((F.col("cnt") > 0) & (F.length("token") > 1))
         .withColumn("i", F.explode(steps))

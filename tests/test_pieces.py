@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from banlist.operators import lookup
+from banlist.operators import lookup, pair_merge
 from banlist.operators.pieces import decode, decompose, encode, encode_words, merge_depth, token_ids
 from tests.oracles import greedy_pieces
 
@@ -30,24 +30,26 @@ def _random_tokens(rng: random.Random, n: int, letters: str = "abc") -> list[str
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("form", ["array", "heap", "salted"])
+@pytest.mark.parametrize("form", ["array", "heap", "salted", "table", "table-heap"])
 def test_decompose_equals_brute_force(spark, monkeypatch, seed, form):
     if form == "salted":
         monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    method = "table" if form.startswith("table") else "join"
     rng = random.Random(seed)
     rules, tokens = _random_rules(rng, 45), _random_tokens(rng, 150)
     ranks = {pair: i for i, pair in enumerate(rules)}
     merges = spark.createDataFrame([(*p, i) for p, i in ranks.items()], "l string, r string, merge_rank long")
     table = spark.createDataFrame([(t,) for t in tokens], "token string")
-    chars = 5 if form == "heap" else 256
-    got = {r.token: (list(r.pieces), r.depth) for r in decompose(table, merges, chars).collect()}
+    chars = 5 if form.endswith("heap") else 256
+    got = {r.token: (list(r.pieces), r.depth) for r in decompose(table, merges, chars, method=method).collect()}
     assert set(got) == set(tokens)
     for token in tokens:
         assert got[token] == greedy_pieces(token, ranks), token
 
 
+@pytest.mark.parametrize("method", ["table", "join"])
 @pytest.mark.parametrize("chars", [256, 4])
-def test_rules_in_learned_order(spark, chars):
+def test_rules_in_learned_order(spark, chars, method):
     """Every rule comes after the rules that make its parts: all are safe."""
     rng = random.Random(11)
     known, rules = ["a", "b", "c"], []
@@ -60,22 +62,42 @@ def test_rules_in_learned_order(spark, chars):
     tokens = _random_tokens(rng, 200)
     merges = spark.createDataFrame([(*p, i) for p, i in ranks.items()], "l string, r string, merge_rank long")
     table = spark.createDataFrame([(t,) for t in tokens], "token string")
-    got = {r.token: (list(r.pieces), r.depth) for r in decompose(table, merges, chars).collect()}
+    got = {r.token: (list(r.pieces), r.depth) for r in decompose(table, merges, chars, method=method).collect()}
     assert got == {t: greedy_pieces(t, ranks) for t in tokens}
 
 
-def test_long_tokens_and_wide_characters(spark):
+@pytest.mark.parametrize("method", ["table", "join"])
+def test_long_tokens_and_wide_characters(spark, method):
     rules = [("-", "-"), ("--", "--"), ("----", "----"), ("é", "😀"), ("😀", "-")]
     ranks = {pair: i for i, pair in enumerate(rules)}
     merges = spark.createDataFrame([(*p, i) for p, i in ranks.items()], "l string, r string, merge_rank long")
     tokens = ["-" * 1003, "é😀-" * 200, "é😀--", "x" * 300]
     table = spark.createDataFrame([(t,) for t in tokens], "token string")
     for chars in (256, 5000):
-        got = {r.token: (list(r.pieces), r.depth) for r in decompose(table, merges, chars).collect()}
+        got = {r.token: (list(r.pieces), r.depth) for r in decompose(table, merges, chars, method=method).collect()}
         assert got == {t: greedy_pieces(t, ranks) for t in tokens}
 
 
-def test_no_rules(spark):
+@pytest.mark.parametrize("method", ["table", "join"])
+def test_no_rules(spark, method):
+    empty = spark.createDataFrame([], "l string, r string, merge_rank long")
+    table = spark.createDataFrame([("abc",), ("",), (None,)], "token string")
+    got = {r.token: (list(r.pieces), r.depth) for r in decompose(table, empty, method=method).collect()}
+    assert got == {"abc": (["a", "b", "c"], 0), "": ([], 0)}
+
+
+def test_size_decides_the_method(spark, monkeypatch):
+    merges = spark.createDataFrame([("a", "b", 0), ("a", "b", 3), ("b", "a", 1)], "l string, r string, merge_rank long")
+    table = spark.createDataFrame([("aba",)], "token string")
+    assert "MapInArrow" in decompose(table, merges)._jdf.queryExecution().toString()
+    monkeypatch.setattr(pair_merge, "TABLE_RULES", 1)
+    joined = decompose(table, merges)
+    assert "MapInArrow" not in joined._jdf.queryExecution().toString()
+    # Of two ranks of a rule the last counts.
+    assert [list(r.pieces) for r in joined.collect()] == [["a", "ba"]]
+
+
+def test_table_without_rules(spark):
     merges = spark.createDataFrame([], "l string, r string, merge_rank long")
     table = spark.createDataFrame([("abc", 4)], "token string, token_id long")
     row = merge_depth(table, merges).first()
