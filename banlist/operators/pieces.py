@@ -187,11 +187,10 @@ def decompose(
     """
     if method not in ("auto", "table", "join"):
         raise ValueError(f"unknown method: {method}")
-    unique = write_table(_unique(merges), "merge-rules")
     tokens = tokens.select("token", *keep).where(F.col("token").isNotNull())
-    if method == "table" or (method == "auto" and fits_table(unique)):
-        return merge_pieces(spread(tokens), unique, keep, array_chars).select("token", *keep, "pieces", "depth")
-    rules = write_table(_rules(unique), "rule-products")
+    if method == "table" or (method == "auto" and fits_table(merges)):
+        return merge_pieces(spread(tokens), _unique(merges), keep, array_chars).select("token", *keep, "pieces", "depth")
+    rules = write_table(_rules(write_table(_unique(merges), "merge-rules")), "rule-products")
     small = fits_broadcast(rules, "product")
     n = F.length("token")
     # One shuffle of the bare tokens: the search for places and the grouping
