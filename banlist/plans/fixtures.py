@@ -210,6 +210,18 @@ def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_table(spark, (sf_dir, "saved_runs"), build)
 
 
+def banned_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(ids)``: sequences of one to five ids from every third place of the outputs;
+    single ids from every tenth output only."""
+    places = saved_runs(spark, sf_dir).select("idx", "normal", F.posexplode("normal").alias("at", "id"))
+    size = (F.lit(1) + F.floor(F.col("at") / 3) % 5).cast("int")
+    cut = places.where("at % 3 = 0").withColumn("n", size).select(
+        "idx", "n", F.slice("normal", F.col("at") + 1, F.col("n")).alias("ids")
+    )
+    whole = cut.where(F.size("ids") == F.col("n"))
+    return whole.where("n > 1 or idx % 10 = 0").select("ids").distinct()
+
+
 def token_array(text: str):
     """Space-separated tokens of an output; newlines count as spaces."""
     return F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), " ", -1)

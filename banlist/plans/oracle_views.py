@@ -7,6 +7,7 @@ from banlist.functions.fixed_values import (
     QA_BEFORE_QUESTION,
     QA_HEAD,
     QA_TAIL,
+    STOP_MARKERS,
     WHITESPACE,
 )
 from banlist.plans.fixtures import SPECIAL_TOKENS
@@ -103,6 +104,23 @@ def _pieces(name: str, source: str) -> str:
   from {name}_rounds group by token)"""
 
 
+def _scrubbed(name: str, source: str) -> str:
+    """Words without the banned sequences among the first ``size``: from the left, the
+    longest at a place, one step at a time."""
+    return f"""
+{name}_rows as materialized ({source}),
+{name}_fit as materialized (
+  select r.idx, h.pos, max(h.n) as n from run_hits h join {name}_rows r on r.idx = h.idx
+  where h.pos + h.n - 1 <= r.size group by r.idx, h.pos),
+{name}_walk(idx, w, size, pos, kept) as (
+  select idx, w, size, cast(1 as bigint), cast([] as varchar[]) from {name}_rows
+  union all
+  select k.idx, k.w, k.size, k.pos + coalesce(h.n, 1),
+    case when h.n is null then list_append(k.kept, k.w[k.pos]) else k.kept end
+  from {name}_walk k left join {name}_fit h on h.idx = k.idx and h.pos = k.pos where k.pos <= k.size),
+{name} as (select idx, list_concat(kept, w[size + 1 :]) as kept from {name}_walk where pos > size)""".strip()
+
+
 # name -> (views it reads, SQL)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "vocab": (
@@ -274,6 +292,48 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   where q.split = 'test' and not exists (select 1 from few f
     where f.question is not distinct from q.question and f.answer is not distinct from q.answer))""",
     ),
+    "run_words": (
+        ("runs",),
+        f"run_words as (select idx, free_output, {words('free_output')} as w from runs)",
+    ),
+    "run_places": (
+        ("run_words",),
+        """run_places as materialized (
+  select idx, w, pos, sum(length(w[pos])) over (partition by idx order by pos) as upto
+  from (select idx, w, unnest(range(1, len(w) + 1)) as pos from run_words) p)""",
+    ),
+    "stops": (
+        ("run_words", "run_places"),
+        f"""stops as (
+  select r.idx, r.w, min(case when p.upto >= r.reach then p.pos end) as marker_end
+  from (select idx, w, list_min(list_filter(list_transform({text_list(STOP_MARKERS)},
+          lambda m: case when contains(free_output, m) then strpos(free_output, m) + length(m) - 1 end),
+          lambda e: e is not null)) as reach from run_words) r
+  left join run_places p on p.idx = r.idx group by r.idx, r.w)""",
+    ),
+    "run_bans": (
+        ("run_places",),
+        """run_bans as materialized (
+  select distinct w[pos : pos + n - 1] as seq
+  from (select idx, w, pos, 1 + (pos - 1) // 3 % 5 as n from run_places where (pos - 1) % 3 = 0) s
+  where pos + n - 1 <= len(w) and (n > 1 or idx % 10 = 0))""",
+    ),
+    "run_hits": (
+        ("run_places", "run_bans"),
+        """run_hits as materialized (
+  select idx, pos, n
+  from (select idx, pos, n, w[pos : pos + n - 1] as seq from run_places, range(1, 6) t(n)
+        where pos + n - 1 <= len(w)) s
+  join run_bans using (seq))""",
+    ),
+    "scrubbed": (
+        ("run_words", "run_hits"),
+        _scrubbed("scrubbed", "select idx, w, len(w) as size from run_words"),
+    ),
+    "scrubbed_head": (
+        ("stops", "run_hits"),
+        _scrubbed("scrubbed_head", "select idx, w, coalesce(marker_end, len(w)) as size from stops"),
+    ),
     "scored": (
         ("runs",),
         f"""scored as (

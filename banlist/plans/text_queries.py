@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 from banlist.functions import arrays, text
 from banlist.functions.fixed_values import STOP_MARKERS
 from banlist.operators.containment import flag_contained, keep_containing
+from banlist.operators.id_sequences import (
+    drop_banned_sequences,
+    drop_banned_sequences_until_marker,
+    marker_places,
+)
 from banlist.operators.metrics import attach_verdicts
+from banlist.operators.pieces import decode
 from banlist.operators.scrub import drop_banned_by_table, drop_banned_until_marker_by_table
 from banlist.plans import fixtures as fx
 from banlist.plans.oracle_views import (
@@ -276,3 +282,52 @@ def arr_stop_hit(spark, sf):
         arrays.ends_on_marker("tokens").alias("whole_hit"),
         arrays.ends_on_marker(stopped).alias("cut_hit"),
     )
+
+
+def _kept_text(spark, sf, scrubbed):
+    """Scrubbed ids as text again, with their number."""
+    texts = decode(scrubbed, "idx", {"kept": "kept_text"}, fx.run_vocab(spark, sf))
+    sizes = scrubbed.select("idx", F.size("kept").cast("bigint").alias("n_kept"))
+    return sizes.join(texts, "idx").select("idx", "n_kept", "kept_text")
+
+
+def _kept_sql(view: str) -> str:
+    spelled = "replace(replace(array_to_string(kept, ''), 'Ġ', ' '), 'Ċ', chr(10))"
+    return f"select idx, cast(len(kept) as bigint) as n_kept, {spelled} as kept_text from {view}"
+
+
+def _register_id_bans(name: str, method: str) -> None:
+    """Bans of one to five ids: by the size of the list, and as equi-joins."""
+
+    @query(name, ["scrubbed"], _kept_sql("scrubbed"))
+    def run(spark, sf):
+        saved, banned = fx.saved_runs(spark, sf), fx.banned_sequences(spark, sf)
+        return _kept_text(spark, sf, drop_banned_sequences(saved, "idx", "normal", banned, method=method))
+
+
+_register_id_bans("arr_ban_ids", "auto")
+_register_id_bans("arr_ban_ids_joined", "join")
+
+
+@query("arr_ban_ids_until_marker", ["scrubbed_head"], _kept_sql("scrubbed_head"))
+def arr_ban_ids_until_marker(spark, sf):
+    saved, banned = fx.saved_runs(spark, sf), fx.banned_sequences(spark, sf)
+    vocab = fx.run_vocab(spark, sf)
+    return _kept_text(spark, sf, drop_banned_sequences_until_marker(saved, "idx", "normal", banned, vocab))
+
+
+@query(
+    "arr_stop_text",
+    ["stops", "run_words"],
+    f"""select r.idx, s.marker_end, ends_with(r.free_output, '##') or ends_with(r.free_output, 'Answer:') as ends_on_marker,
+      cast(list_min(list_filter(list_transform({_MARKERS}, lambda m: list_position(
+        list_transform(r.w, lambda x: replace(replace(x, 'Ġ', ' '), 'Ċ', chr(10))), m)), lambda p: p > 0)) as bigint) as token_end
+    from run_words r join stops s on s.idx = r.idx""",
+)
+def arr_stop_text(spark, sf):
+    saved, vocab = fx.saved_runs(spark, sf), fx.run_vocab(spark, sf)
+    found = marker_places(saved, "idx", "normal", vocab)
+    tokens = marker_places(saved, "idx", "normal", vocab, whole_token=True)
+    return found.select("idx", F.col("marker_end").cast("bigint").alias("marker_end"), "ends_on_marker").join(
+        tokens.select("idx", F.col("marker_end").cast("bigint").alias("token_end")), "idx"
+    )
