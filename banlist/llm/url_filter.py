@@ -7,7 +7,8 @@ counted shapes before any shuffle. The tree is then built level by level:
 1. Below a node with many different children, children that each have only a
    small share become one wildcard.
 2. Sibling branches are merged in the order of their share of good labels, as
-   long as it does not change significantly; each merged branch is one.
+   long as it does not change significantly; each merged branch is one. Branches
+   without any label are one of their own: nothing says whom they are like.
 
 A template's purity is its share of good labels, smoothed towards the share of
 all pages; templates below a bar are rejected.
@@ -30,7 +31,9 @@ OWN_SHARE = 0.1
 ALIKE = 2.0
 SMOOTHING = 20.0
 LEAST_PURITY = 0.5
+# Levels of the tree; what lies deeper is one segment, spelled in full.
 MOST_SEGMENTS = 12
+_DEEPER = "\x00"
 
 # Rules of the query, longest fitting one wins.
 RULES = (
@@ -84,19 +87,19 @@ def segment_shape(segment: Column) -> Column:
 
 
 def path_shape(path: Column) -> Column:
-    """All segments' shapes; what lies deeper than MOST_SEGMENTS is one wildcard."""
-    parts = F.split(path, "/", MOST_SEGMENTS + 1)
-    shapes = F.transform(
-        parts, lambda s, i: F.when(i < MOST_SEGMENTS, segment_shape(s)).otherwise(F.lit("{rest}"))
-    )
-    return F.array_join(shapes, "/")
+    """All segments' shapes. Those deeper than MOST_SEGMENTS stay together as one, so
+    paths that differ there only still have shapes of their own."""
+    shapes = F.transform(F.split(path, "/", -1), segment_shape)
+    deeper = F.array_join(F.slice(shapes, F.lit(MOST_SEGMENTS + 1), F.size(shapes)), _DEEPER)
+    head = F.array_join(F.slice(shapes, F.lit(1), F.lit(MOST_SEGMENTS)), "/")
+    return F.when(F.size(shapes) > MOST_SEGMENTS, F.concat_ws("/", head, deeper)).otherwise(head)
 
 
 def _merge_alike(branches: Column) -> Column:
     """Sorted branches as merged ones ``(names, labelled, good)``.
 
     In order of their good share, a branch joins the merged one before it unless
-    the two shares differ significantly. Without labels it always joins.
+    the two shares differ significantly, or only one of them has labels.
     """
     none = F.expr("cast(array() as array<struct<names:array<string>,labelled:bigint,good:double>>)")
 
@@ -109,7 +112,8 @@ def _merge_alike(branches: Column) -> Column:
         share = (good + 1) / (labelled + 2)
         error = F.sqrt(share * (1 - share) * (1 / last["labelled"] + 1 / b["labelled"]))
         far = F.abs(b["good"] / b["labelled"] - last["good"] / last["labelled"]) > ALIKE * error
-        apart = (last["labelled"] > 0) & (b["labelled"] > 0) & far
+        both = (last["labelled"] > 0) & (b["labelled"] > 0)
+        apart = F.when(both, far).otherwise((last["labelled"] > 0) | (b["labelled"] > 0))
         joined = F.struct(F.array_append(last["names"], b["named"]).alias("names"), labelled.alias("labelled"), good.alias("good"))
         return F.when(F.size(done) == 0, F.array(single(b))).otherwise(
             F.when(apart, F.array_append(done, single(b))).otherwise(
@@ -207,7 +211,8 @@ def judge(
     rule, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("purity") < LEAST_PURITY, "block").otherwise("allow")
     return found.select(
-        F.col("key").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", "purity"
+        F.col("key").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"),
+        F.translate("template", _DEEPER, "/").alias("template"), "purity"
     )
 
 
