@@ -79,7 +79,7 @@ def held_out(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(label, weight, features)`` of at most ``3 * size`` rows, none held out.
+    """``(row, label, weight, features)`` of at most ``3 * size`` rows, none held out.
 
     Rows are chosen by a hash of their numbers in the scan. ``weight`` is the
     number of rows a sampled row stands for.
@@ -101,7 +101,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS, key: str
         for label, n in totals.items()
     ]
     if not parts:
-        return docs.sparkSession.createDataFrame([], "label int, weight double, features array<string>")
+        return docs.sparkSession.createDataFrame([], "row long, label int, weight double, features array<string>")
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.union(part)
@@ -110,12 +110,13 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            found = [sorted(features(t or "")) for t in batch.column(2).to_pylist()]
+            found = [sorted(features(t or "")) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["label", "weight", "features"]
+                [*batch.columns[:3], pa.array(found, pa.list_(pa.string()))], ["row", "label", "weight", "features"]
             )
 
-    noted = texts.select("label", "weight", "t").mapInArrow(run, "label int, weight double, features array<string>")
+    schema = "row long, label int, weight double, features array<string>"
+    noted = texts.select("row", "label", "weight", "t").mapInArrow(run, schema)
     return write_table(noted, "toxic-sample")
 
 
@@ -252,9 +253,10 @@ def fit(
     place = F.create_map(*[F.lit(x) for pair in zip(voters, range(len(voters))) for x in pair]) if voters else None
     if place is None:
         return {}, -5.0
+    # In order of the rows, so that sums come out the same on every run.
     hits = noted.select(
-        "label", "weight", F.transform(F.filter("features", lambda f: f.isin(voters)), lambda f: place[f]).alias("hits")
-    ).collect()
+        "row", "label", "weight", F.transform(F.filter("features", lambda f: f.isin(voters)), lambda f: place[f]).alias("hits")
+    ).orderBy("row").collect()
     votes = np.zeros((len(hits), len(voters)), np.float32)
     for k, row in enumerate(hits):
         votes[k, row["hits"]] = 1
