@@ -20,6 +20,7 @@ neither a very common length nor anything else gathers in one task.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,12 @@ from banlist.session import write_table
 ship(__name__)
 
 CAPACITY = 2048
+# A run of white space over this length is a piece of its own for the split pattern,
+# whose engine would give up on it.
+LONG_RUN = 100_000
+_RUNS = re.compile(
+    "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN
+)
 # At least so many blocks share the ranking of one length.
 RANK_BLOCKS = 256
 
@@ -70,6 +77,24 @@ class FastByteLevel:
         self.allowed = set(self.special)
 
     def ids(self, text: str) -> np.ndarray:
+        if len(text) < LONG_RUN or not _RUNS.search(text):
+            return self._plain(text)
+        out = []
+        for part, special in byte_level.cut_out(text, [*self.special]):
+            out += [np.array([self.special[part]], np.uint32)] if special else self._around_runs(part)
+        return np.concatenate(out)
+
+    def _around_runs(self, text: str) -> list[np.ndarray]:
+        out, at = [], 0
+        for run in _RUNS.finditer(text):
+            # The last blank before a word goes with the word.
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out.append(self._plain(text[at : run.start()]))
+            out.append(np.array(self.coder._encode_single_piece(text[run.start() : end]), np.uint32))
+            at = end
+        return [*out, self._plain(text[at:])]
+
+    def _plain(self, text: str) -> np.ndarray:
         return self.coder.encode_to_numpy(text, allowed_special=self.allowed)
 
 
