@@ -23,30 +23,26 @@ HALF_BYTES = 8_000_000
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` of every node of edges ``(a, b)``: the least node reachable.
 
-    Large-star and small-star steps in turn: each node hands its larger, then
-    its smaller neighbours to the least one. A step is a partial minimum per
-    node and a join that may be split where a node has very many neighbours.
-    Each round is written below the checkpoint folder; nothing is collected
-    but a count and a checksum.
+    Edges are contracted to spanning ones where they are, before any shuffle and
+    after each round. A round is a large-star and a small-star step: each node hands
+    its larger, then its smaller neighbours to the least one. A step is a partial
+    minimum per node and a join that may be split where a node has very many
+    neighbours. Rounds end as soon as the edges are stars, which one grouped pass
+    tells; what is a star at once needs no round. Each round is one table below the
+    checkpoint folder; nothing is collected but whether it was the last.
     """
-    current = write_table(_distinct(edges.where("a <> b")), "edges")
-    state = _checksum(current)
-    while state[0]:
+    current = write_table(_spanning(edges), "edges")
+    while not _are_stars(current):
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         larger = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = write_table(_distinct(larger.where("a <> b")), "edges")
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = _distinct(larger.where("a <> b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         joined = down.join(least, "a")
         smaller = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             least.select("a", F.col("m").alias("b"))
         )
-        current = write_table(_distinct(smaller.where("a <> b")), "edges")
-        new = _checksum(current)
-        if new == state:
-            break
-        state = new
+        current = write_table(_spanning(smaller), "edges")
     # Now every node but the least of its component has one edge, to the least.
     labels = current.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels.union(labels.select(F.col("label").alias("node"), "label").distinct())
@@ -56,26 +52,53 @@ def _distinct(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    mixed = F.expr("cast(xxhash64(a, b) as decimal(20, 0))")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(mixed)).first())
+def _spanning(edges: DataFrame) -> DataFrame:
+    """Distinct edges ``a > b`` that connect what the given ones do, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, where = np.unique(
+                np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_inverse=True
+            )
+            first, second = np.split(where, 2)
+            label = least_labels(first, second, len(nodes))
+            apart = label != np.arange(len(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(nodes[label[apart]])], ["a", "b"])
+
+    return _distinct(edges.select("a", "b").where("a <> b").mapInArrow(run, "a long, b long"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Does every node have one edge down and none up, or only edges up?"""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    counted = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not counted.where((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("up") == 1))).head(1)
 
 
-def forest(links: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
-    """Edges from each member of a block to the least one it is connected with."""
-    n = len(nodes)
+def least_labels(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0 to n - 1 the least one that links between two arrays reach."""
     label = np.arange(n)
-    rows, columns = np.nonzero(links)
-    while len(rows):
-        low = np.minimum(label[rows], label[columns])
-        new = label.copy()
-        np.minimum.at(new, rows, low)
-        np.minimum.at(new, columns, low)
-        new = new[new]
-        if (new == label).all():
+    while len(first):
+        own, other = label[first], label[second]
+        apart = own != other
+        if not apart.any():
             break
-        label = new
-    heads = np.full(n, np.iinfo(np.int64).max)
+        first, second, own, other = first[apart], second[apart], own[apart], other[apart]
+        low = np.minimum(own, other)
+        # Roots are hooked to the lower ones, then everything points at its root.
+        np.minimum.at(label, own, low)
+        np.minimum.at(label, other, low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def forest(links: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from each member of a block to the least one it is connected with."""
+    label = least_labels(*np.nonzero(links), len(nodes))
+    heads = np.full(len(nodes), np.iinfo(np.int64).max)
     np.minimum.at(heads, label, nodes)
     least = heads[label]
     apart = least != nodes
@@ -142,8 +165,7 @@ def link_groups(members: DataFrame, kernel: Kernel) -> DataFrame:
     ring = chunked.withColumn("at", F.explode(places)).select(
         F.xxhash64("grp", "at").alias("block"), "node", "payload"
     )
-    edges = write_table(_compare(ring, kernel), "links")
-    labels = components(edges)
+    labels = components(_compare(ring, kernel))
     large = chunked.where("chunks > 2")
     if not sizes.where("chunks > 2").head(1):
         return labels
@@ -170,5 +192,8 @@ def link_groups(members: DataFrame, kernel: Kernel) -> DataFrame:
     blocks = ours.select(F.xxhash64("grp", "band", "at").alias("block"), "node", "payload").union(
         theirs.select(F.xxhash64("grp", "band", "at").alias("block"), "node", "payload")
     )
-    more = _compare(blocks, kernel)
-    return components(edges.union(more))
+    # The components so far stand for their links.
+    more = write_table(_spanning(_compare(blocks, kernel)), "links")
+    if not more.head(1):
+        return labels
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
