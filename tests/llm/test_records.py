@@ -84,6 +84,25 @@ def test_templates(spark):
     assert {round(r.purity, 9) for r in got if r.template == "/spam/{n}.html"} == {round(want, 9)}
 
 
+def test_branches_without_labels_are_not_blocked_with_bad_ones(spark):
+    rows = [(i, f"http://one.org/{k}/{i}", v) for i, (k, v) in enumerate([("spam", 0.0), ("news", 1.0)] * 100)]
+    rows += [(1000 + i, f"http://one.org/{k}/{i}", None) for i in range(50) for k in ("misc", "more")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, label double")).collect()
+    by = {(r.template, r.verdict) for r in got}
+    assert by == {("/spam/{n}", "block"), ("/news/{n}", "allow"), ("/(misc|more)/{n}", "allow")}
+
+
+def test_paths_of_many_segments_differ_at_the_end(spark):
+    deep = "/".join("abcdefghijklmnop")
+    rows = [(i, f"http://one.org/{deep}/{k}/{i}", v) for i, (k, v) in enumerate([("bad", 0.0), ("good", 1.0)] * 100)]
+    rows += [(1000, "http://two.org" + "/x" * 5000, None), (1001, "http://two.org" + "/" * 5000, 1.0)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, label double")).collect()}
+    assert len(got) == len(rows)
+    for i, url, label in rows[:200]:
+        assert got[i].verdict == ("allow" if label else "block")
+        assert got[i].template == f"/{deep}/{'good' if label else 'bad'}/{{n}}"
+
+
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<\\s>", "<\\\\/s>", "[\\INST]", "<", "[", "\\", "é\U0001f600", "ok", " ", "\n", "/s>", "INST]"]
 
 

@@ -145,3 +145,13 @@ def test_pieces(docs, library):
         assert [i for g in parts for i in g.ids] == ids_of(library[0], r.text or "") + [0]
         assert all(g.length == 5 for g in parts[1:])
         assert [g.start for g in parts] == [sum(p.length for p in parts[:k]) for k in range(len(parts))]
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 2_000_000 + "word", "\n" * 2_000_000, "a" * 300_000, " " * 1_200_000, "b \n" + "\u3000" * 400_000 + " c", "<|endoftext|>" + "\n" * 150_000 + "<|endoftext|> x"])
+def test_long_runs_have_the_librarys_ids(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.FastByteLevel(path).ids(text).tolist() == want
