@@ -2,7 +2,8 @@
 
 Column functions search with Java's engine. A pattern written for Python is
 read sign by sign and put down so that Java finds the same; what has no
-counterpart is refused here, before any task runs.
+counterpart (conditional groups, verbose mode, some flags) is refused here and
+left to Python's own engine.
 """
 
 from __future__ import annotations
@@ -10,6 +11,11 @@ from __future__ import annotations
 import re
 import unicodedata
 import warnings
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _WORD = r"\p{L}\p{N}_"
 _ASCII_WORD = "A-Za-z0-9_"
@@ -34,6 +40,20 @@ def java_regex(pattern: str) -> str:
     return _Translator(pattern).whole()
 
 
+def python_test(pattern: str, from_start: bool = False) -> Callable[[Column], Column]:
+    """A test by Python's engine: search, or match at the start. Null stays null."""
+
+    # Nested, so that executors need no copy of this package.
+    def test(texts: pd.Series) -> pd.Series:
+        import re
+
+        compiled = re.compile(pattern)
+        find = compiled.match if from_start else compiled.search
+        return pd.Series([None if t is None else find(t) is not None for t in texts], dtype="object")
+
+    return F.pandas_udf(test, "boolean")
+
+
 class _Translator:
     def __init__(self, pattern: str) -> None:
         self.pattern = pattern

@@ -29,7 +29,7 @@ from banlist.functions.fixed_values import (
     SPACE_MARKER,
     WHITESPACE,
 )
-from banlist.functions.patterns import java_regex
+from banlist.functions.patterns import UntranslatablePattern, java_regex, python_test
 
 
 def _col(value: Column | str) -> Column:
@@ -52,12 +52,20 @@ def remove_space_marker(token: Column | str) -> Column:
 
 
 def regex_search(text: Column | str, pattern: str) -> Column:
-    return _col(text).rlike(java_regex(pattern))
+    """Whether the pattern is found anywhere. Java's engine searches where it can say
+    what Python's pattern means, else Python's, batch by batch."""
+    try:
+        return _col(text).rlike(java_regex(pattern))
+    except UntranslatablePattern:
+        return python_test(pattern)(_col(text))
 
 
 def regex_match_start(text: Column | str, pattern: str) -> Column:
     """True where the pattern matches from the first character on."""
-    return _col(text).rlike(rf"\A(?:{java_regex(pattern)})")
+    try:
+        return _col(text).rlike(rf"\A(?:{java_regex(pattern)})")
+    except UntranslatablePattern:
+        return python_test(pattern, from_start=True)(_col(text))
 
 
 def _after_last_marker(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,25 @@ def one_row(df: DataFrame, seed: int = SAMPLE_SEED, idx: str = "idx") -> DataFra
     return few_shot(df, 1, seed, idx)
 
 
+def seeded_positions(k: int, size: int, seed: int = SAMPLE_SEED) -> list[int]:
+    """The places that Python's seeded sampler takes out of a list of ``size``, in its
+    order; all of them, shuffled, when there are fewer than k. They depend on the size alone."""
+    return random.Random(seed).sample(range(size), min(k, size))
+
+
+def few_shot_seeded(df: DataFrame, n: int = 3, seed: int = SAMPLE_SEED, idx: str = "idx") -> DataFrame:
+    """``df`` with ``draw``: the rows that Python's seeded sampler takes from the list of
+    all rows in the order of ``idx``, which is unique.
+
+    The positions are drawn for the counted number of rows and meet the rows by row
+    number; only the keys are numbered. n positions are made on the driver.
+    """
+    numbered = with_index(df.select(idx), [idx], "__position")
+    picks = list(enumerate(seeded_positions(n, numbered.count(), seed)))
+    drawn = df.sparkSession.createDataFrame(picks, "draw long, __position long")
+    return df.join(numbered.join(drawn, "__position").select(idx, "draw"), idx).select(*df.columns, "draw")
+
+
 def without_rows(df: DataFrame, taken: DataFrame) -> DataFrame:
     """Rows that equal none of the taken rows in all columns (nulls are equal)."""
     named = taken.select([F.col(c).alias(f"__{c}") for c in df.columns])

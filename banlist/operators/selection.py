@@ -8,7 +8,7 @@ Criteria are plain dictionaries, as read from JSON.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -75,6 +75,24 @@ class TokenTables:
         return replace(self, vocab=write_table(vocab, "marked-vocabulary"))
 
 
+def tagged_lexicon(vocab: DataFrame, load: Callable[[], Callable[[pd.Series], pd.Series]]) -> DataFrame:
+    """A stored lexicon ``(token, pos)`` of the distinct bare tokens, by a loaded tagger.
+
+    ``load`` gives the tagger, a function of a batch of texts. It is called once a task,
+    on the executor, so a tagger with a large model is loaded as often as there are
+    tasks and not as there are batches; each bare token is tagged once.
+    """
+
+    def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tagger = load()
+        for batch in batches:
+            yield tagger(batch)
+
+    tag.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    bare = vocab.select(strip_space_marker("token").alias("token")).where(F.col("token") != "").distinct()
+    return write_table(bare.withColumn("pos", F.pandas_udf(tag, "string")("token")), "tagged-lexicon")
+
+
 def parse_criteria(criteria: str | Criteria) -> Criteria:
     if isinstance(criteria, str):
         try:

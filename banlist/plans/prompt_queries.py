@@ -57,6 +57,21 @@ def smp_one_row(spark, sf):
     return sampling.one_row(fx.train(spark, sf)).select("idx", "question", "answer")
 
 
+# What Python's sampler takes from lists of 1, 2, ... rows: SQL has no such generator.
+_SEEDED = [sampling.seeded_positions(K, n) for n in range(1, 5001)]
+
+
+@query(
+    "smp_few_shot_seeded",
+    ["train"],
+    f"""select t.idx, t.question, t.answer, p.draw from train t join (
+      select unnest(picks) as pos, unnest(range(len(picks))) as draw
+      from (select {_SEEDED}[(select count(*) from train)] as picks) s) p on p.pos = t.pos""",
+)
+def smp_few_shot_seeded(spark, sf):
+    return sampling.few_shot_seeded(fx.train(spark, sf).select("idx", "question", "answer"), K)
+
+
 @query(
     "join_few_shot_anti",
     ["qa", "few"],

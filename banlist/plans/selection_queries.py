@@ -100,6 +100,64 @@ def sel_pos(spark, sf):
     return sel.select_tokens(_tables(spark, sf), POS)
 
 
+def _load_rule_tagger():
+    """The rules of the lexicon as a tagger that is loaded in each task."""
+
+    def tag(texts):
+        import pandas as pd
+
+        def one(t: str) -> str:
+            if t.endswith("tion"):
+                return "NOUN"
+            if t.endswith(("ed", "ing")):
+                return "VERB"
+            return "NUM" if "0" <= t <= "9~" else "X"
+
+        return pd.Series([one(t) for t in texts])
+
+    return tag
+
+
+@query("sel_pos_tagger", ["vocab", "lexicon"], _SQL["synthetic"])
+def sel_pos_tagger(spark, sf):
+    vocab = fx.vocab(spark, sf)
+    # By value: executors need no copy of this package.
+    lexicon = sel.tagged_lexicon(vocab, _by_value(_load_rule_tagger))
+    return sel.select_tokens(sel.TokenTables(vocab, lexicon=lexicon), POS)
+
+
+def _by_value(function):
+    function.__module__ = "__main__"
+    return function
+
+
+# Patterns that only Python's engine can run: conditional group, verbose mode.
+_ANY = {
+    "conditional": {"type": "regex", "pattern": r"^(Ġ)?[a-z]+(?(1)\d|ing)$"},
+    "verbose": {"type": "regex", "pattern": r"(?x) ^ Ġ? [0-9]+ % $  # per cent", "k": 50},
+    "excluded": {"type": "regex", "pattern": r"\d", "exclude_regexes": [r"(Ġ)?\d(?(1).*|$)"]},
+}
+_ANY_SQL = {
+    "conditional": r"regexp_matches(token, '^(Ġ[a-z]+\p{Nd}|[a-z]+ing)$')",
+    "verbose": r"regexp_matches(token, '^Ġ?[0-9]+%$')",
+    "excluded": r"regexp_matches(token, '\p{Nd}') and not regexp_matches(token, '^(Ġ\p{Nd}|\p{Nd}$)')",
+}
+
+
+@query(
+    "sel_regex_any",
+    ["vocab"],
+    " union all ".join(
+        f"select '{name}' as criteria, token, token_id from (select token, token_id from vocab where {where}"
+        + (f" and {_KEEP}" if name != "excluded" else "")
+        + f" order by token_id{' limit 50' if name == 'verbose' else ''}) q_{name}"
+        for name, where in _ANY_SQL.items()
+    ),
+)
+def sel_regex_any(spark, sf):
+    return sel.select_many(sel.TokenTables(fx.vocab(spark, sf)), _ANY)
+
+
 @query(
     "sel_all_pos",
     ["vocab", "lexicon"],
