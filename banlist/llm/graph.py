@@ -23,7 +23,7 @@ HALF_BYTES = 8_000_000
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` of every node of edges ``(a, b)``: the least node reachable.
 
-    Edges are contracted to spanning ones where they are, before any shuffle and
+    Edges are contracted to spanning ones where they are made, before any shuffle, and
     after each round. A round is a large-star and a small-star step: each node hands
     its larger, then its smaller neighbours to the least one. A step is a partial
     minimum per node and a join that may be split where a node has very many
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     tells; what is a star at once needs no round. Each round is one table below the
     checkpoint folder; nothing is collected but whether it was the last.
     """
-    current = write_table(_spanning(edges), "edges")
+    current = write_table(_distinct(edges.where("a <> b")), "edges")
     while not _are_stars(current):
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -57,17 +57,19 @@ def _spanning(edges: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, where = np.unique(
-                np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_inverse=True
-            )
-            first, second = np.split(where, 2)
-            label = least_labels(first, second, len(nodes))
-            apart = label != np.arange(len(nodes))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(nodes[label[apart]])], ["a", "b"])
+            yield _edge_batch(batch.column(0).to_numpy(), batch.column(1).to_numpy())
 
     return _distinct(edges.select("a", "b").where("a <> b").mapInArrow(run, "a long, b long"))
 
 
+def _edge_batch(first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
+    """Edges to the least node for all that links between two arrays connect."""
+    nodes, where = np.unique(np.concatenate([first, second]), return_inverse=True)
+    label = least_labels(*np.split(where, 2), len(nodes))
+    apart = label != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(nodes[label[apart]])], ["a", "b"])
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Does every node have one edge down and none up, or only edges up?"""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(
@@ -127,19 +129,15 @@ def _compare(blocks: DataFrame, kernel: Kernel) -> DataFrame:
                 nodes.append(node)
                 payloads.append(payload)
             if len(found) > 10_000:
-                yield _edge_batch(found)
+                yield _edge_batch(*np.array(found, np.int64).T)
                 found = []
-        yield _edge_batch(found + block_edges(nodes, payloads))
+        found += block_edges(nodes, payloads)
+        yield _edge_batch(*np.array(found, np.int64).reshape(-1, 2).T)
 
     sorted_blocks = blocks.repartition("block").sortWithinPartitions("block")
     return sorted_blocks.mapInArrow(run, "a long, b long")
 
 
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = np.array(edges, np.int64).reshape(-1, 2).T
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
 def link_groups(members: DataFrame, kernel: Kernel) -> DataFrame:
     """``(node, label)`` for members ``(grp, node, size, payload)`` of groups: the
     components of all links that the kernel finds between two members of a group.
@@ -193,7 +191,7 @@ def link_groups(members: DataFrame, kernel: Kernel) -> DataFrame:
         theirs.select(F.xxhash64("grp", "band", "at").alias("block"), "node", "payload")
     )
     # The components so far stand for their links.
-    more = write_table(_spanning(_compare(blocks, kernel)), "links")
+    more = write_table(_compare(blocks, kernel), "links")
     if not more.head(1):
         return labels
     return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
