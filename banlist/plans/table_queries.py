@@ -6,7 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from banlist.functions.text import words
-from banlist.operators.selection import TokenTables, compare_selections, select_custom
+from banlist.operators.selection import (
+    TokenTables,
+    compare_selections,
+    select_custom,
+    selected_rows,
+    summarise,
+)
 from banlist.plans import fixtures as fx
 from banlist.plans.metric_queries import _answers, _result
 from banlist.plans.oracle_views import words as words_sql
@@ -20,9 +26,9 @@ from banlist.plans.selection_queries import (
     CUSTOM_WORDS,
     _uncut,
 )
-from banlist.session import scratch_path
+from banlist.session import scratch_path, write_table
 from banlist.sinks import tables as sinks
-from banlist.sources import criteria, merges, questions, runs, vocab
+from banlist.sources import criteria, merges, questions, runs, token_lists, vocab
 
 
 @query(
@@ -138,12 +144,13 @@ def src_vocab(spark, sf):
     )
 
 
-def _run_sizes(df):
+def _run_sizes(df, *others):
     return df.select(
         "idx",
         F.size("normal").cast("bigint").alias("n_normal"),
         F.size("taboo").cast("bigint").alias("n_taboo"),
         "prompt",
+        *others,
     )
 
 
@@ -158,6 +165,17 @@ def src_saved_runs(spark, sf):
     return _run_sizes(runs.read_runs(spark, path))
 
 
+@query(
+    "src_stored_runs",
+    ["runs"],
+    f"{_RUN_SIZES}, 'run-' || idx % 3 as file from runs",
+)
+def src_stored_runs(spark, sf):
+    saved = fx.saved_runs(spark, sf).withColumn("file", F.concat(F.lit("run-"), (F.col("idx") % 3).cast("string")))
+    stored = write_table(runs.pack_runs(saved, "file"), "stored-runs")
+    return _run_sizes(runs.unpack_runs(stored), "file")
+
+
 @query(
     "snk_runs",
     ["runs"],
@@ -197,11 +215,35 @@ def snk_selected_tokens(spark, sf):
     chosen = {name: CRITERIA[name] for name in _SAVED}
     for _ in range(2):  # the second time replaces the first
         sinks.save_selected_tokens(fx.marked_tables(spark, sf), chosen, "demo", path)
-    tokens = spark.read.parquet(f"{path}/tokens")
-    summary = spark.read.parquet(f"{path}/summary")
-    return tokens.join(summary, ["model", "criteria_hash"]).select(
-        "criteria_hash", "token", "token_id", "n_tokens", "summary"
+    saved = sinks.read_selected_tokens(spark, path)
+    return saved.select("criteria_hash", "token", "token_id", "n_tokens", "summary")
+
+
+def _list_sql(name: str) -> str:
+    order = "token_id desc" if name == "combined" else "token_id"
+    return f"""select '{name}' as list, cast(0 as bigint) as place, {_SUMMARY_SQL[name]} as line
+      from (select count(*) as n from ({_uncut(name)}) u) c
+      union all select '{name}', row_number() over (order by {order}), token from ({_SQL[name]}) s"""
+
+
+@query("snk_token_lists", _ALL_VIEWS, " union all ".join(map(_list_sql, _SAVED)))
+def snk_token_lists(spark, sf):
+    chosen = {name: CRITERIA[name] for name in _SAVED}
+    tables = fx.marked_tables(spark, sf)
+    rows = write_table(selected_rows(tables, chosen), "listed")
+    falling = F.col("criteria").isin([name for name in _SAVED if name == "combined"])
+    lines = rows.where("within").select(
+        F.col("criteria").alias("list"),
+        F.when(falling, -F.col("token_id")).otherwise(F.col("token_id")).alias("place"),
+        F.col("token").alias("line"),
+    )
+    headers = summarise(tables, chosen, rows).select(
+        F.col("criteria").alias("list"), F.lit(-(1 << 62)).alias("place"), F.col("summary").alias("line")
     )
+    path = scratch_path(spark, "token-lists")
+    token_lists.write_token_lists(lines.unionByName(headers), path)
+    back = token_lists.read_token_lists(spark, path)
+    return back.select(F.regexp_extract("file", "/list=([^/]*)/", 1).alias("list"), "place", "line")
 
 
 @query(
@@ -220,14 +262,14 @@ def snk_results(spark, sf):
         sinks.save_results(
             _result(spark, sf), _answers(spark, sf), fx.banned(spark, sf), fx.DATASET, fx.MODEL, "custom", name, path, "json"
         )
-    results = spark.read.json(f"{path}/results").select(
+    results = sinks.read_results(spark, path, "results", "json").select(
         "run_id",
         "reasoning_dataset_metrics.total_questions",
         "reasoning_dataset_metrics.accuracy_with_taboo",
     )
-    sizes = spark.read.json(f"{path}/tokens").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+    sizes = sinks.read_results(spark, path, "tokens", "json").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_tokens"))
     kept = ["index", "question", "is_taboo_correct", "is_free_correct", "is_same"]
-    answers = spark.read.json(f"{path}/answers")
+    answers = sinks.read_results(spark, path, "answers", "json")
     return answers.join(results, "run_id").join(sizes, "run_id").select(
         *kept,
         *("taboo_in_taboo", "taboo_in_free", "total_questions", "accuracy_with_taboo"),

@@ -1,4 +1,9 @@
-"""Writing selections, results and saved runs as partitioned tables."""
+"""Writing selections, results and saved runs as partitioned tables.
+
+What is saved in several tables is committed by the one that is written last: it
+names the parts that belong together, and readers join it. Parts of a save that failed
+on its way are not seen, and saving again is all that is needed.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ import json
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from banlist.operators.selection import (
@@ -42,19 +47,52 @@ def save_selected_tokens(
 ) -> None:
     """Write ``path/tokens`` and ``path/summary``, one partition per model and criteria.
 
-    Saving a criterion again replaces what was saved of it.
+    Saving a criterion again replaces what was saved of it: its row of the summary,
+    written last, names the save whose tokens count. `clear_replaced` deletes the others.
     """
     by_hash = {criteria_hash(one): one for one in criteria.values()}
+    save = {"model": F.lit(model), "save_id": F.lit(uuid.uuid4().hex)}
 
     def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumnRenamed("criteria", "criteria_hash").withColumn("model", F.lit(model))
+        return df.withColumnRenamed("criteria", "criteria_hash").withColumns(save)
 
     selected = write_table(selected_rows(tables, by_hash), "selected")
     tokens = keyed(selected.where("within").drop("within"))
-    _replace(tokens, "model", "criteria_hash").parquet(f"{path}/tokens")
+    by = ["model", "criteria_hash", "save_id"]
+    tokens.hint("rebalance", *by).write.partitionBy(*by).mode("append").parquet(f"{path}/tokens")
     _replace(keyed(summarise(tables, by_hash, selected)), "model", "criteria_hash").parquet(f"{path}/summary")
 
 
+def read_selected_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """All selections saved in a folder, with their summaries."""
+    tokens, summary = _saved_tokens(spark, path), _saved_summary(spark, path)
+    return tokens.join(summary, ["model", "criteria_hash", "save_id"])
+
+
+def _saved_tokens(spark: SparkSession, path: str) -> DataFrame:
+    # A selection of nothing leaves no file to take the columns from.
+    columns = "token string, token_id long, model string, criteria_hash string, save_id string"
+    return spark.read.schema(columns).parquet(f"{path}/tokens")
+
+
+def _saved_summary(spark: SparkSession, path: str) -> DataFrame:
+    columns = "n_tokens long, summary string, save_id string, model string, criteria_hash string"
+    return spark.read.schema(columns).parquet(f"{path}/summary")
+
+
+def clear_replaced(spark: SparkSession, path: str) -> int:
+    """Delete the token files of saves that no summary names; not while others save.
+    Returns how many saves went."""
+    listed = _saved_summary(spark, path).select("model", "criteria_hash", "save_id")
+    files = _saved_tokens(spark, path).select("model", "criteria_hash", "save_id", F.col("_metadata.file_path").alias("file"))
+    gone = files.join(listed, listed.columns, "left_anti")
+    folders = gone.select(F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("folder")).distinct().collect()
+    for folder in folders:  # one for each save
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(folder.folder))
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(folders)
+
+
 def load_saved_tokens(
     tables: TokenTables, criteria: str | Criteria, model: str, path: str, reference_rule: bool = False
 ) -> tuple[str, DataFrame]:
@@ -64,13 +102,11 @@ def load_saved_tokens(
     """
     spark = tables.vocab.sparkSession
     own = (F.col("model") == model) & (F.col("criteria_hash") == criteria_hash(criteria))
-    summary = spark.read.parquet(f"{path}/summary").where(own).select("summary", "n_tokens").head(1)
+    summary = _saved_summary(spark, path).where(own).select("summary", "save_id").head(1)
     if not summary:
         raise FileNotFoundError(f"no saved selection of this criterion for {model!r} in {path}")
-    saved = spark.read.parquet(f"{path}/tokens").where(own).select("token", "token_id")
-    if not summary[0]["n_tokens"]:
-        # A selection that has become empty writes no partition over the old one.
-        saved = saved.where(F.lit(False))
+    saved = _saved_tokens(spark, path).where(own & (F.col("save_id") == summary[0]["save_id"]))
+    saved = saved.select("token", "token_id")
     parsed = parse_criteria(criteria)
     if parsed.get("type") == "custom":
         check = compare_selections(saved, select_custom(tables, parsed), reference_rule).first()
@@ -97,7 +133,8 @@ def save_results(
 
     All three carry the run's id, time and criteria name and are partitioned by
     dataset, model and criteria type; runs are added, never replaced. Returns
-    the id, by which the three are joined.
+    the id, by which the three are joined. The run counts once it is listed in
+    ``path/runs``, which is written last; `read_results` reads listed runs only.
     """
     run_id = uuid.uuid4().hex
     stamp = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
@@ -110,9 +147,17 @@ def save_results(
     for name, df in (("results", results), ("answers", answers), ("tokens", tokens)):
         whole = df.withColumns(run | by).hint("rebalance", *by)
         whole.write.partitionBy(*by).mode("append").format(file_format).save(f"{path}/{name}")
+    listed = answers.sparkSession.range(1).select(*(v.alias(k) for k, v in (run | by).items()))
+    listed.write.mode("append").parquet(f"{path}/runs")
     return run_id
 
 
+def read_results(spark: SparkSession, path: str, name: str, file_format: str = "parquet") -> DataFrame:
+    """The rows of ``results``, ``answers`` or ``tokens`` of all runs that were saved whole."""
+    listed = spark.read.parquet(f"{path}/runs").select("run_id")
+    return spark.read.format(file_format).load(f"{path}/{name}").join(listed, "run_id", "left_semi")
+
+
 def save_runs(
     runs: DataFrame, model: str, criteria: str, k_shot: int, n_samples: int, path: str
 ) -> None:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RUN_SCHEMA = "idx bigint, normal array<bigint>, taboo array<bigint>, prompt string"
 
@@ -12,6 +16,92 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_stored_runs(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, idx, normal, taboo, prompt)`` of runs stored as gzip pickles.
+
+    ``path`` is a file, a folder or a pattern of files. A file holds a mapping of
+    indices to outputs and is read whole by one task.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    return unpack_runs(files.select(F.col("path").alias("file"), "content"))
+
+
+def unpack_runs(files: DataFrame) -> DataFrame:
+    """The same from ``(file, content)``.
+
+    Only lists, tuples, mappings, whole numbers, texts and nulls are read. A file that
+    names any class or function is refused with that name before it is called, and so
+    is one of another shape; the error says which file it is.
+    """
+
+    # Nested, so that executors need no copy of this package.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gzip
+        import io
+        import pickle
+
+        class Plain(pickle.Unpickler):
+            def find_class(self, module: str, name: str):
+                raise ValueError(f"it holds a {module}.{name}")
+
+            def persistent_load(self, pid):
+                raise ValueError("it refers to an object outside")
+
+        def ids(value, what: str) -> list[int] | None:
+            if value is not None and not (isinstance(value, (list, tuple)) and all(type(i) is int for i in value)):
+                raise ValueError(f"{what} is not a list of whole numbers")
+            return value if value is None else list(value)
+
+        def rows(content: bytes) -> list[tuple]:
+            stored = Plain(io.BytesIO(gzip.decompress(content))).load()
+            if type(stored) is not dict or any(type(k) is not int or type(v) is not dict for k, v in stored.items()):
+                raise ValueError("it is not a mapping of indices to outputs")
+            out = []
+            for idx, one in stored.items():
+                if not isinstance(one.get("prompt"), (str, type(None))):
+                    raise ValueError("a prompt is not a text")
+                out.append((idx, ids(one.get("normal"), "normal"), ids(one.get("taboo"), "taboo"), one.get("prompt")))
+            return out
+
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    found = rows(content.as_py())
+                except Exception as error:
+                    raise ValueError(f"{name}: not a stored run: {error}") from error
+                for at in range(0, len(found), 1000):
+                    columns = list(zip(*found[at : at + 1000]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(columns[0]), pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                        ["file", "idx", "normal", "taboo", "prompt"],
+                    )
+
+    return files.select("file", "content").mapInArrow(run, f"file string, {RUN_SCHEMA}")
+
+
+def pack_runs(runs: DataFrame, file: str) -> DataFrame:
+    """``(file, content)``: the runs of each value of ``file`` as one gzip pickle.
+
+    A stored run is one mapping, so its rows meet in one task; it is meant for runs
+    of the size that one program made and one program will load.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        import gzip
+        import pickle
+
+        stored = {
+            r["idx"]: {"normal": r["normal"], "taboo": r["taboo"], "prompt": r["prompt"]}
+            for r in sorted(rows.to_pylist(), key=lambda r: (r["idx"] is None, r["idx"]))
+        }
+        content = gzip.compress(pickle.dumps(stored), mtime=0)
+        return pa.table({"file": pa.array([key[0].as_py()], pa.string()), "content": pa.array([content], pa.binary())})
+
+    own = runs.select(F.col(file).cast("string").alias("file"), "idx", "normal", "taboo", "prompt")
+    return own.groupBy("file").applyInArrow(run, "file string, content binary")
+
+
 def pair_runs(normal: DataFrame, taboo: DataFrame, idx: str = "idx") -> DataFrame:
     """Free and constrained outputs of one prompt in one row."""
     return normal.withColumnRenamed("output", "free_output").join(
