@@ -299,4 +299,4 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
 def test_queries_are_registered():
     queries.load_all()
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
