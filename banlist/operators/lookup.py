@@ -12,11 +12,14 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_CHARS = 64_000_000
 
 
-def fits_broadcast(df: DataFrame, *text_columns: str) -> bool:
-    """Measure a table: its rows and the characters of its text columns."""
+def fits_broadcast(df: DataFrame, *columns: str) -> bool:
+    """Measure a table: its rows and the size of its texts, binaries and arrays, an
+    element of an array counting as eight characters."""
     chars = F.lit(0)
-    for name in text_columns:
-        chars = chars + F.coalesce(F.length(name), F.lit(0))
+    for name in columns:
+        kind = df.schema[name].dataType.simpleString()
+        size = F.size(name) * 8 if kind.startswith("array") else F.octet_length(name) if kind == "binary" else F.length(name)
+        chars = chars + F.coalesce(size, F.lit(0))
     rows, size = df.agg(F.count(F.lit(1)), F.sum(chars)).first()
     return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_CHARS
 
@@ -47,28 +50,24 @@ def lookup(
 
     A table of checked size is broadcast. Otherwise the rows of hot keys are
     spread over as many tasks as their share asks for, and only the hot keys'
-    table rows are copied. ``counts`` saves counting the keys of ``rows`` when
+    table rows are copied; rows without a key are spread over all. ``counts`` saves counting the keys of ``rows`` when
     that was done before.
     """
     if small is None:
-        texts = [f.name for f in table.schema.fields if f.dataType.simpleString() == "string"]
-        small = fits_broadcast(table, *texts)
+        kinds = ((f.name, f.dataType.simpleString()) for f in table.schema.fields)
+        small = fits_broadcast(table, *(name for name, kind in kinds if kind.startswith(("string", "binary", "array"))))
     if small:
         return rows.join(F.broadcast(table), key, how)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = hot_keys(count_keys(rows, key) if counts is None else counts, key, tasks)
     hot = write_table(hot, "hot-keys")  # fewer rows than tasks
-    if not hot.head(1):
-        return rows.join(table, key, how)
     # A hash of the row, not a random number: a task that runs again must send
-    # each row to the same place.
-    others = [F.col(c) for c in rows.columns if c != key]
+    # each row to the same place. Rows without a key find nothing anywhere, so they
+    # are spread over all tasks.
+    others = [F.col(c) for c in rows.columns if c != key] or [F.col(key)]
     salts = F.coalesce("__salts", F.lit(1))
-    salted_rows = (
-        rows.join(F.broadcast(hot), key, "left")
-        .withColumn("__salt", F.pmod(F.xxhash64(*others), salts).cast("int"))
-        .drop("__salts")
-    )
+    salt = F.pmod(F.xxhash64(*others), F.when(F.col(key).isNull(), F.lit(tasks)).otherwise(salts)).cast("int")
+    salted_rows = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__salts")
     salted_table = (
         table.join(F.broadcast(hot), key, "left")
         .withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
