@@ -15,10 +15,14 @@ from banlist.functions.fixed_values import (
     SYSTEM_MESSAGE,
 )
 from banlist.functions.text import example_text, strip
+from banlist.operators.lookup import lookup
+from banlist.operators.ranking import with_index
 from banlist.operators.sampling import sample_per_row, sample_rank
+from banlist.session import write_table
 
-# Rows per group when running texts are built.
+# Rows per part of a running text, and parts that are joined at a time when it is written out.
 RUNNING_BLOCK = 512
+RUNNING_FAN = 32
 
 
 def text_or_empty(df: DataFrame, name: str) -> Column:
@@ -123,39 +127,74 @@ def kshot_prompts(
     )
 
 
-def running_text(df: DataFrame, idx: str, text: str, out: str, block: int = RUNNING_BLOCK) -> DataFrame:
-    """``(idx, out)``: every row's text joined after the texts of all rows before.
-
-    ``idx`` counts from 0 without gaps. The rows fall into blocks of fixed
-    size; each block is joined on its own, and the blocks' texts are the rows
-    of the next round. No task ever holds more than one block of texts. The
-    output itself grows with the square of the rows: that is its definition.
+def running_parts(
+    df: DataFrame, idx: str, text: str, by: str | None = None, block: int = RUNNING_BLOCK
+) -> DataFrame:
+    """``(run, part, text, rows)``: running texts in the space of the texts alone.
+
+    A run's rows, by ``idx``, fall into parts of at most ``block`` rows. A part
+    has its rows' texts joined, and for each row ``(idx, chars)``: the row's
+    running text is all earlier parts of the run and this part's first
+    ``chars`` code points. ``by`` names the run a row belongs to, without it all
+    rows are one; rows with a null there are a run as well, and null texts are
+    empty. ``run`` is the place of the run's first row among all rows. No task
+    holds more than a part, so a run may have any number of rows.
     """
-    last = df.agg(F.max(idx)).first()[0]
-    rows = df.select(F.col(idx).alias("i"), F.col(text).alias("t"))
-    running = _running_blocks(rows, 0 if last is None else last, block)
-    return running.select(F.col("i").alias(idx), F.col("t").alias(out))
+    key = F.to_json(F.struct(F.col(by).alias("k"))) if by else F.lit("")
+    rows = df.select(key.alias("key"), F.col(idx).alias("idx"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    numbered = with_index(rows, ["key", "idx", "t"], "at")
+    starts = numbered.groupBy("key").agg(F.min("at").alias("run"))
+    placed = lookup(numbered, starts, "key").withColumn(
+        "part", F.floor((F.col("at") - F.col("run")) / F.lit(block)).cast("bigint")
+    )
+    inside = Window.partitionBy("run", "part").orderBy("at")
+    parts = placed.withColumn("chars", F.sum(F.length("t")).over(inside)).groupBy("run", "part").agg(
+        F.array_sort(F.collect_list(F.struct("at", "idx", "chars", "t"))).alias("own")
+    )
+    places = F.transform("own", lambda r: F.struct(r["idx"].alias("idx"), r["chars"].alias("chars")))
+    return write_table(
+        parts.select("run", "part", F.array_join("own.t", "").alias("text"), places.alias("rows")), "running-parts"
+    )
 
 
-def _running_blocks(rows: DataFrame, last: int, block: int) -> DataFrame:
-    placed = rows.withColumn("b", F.floor(F.col("i") / F.lit(block)).cast("bigint"))
-    blocks = placed.groupBy("b").agg(
-        F.array_sort(F.collect_list(F.struct("i", "t"))).alias("own")
-    )
-    inside = blocks.select("b", "own", F.posexplode("own").alias("at", "row")).select(
-        "b",
-        F.col("row.i").alias("i"),
-        F.array_join(F.slice(F.col("own.t"), F.lit(1), F.col("at") + 1), "").alias("t"),
+def expand_running(parts: DataFrame, idx: str = "idx", out: str = "text") -> DataFrame:
+    """``(idx, out)``: every row's whole running text, from `running_parts`.
+
+    The output grows with the square of a run's rows: that is its definition.
+    """
+    last = parts.agg(F.max("part")).first()[0] or 0
+    whole = parts.join(_texts_before(parts.select("run", "part", "text"), last), ["run", "part"])
+    prefix = F.substring(F.col("text"), F.lit(1), F.col("row.chars").cast("int"))
+    return whole.select("before", "text", F.explode("rows").alias("row")).select(
+        F.col("row.idx").alias(idx), F.concat("before", prefix).alias(out)
     )
-    if last < block:
-        return inside.select("i", "t")
-    whole = blocks.select(F.col("b").alias("i"), F.array_join(F.col("own.t"), "").alias("t"))
-    earlier = _running_blocks(whole, last // block, block).select(
-        (F.col("i") + 1).alias("b"), F.col("t").alias("before")
+
+
+def _texts_before(parts: DataFrame, last: int) -> DataFrame:
+    """``(run, part, before)``: the texts of all parts before joined. Some parts at
+    a time are joined to larger ones, until a run is one."""
+    if last == 0:
+        return parts.select("run", "part", F.lit("").alias("before"))
+    larger = parts.groupBy("run", F.floor(F.col("part") / F.lit(RUNNING_FAN)).cast("bigint").alias("above")).agg(
+        F.array_sort(F.collect_list(F.struct("part", "text"))).alias("own")
     )
-    return inside.join(earlier, "b", "left").select(
-        "i", F.concat(F.coalesce("before", F.lit("")), "t").alias("t")
+    inside = larger.select("run", "above", "own", F.posexplode("own").alias("at", "row")).select(
+        "run",
+        "above",
+        F.col("row.part").alias("part"),
+        F.array_join(F.slice(F.col("own.text"), F.lit(1), F.col("at")), "").alias("head"),
     )
+    joined = larger.select("run", F.col("above").alias("part"), F.array_join("own.text", "").alias("text"))
+    earlier = _texts_before(joined, last // RUNNING_FAN).withColumnRenamed("part", "above")
+    return inside.join(earlier, ["run", "above"]).select("run", "part", F.concat("before", "head").alias("before"))
+
+
+def running_text(
+    df: DataFrame, idx: str, text: str, out: str, block: int = RUNNING_BLOCK, by: str | None = None
+) -> DataFrame:
+    """``(idx, out)``: every row's text joined after the texts of all rows before
+    (of its run, with ``by``), written out."""
+    return expand_running(running_parts(df, idx, text, by, block), idx, out)
 
 
 def running_chat(
@@ -173,13 +212,7 @@ def running_chat(
     belongs to; texts then accumulate inside each run, else over all rows.
     """
     line = F.concat(F.lit("Question: "), text_or_empty(rows, "question"), F.lit("\n"))
-    if by is None:
-        joined = running_text(rows.select(idx, line.alias("line")), idx, "line", "tail", block)
-    else:
-        earlier = Window.partitionBy(by).orderBy(idx)
-        joined = rows.select(idx, by, line.alias("line")).select(
-            idx, F.array_join(F.collect_list("line").over(earlier), "").alias("tail")
-        )
+    joined = running_text(rows.withColumn("line", line), idx, "line", "tail", block, by)
     return _append_to_last(joined, few_shot_chat(examples, idx=idx, **options), idx)
 
 

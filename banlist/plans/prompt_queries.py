@@ -170,5 +170,23 @@ def win_running_prompt(spark, sf):
     return chats.select("idx", F.element_at("messages", -1)["content"].alias("content"))
 
 
+@query(
+    "win_running_parts",
+    ["qa"],
+    f"""select idx, part, length(own) as chars, md5(own) as prefix_md5 from (
+      select idx, idx // {prompts.RUNNING_BLOCK} as part, string_agg('Question: ' || question || chr(10), '')
+        over (partition by idx // {prompts.RUNNING_BLOCK} order by idx
+              rows between unbounded preceding and current row) as own
+      from qa)""",
+)
+def win_running_parts(spark, sf):
+    # All questions are one run, kept as parts with a prefix length for each row.
+    line = F.concat(F.lit("Question: "), "question", F.lit("\n"))
+    parts = prompts.running_parts(fx.qa(spark, sf).select("idx", line.alias("line")), "idx", "line")
+    places = parts.select("part", "text", F.explode("rows").alias("row"))
+    prefix = F.substring(F.col("text"), F.lit(1), F.col("row.chars").cast("int"))
+    return places.select("row.idx", "part", "row.chars", F.md5(prefix.cast("binary")).alias("prefix_md5"))
+
+
 def _examples(spark, sf):
     return sampling.few_shot(fx.train(spark, sf).select("idx", "question", "answer"), K)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,29 @@ def test_running_text(questions, block):
     assert [r["all"] for r in got] == ["".join(texts[: i + 1]) for i in range(40)]
 
 
+def test_running_text_of_runs_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(prompts, "RUNNING_FAN", 2)
+    rows = [(i, None if i % 3 == 0 else f"r{i % 3}", None if i % 5 == 0 else f"\U0001f600{i},") for i in range(30)]
+    df = spark.createDataFrame(rows, "i long, run string, t string")
+    for block in (1, 2, 4):
+        got = {r.i: r.all for r in prompts.running_text(df, "i", "t", "all", block, "run").collect()}
+        assert got == {i: "".join(t or "" for j, q, t in rows if q == run and j <= i) for i, run, _ in rows}
+    assert prompts.running_text(df.limit(0), "i", "t", "all", 4, "run").collect() == []
+
+
+def test_running_parts_grow_with_the_input(spark):
+    kept = []
+    for n in (2_000, 8_000):
+        # One run holds a third of the rows.
+        df = spark.range(n).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3 + F.col("id") % 40).alias("run"), F.sha2(F.col("id").cast("string"), 256).alias("t"))
+        parts = prompts.running_parts(df, "id", "t", "run", 64)
+        assert parts.agg(F.sum(F.length("text"))).first()[0] == 64 * n
+        assert parts.agg(F.max(F.size("rows"))).first()[0] == 64
+        files = [f.removeprefix("file:") for f in parts.inputFiles()]
+        kept.append(sum(os.path.getsize(f.replace("//", "")) for f in files))
+    assert kept[1] < 5 * kept[0]
+
+
 def test_chat_prompts(questions):
     few = questions.where("idx < 3")
     one = prompts.chat_prompts(few, questions.where("idx = 9")).orderBy("idx").collect()
