@@ -1,10 +1,12 @@
 """Sharding over fixed virtual slots.
 
-A record belongs to one of a fixed number of slots by the hash of its key, for
-ever. A versioned map, one row per slot, says which shard a slot is in. Bytes
-and rows are added up per slot, and only the map is edited to even out the
-shards or to add one: version 0 deals the slots round robin, a later version
-moves whole slots and leaves the others where they are.
+A record belongs to one of a fixed number of slots by the hash of its key, its
+text's checksum and its size, for ever; so rows that share a key, or have none,
+spread over all slots. A versioned map, one row per slot, says which shard a
+slot is in. Bytes and rows are added up per slot, and only the map is edited to
+even out the shards or to add one: version 0 deals the slots round robin, a
+later version moves whole slots and leaves the others where they are. A map can
+be kept as a table, to which each edit of its newest version adds one.
 
 The law that holds is ``bytes``: sizes are near equal. After an edit, two
 shards differ by no more than the largest slot that is in the fuller one, so
@@ -26,21 +28,21 @@ SLOTS = 4096
 OVERHEAD = 16
 
 
-def virtual_slot(key: str, slots: int = SLOTS) -> Column:
-    """The slot of a key; a null key has a slot as well."""
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int")
+def virtual_slot(*record: str, slots: int = SLOTS) -> Column:
+    """The slot of a record by the columns that tell it from others; nulls take part."""
+    return F.pmod(F.xxhash64(*record), F.lit(slots)).cast("int")
 
 
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """``(key, size, text_crc32, virtual_slot)`` per record: UTF-8 bytes of the
     text plus a fixed overhead, and the text's checksum. A null text has no bytes."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
+    records = docs.select(
         F.col(key),
         (F.octet_length(raw) + F.lit(OVERHEAD)).cast("bigint").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
-        virtual_slot(key, slots).alias("virtual_slot"),
     )
+    return records.withColumn("virtual_slot", virtual_slot(key, "text_crc32", "size", slots=slots))
 
 
 def slot_loads(records: DataFrame) -> DataFrame:
@@ -157,16 +159,42 @@ def place(records: DataFrame, loads: DataFrame, slot_map: DataFrame, key: str =
     )
 
 
-def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Place all records in ``shards`` shards by a map that is edited once.
+def stored_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of the map kept at ``path``; None where there is none yet."""
+    place_ = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place_.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place_):
+        return None
+    schema = "slot int, shard int, version bigint"
+    return latest(spark.read.schema(schema).parquet(path)).select("version", "slot", "shard")
 
-    An empty table has no places. Repeated rows are rows of their own. Null
-    keys share a slot; a null text has no bytes. Other columns are ignored.
-    The sums and the map are written once below the checkpoint folder.
+
+def keep_map(edited: DataFrame, path: str) -> None:
+    """Add a version to the map kept at ``path``; earlier versions stay. Saving a
+    version again replaces it."""
+    writer = edited.repartition(1).write.partitionBy("version")  # one row per slot
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def shard(
+    docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None
+) -> DataFrame:
+    """Place all records in ``shards`` shards by a map that is edited once: version
+    0, or the newest version of the map kept at ``map_path``, to which the edited
+    one is then added.
+
+    An empty table has no places. Repeated rows are rows of their own; a null key
+    takes part as a value, and a null text has no bytes. Very long texts are only
+    measured where they are read. Other columns are ignored, whatever their names. The
+    sums and the map are written once below the checkpoint folder.
     """
     records = sized(docs, key, text, slots)
     loads = write_table(slot_loads(records), "slot-loads")
-    edited = write_table(edit_map(first_map(docs.sparkSession, shards, slots), loads, shards), "slot-map")
+    current = stored_map(docs.sparkSession, map_path) if map_path else None
+    if current is None:
+        current = first_map(docs.sparkSession, shards, slots)
+    edited = write_table(edit_map(current, loads, shards), "slot-map")
+    if map_path:
+        keep_map(edited, map_path)
     return place(records, loads, edited, key)
 
 
