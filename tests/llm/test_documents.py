@@ -194,6 +194,39 @@ def test_shards(docs, numbered):
     assert sharding.shard(docs.limit(0), 4).collect() == []
 
 
+def test_rows_of_a_hot_key_spread_over_all_shards(spark):
+    rows = [(None if i % 3 == 0 else i % 7 if i % 3 == 1 else i, f"{i} " * (20 + i % 5)) for i in range(6_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 40).groupBy("shard").agg(F.sum("size").alias("n"))
+    sizes = [r.n for r in got.collect()]
+    assert len(sizes) == 40 and max(sizes) < 1.01 * min(sizes)
+
+
+def test_kept_map_is_edited(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = [spark.createDataFrame([(i, "x" * (i % 50)) for i in range(n)], "doc_id long, text string") for n in (3_000, 3_300)]
+    one = {r.doc_id: r for r in sharding.shard(docs[0], 6, slots=512, map_path=path).collect()}
+    two = {r.doc_id: r for r in sharding.shard(docs[1], 7, slots=512, map_path=path).collect()}
+    maps = spark.read.parquet(path)
+    assert {(r.version, r["count"]) for r in maps.groupBy("version").count().collect()} == {(1, 512), (2, 512)}
+    newest = {r.slot: r.shard for r in sharding.stored_map(spark, path).collect()}
+    assert all(two[k].virtual_slot == r.virtual_slot for k, r in one.items())
+    assert all(newest[r.virtual_slot] == r.shard for r in two.values())
+    # The seventh shard takes a seventh; hardly any other record moves.
+    assert sum(two[k].shard != r.shard for k, r in one.items()) < 0.25 * len(one)
+    sizes = [sum(r["size"] for r in two.values() if r.shard == s) for s in range(7)]
+    assert min(sizes) > 0.9 * max(sizes)
+    assert sharding.stored_map(spark, str(tmp_path / "none")) is None
+
+
+def test_shards_and_fingerprints_beside_columns_of_the_same_names(spark):
+    rows = [(1, "a\nb", 7), (2, "é" * 3_000_000, 8), (3, None, 9), (3, None, 9)]
+    names = "size shard slot virtual_slot text_crc32 law range tie ghost v next_text key bounds version".split()
+    plain = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    clashing = plain.select("doc_id", "text", *[F.col("n").alias(c) for c in names])
+    for make in (lambda d: sharding.shard(d, 3), fingerprint.with_next):
+        assert sorted(map(str, make(clashing).collect())) == sorted(map(str, make(plain).collect()))
+
+
 def test_growing_moves_little(spark, docs):
     records = sharding.sized(docs, slots=64)
     loads = sharding.slot_loads(records)
@@ -280,6 +313,26 @@ def test_likeness_follows_shared_paragraphs(spark):
     assert got[4:] == [0.0, 1.0] and all(0 <= g <= 1 for g in got)
 
 
+def test_longer_texts_of_one_line_are_like_their_edited_form(spark):
+    rng = random.Random(4)
+    line = lambda: "".join(rng.choice("abcdefghij  ") for _ in range(rng.choice((200, 600, 3000))))
+    df = spark.createDataFrame([(line(), line()) for _ in range(300)], "a string, b string")
+    own, other = fingerprint.vector(F.col("a")), fingerprint.vector(F.col("b"))
+    changed = fingerprint.vector(fingerprint.edited(F.col("a"), F.col("b")))
+    got = df.select(fingerprint.likeness(own, changed).alias("e"), fingerprint.likeness(own, other).alias("n")).collect()
+    assert sum(r.e > r.n for r in got) >= 0.95 * len(got)
+
+
+def test_equal_fingerprints_are_equal_multisets_of_lines(spark):
+    texts = ["abcd\nxy", "xycd\nab", "xy\nabcd", "ab\ncd\nxy", "abcd\nxy\nxy", "abcd", "ab\nabcd", "a", "aa", "", None, "\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.h for r in df.select("i", fingerprint.as_hex(fingerprint.vector(F.col("t"))).alias("h")).collect()}
+    lines = [sorted(p for p in (t or "").split("\n") if p) for t in texts]
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines):
+            assert (got[i] == got[j]) == (a == b)
+
+
 def test_next_document(docs, spark, tmp_path_factory):
     rows = [r for r in _documents() if r[0] is not None]
     rows = list({r[0]: r for r in rows}.values())
