@@ -70,7 +70,7 @@ def units(text: Column) -> Column:
 
 
 def entries(unit: Column, lanes: int = LANES) -> Column:
-    """The vector of one unit: four lanes from each 64-bit hash."""
+    """The vector of one unit, each lane 2^15 too high: four lanes from each 64-bit hash."""
     base = F.struct(
         F.xxhash64(unit["whole"], unit["text"]).alias("a"), F.xxhash64(unit["whole"] + 2, unit["text"]).alias("b")
     )
@@ -78,9 +78,12 @@ def entries(unit: Column, lanes: int = LANES) -> Column:
         F.array(base),
         lambda h: F.transform(F.sequence(F.lit(1), F.lit(lanes // 4)), lambda i: F.xxhash64(h["a"], h["b"], i)),
     )
+    low = lambda h: h.bitwiseAND(F.lit(0xFFFF))
     cut = F.transform(
         F.element_at(hashes, 1),
-        lambda h: F.array(*[F.shiftright(h, 16 * k).bitwiseAND(F.lit(0xFFFF)) - 0x8000 for k in range(4)]),
+        lambda h: F.array(
+            low(h), low(F.shiftright(h, 16)), low(F.shiftright(h, 32)), F.shiftrightunsigned(h, 48)
+        ),
     )
     return F.flatten(cut)
 
@@ -99,11 +102,15 @@ def empty(lanes: int = LANES) -> Column:
 
 def vector(text: Column, lanes: int = LANES) -> Column:
     """The fingerprint of a whole text; of an empty or null one all zeros."""
-    # Entries are small, so that sums need the modulus only at the end.
-    total = F.aggregate(
-        units(text), empty(lanes), lambda acc, u: F.zip_with(acc, entries(u, lanes), lambda x, y: x + y)
+    # Entries are small, so that sums need the shift to signed ones and the modulus only at the end.
+    sums = F.transform(
+        F.array(units(text)),
+        lambda all_: F.transform(
+            F.aggregate(all_, empty(lanes), lambda acc, u: F.zip_with(acc, entries(u, lanes), lambda x, y: x + y)),
+            lambda x: (x - F.size(all_).cast("bigint") * 0x8000).bitwiseAND(F.lit(_MASK)),
+        ),
     )
-    return F.transform(total, lambda x: x.bitwiseAND(F.lit(_MASK)))
+    return F.element_at(sums, 1)
 
 
 def as_hex(fingerprint: Column) -> Column:
