@@ -6,13 +6,20 @@
    the sample's labels single out. Each votes "toxic" or not on every text.
 3. A generative label model fits, by expectation maximisation over labelled and
    unlabelled rows, how often each voter fires on toxic and on other texts (its
-   accuracies), and how voters correlate given the label. Correlated voters
-   that fire on the same text share their evidence.
-4. A linear classifier is trained on the label model's posteriors and scores
-   every whole text in one pass without a shuffle.
-
-Only the sample and numbers about its voters reach the driver; the sample's
-size is a parameter and does not depend on the table's.
+   accuracies), and how voters correlate given the label: voters form a forest,
+   and each one's rates depend on the label and on the voter above it. The labels
+   guide these estimates; a row's posterior comes from its votes alone.
+4. A linear classifier is trained on the posteriors of all sampled rows, labelled
+   ones too, and scores every whole text in one pass without a shuffle.
+
+Only the sample's votes reach the driver; the sample's size is a parameter and
+does not depend on the table's. Nothing else is bounded: all features of the
+sample can become voters, of any length, and each voter is needed by some
+LEAST_TEXTS of the sampled toxic texts, so there are at most
+``COVER * size / LEAST_TEXTS`` beside the given ones.
+
+Null and empty texts have no features and get the score of a text without a
+sign. A text of any length is read whole, in one task, and leaves only its score.
 """
 
 from __future__ import annotations
@@ -34,8 +41,6 @@ ship(__name__)
 
 # Rows of the sample for each of: toxic, not toxic, without a label.
 SAMPLE_ROWS = 4_000
-MOST_CANDIDATES = 1_500
-MOST_VOTERS = 400
 # Voters wanted on each labelled toxic text.
 COVER = 3
 LEAST_TEXTS = 3
@@ -66,7 +71,7 @@ def features(text: str) -> set[str]:
     behind), and names of patterns that occur (with a tilde before)."""
     low = text.lower()
     words = set(_WORD.findall(low))
-    found = {w for w in words if len(w) <= 40}
+    found = set(words)
     for n in _STARTS:
         found.update(w[:n] + "-" for w in words if len(w) > n)
     found.update("~" + name for name, pattern in PATTERNS.items() if re.search(pattern, low))
@@ -120,25 +125,34 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS, key: str
     return write_table(noted, "toxic-sample")
 
 
-def candidates(noted: DataFrame, most: int = MOST_CANDIDATES) -> list[str]:
-    """The lexicon and patterns that occur, and the features that are much more
-    frequent in toxic than in other labelled texts of the sample."""
-    known = noted.where("label >= 0")
-    n1, n0 = known.agg(F.sum(F.col("label")), F.sum(1 - F.col("label"))).first()
-    given = [*LEXICON, *("~" + name for name in PATTERNS)]
+def candidates(noted: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The lexicon and patterns that occur, and all features that are much more
+    frequent in toxic than in other labelled texts of the sample, in order; and
+    in how many labelled texts that are not toxic each occurs."""
+    n1, n0 = noted.where("label >= 0").agg(F.sum(F.col("label")), F.sum(1 - F.col("label"))).first()
     counts = noted.select("label", F.explode("features").alias("f")).groupBy("f").agg(
         F.sum((F.col("label") == 1).cast("int")).alias("n1"), F.sum((F.col("label") == 0).cast("int")).alias("n0")
     )
-    chosen = {r["f"] for r in counts.where(F.col("f").isin(given)).select("f").collect()}
+    wanted = F.col("f").isin([*LEXICON, *("~" + name for name in PATTERNS)])
     if n1 and n0:
-        mined = (
-            counts.withColumn("z", _contrast(F.col("n1"), F.col("n0"), n1, n0))
-            .where((F.col("n1") >= LEAST_TEXTS) & (F.col("z") >= LEAST_Z))
-            .orderBy(F.desc("z"), "f")
-            .limit(most)
-        )
-        chosen |= {r["f"] for r in mined.select("f").collect()}
-    return sorted(chosen)
+        wanted |= (F.col("n1") >= LEAST_TEXTS) & (_contrast(F.col("n1"), F.col("n0"), n1, n0) >= LEAST_Z)
+    found = sorted((r["f"], r["n0"]) for r in counts.where(wanted).collect())
+    return [f for f, _ in found], np.array([n for _, n in found], float)
+
+
+def hits(noted: DataFrame, names: list[str]) -> DataFrame:
+    """``(row, label, weight, hits)``: the places in ``names`` of each row's features."""
+    place = {name: k for k, name in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(place[f] for f in own if f in place) for own in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], ["row", "label", "weight", "hits"]
+            )
+
+    slim = noted.select("row", "label", "weight", "features")
+    return slim.mapInArrow(run, "row long, label int, weight double, hits array<int>")
 
 
 def _contrast(n1, n0, all1: int, all0: int):
@@ -148,48 +162,96 @@ def _contrast(n1, n0, all1: int, all0: int):
     return (n1 / all1 - n0 / all0) / spread**0.5
 
 
-def choose_voters(votes: np.ndarray, labels: np.ndarray, given: np.ndarray, most: int = MOST_VOTERS) -> np.ndarray:
+def choose_voters(toxic: list[list[int]], n0: np.ndarray, clean: int, given: np.ndarray) -> np.ndarray:
     """The given candidates, and the others one by one: each time the one that
     best separates the toxic texts that fewer than COVER voters have marked.
 
-    Words that toxic texts only share because they are copies of one text thus
-    stay out when more general voters mark these texts.
+    ``toxic`` holds each labelled toxic text's candidates, ``n0`` how many of the
+    ``clean`` other labelled texts have a candidate. Words that toxic texts only
+    share because they are copies of one text stay out when more general voters
+    mark these texts.
     """
     chosen = given.copy()
-    toxic, clean = votes[labels == 1], votes[labels == 0]
-    if len(toxic) and len(clean):
-        n0 = clean.sum(axis=0)
-        while chosen.sum() < most:
-            left = toxic[:, chosen].sum(axis=1) < COVER
-            n1 = toxic[left].sum(axis=0)
-            z = _contrast(n1, n0, len(toxic), len(clean))
-            z[chosen | (n1 < LEAST_TEXTS) | (n1 / len(toxic) < LEAST_RATIO * n0 / len(clean))] = 0
-            best = int(z.argmax())
-            if z[best] < LEAST_Z:
-                break
-            chosen[best] = True
-    return chosen
-
-
-def label_model(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior of "toxic" for each row of a 0/1 vote matrix.
-
-    Labels are 0, 1 or -1 (unknown). Known rows enter the estimates with their
-    label, unknown ones, from the second round on, with their posterior, and the result is that again: the
-    posterior given votes and, where there is one, the label. A voter that does
-    not fire abstains, for texts differ in language and subject and most voters
-    concern few of them; that no voter at all fires is a sign of its own.
+    if not toxic or not clean:
+        return chosen
+    rows = np.repeat(np.arange(len(toxic)), [len(own) for own in toxic])
+    names = np.array([k for own in toxic for k in own], int)
+    marks = np.bincount(rows[chosen[names]], minlength=len(toxic))
+    while True:
+        n1 = np.bincount(names[marks[rows] < COVER], minlength=len(chosen))
+        z = _contrast(n1, n0, len(toxic), clean)
+        z[chosen | (n1 < LEAST_TEXTS) | (n1 / len(toxic) < LEAST_RATIO * n0 / clean)] = 0
+        best = int(z.argmax()) if len(z) else 0
+        if not len(z) or z[best] < LEAST_Z:
+            return chosen
+        chosen[best] = True
+        marks[rows[names == best]] += 1
+
+
+def correlation_forest(votes: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """For each voter the one it depends on, or -1.
+
+    ``toxic`` and ``clean`` are the rows' weights in each class. Two voters are
+    linked if they correlate within a class, and of all forests on such links the
+    one with the most mutual information given the class is taken: of all models
+    in which a voter depends on at most one other, it fits the votes best.
+    """
+    m = votes.shape[1]
+    information, linked = np.zeros((m, m)), np.zeros((m, m), bool)
+    for own in (toxic, clean):
+        mass = own.sum() + 1e-9
+        both = (votes * own[:, None]).T @ votes / mass
+        p = np.diag(both).copy()
+        chance = np.outer(p, p)
+        linked |= both - chance > CORRELATED * np.sqrt(np.maximum(np.outer(p * (1 - p), p * (1 - p)), 1e-18))
+        only = p[:, None] - both
+        for joint, alone in (
+            (both, chance),
+            (only, p[:, None] - chance),
+            (only.T, p[None] - chance),
+            (1 - p[:, None] - p[None] + both, np.outer(1 - p, 1 - p)),
+        ):
+            joint = np.maximum(joint, 1e-12)
+            information += mass * joint * np.log(joint / np.maximum(alone, 1e-12))
+    information[~linked] = 0
+    np.fill_diagonal(information, 0)
+    above = np.full(m, -1)
+    reached, best, via = np.zeros(m, bool), np.zeros(m), np.full(m, -1)
+    size = votes.sum(axis=0)
+    for _ in range(m):
+        # The strongest link out of the trees so far, else the largest voter begins a tree.
+        open_ = np.flatnonzero(~reached)
+        k = open_[best[open_].argmax()]
+        if best[k] > 0:
+            above[k] = via[k]
+        else:
+            k = open_[size[open_].argmax()]
+        reached[k] = True
+        closer = ~reached & (information[k] > best)
+        best[closer], via[closer] = information[k][closer], k
+    return above
+
+
+def vote_posteriors(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Posterior of "toxic" for each row of a 0/1 vote matrix, from its votes alone.
+
+    Labels are 0, 1 or -1 (unknown). The model is a class probability and, for
+    each voter and class, the probability that it fires when the voter above it
+    in `correlation_forest` fires and when that is silent. Known rows enter the
+    estimates with their label, unknown ones, from the second round on, with their
+    posterior. A voter that does not fire abstains, for texts differ in language
+    and subject and most voters concern few of them; that no voter at all fires
+    is a sign of its own.
     """
-    n, m = votes.shape
     known = labels >= 0
     any_vote = votes.sum(axis=1)
     none = (any_vote == 0).astype(float)
-    q = np.where(known, labels, np.minimum(any_vote / 2, 0.9)).astype(float)
-    shared = np.ones((n, m))
+    q = np.minimum(any_vote / 2, 0.9).astype(float)
+    above = np.full(votes.shape[1], -1)
+    # Where both labels are known, unknown rows weigh less, and nothing at first.
+    guided = 0 < labels[known].sum() < known.sum()
     for step in range(rounds):
         fixed = np.where(known, labels, q)
-        # Where both labels are known, unknown rows weigh less, and nothing at first.
-        guided = 0 < labels[known].sum() < known.sum()
         own = weights * np.where(known, 1.0, (UNKNOWN_WEIGHT if step else 0.0) if guided else 1.0)
         w1, w0 = own * fixed, own * (1 - fixed)
         # Beta(0.1, 1.9) and Beta(0.05, 9.95) priors: voters fire seldom, on clean texts more seldom.
@@ -197,21 +259,26 @@ def label_model(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, roun
         fire0 = (w0 @ votes + 0.05) / (w0.sum() + 10.0)
         prior = (w1.sum() + 0.5) / (own.sum() + 1.0)
         if step in (0, 3):
-            # Correlations given the label: what the two rates leave unexplained.
-            rest = votes - np.outer(fixed, fire1) - np.outer(1 - fixed, fire0)
-            scaled = rest * np.sqrt(own)[:, None]
-            spread = scaled.T @ scaled
-            size = np.sqrt(np.maximum(np.diag(spread), 1e-9))
-            correlation = spread / np.outer(size, size)
-            np.fill_diagonal(correlation, 0)
-            # Voters that fire together share their evidence; alone, each has all of its own.
-            shared = 1 + votes @ np.where(correlation > CORRELATED, correlation, 0)
+            above = correlation_forest(votes, w1, w0)
+        leads = above >= 0
+        with_lead = votes[:, above] * leads
+        logit = np.log(prior / (1 - prior)) + votes @ np.where(leads, 0, np.log(fire1 / fire0))
+        for state in (with_lead, leads - with_lead):
+            # One row's worth of the voter's own rate as the prior of its rate in this state.
+            both = votes * state
+            rate1 = (w1 @ both + fire1) / (w1 @ state + 1.0)
+            rate0 = (w0 @ both + fire0) / (w0 @ state + 1.0)
+            logit += both @ np.log(rate1 / rate0)
         silent1 = (w1 @ none + 1.0) / (w1.sum() + 2.0)
         silent0 = (w0 @ none + 1.0) / (w0.sum() + 2.0)
-        logit = np.log(prior / (1 - prior)) + (votes / shared) @ np.log(fire1 / fire0)
         logit += none * np.log(silent1 / silent0)
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return np.where(known, labels, q)
+    return q
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """The posterior given the votes and, where there is one, the label."""
+    return np.where(labels >= 0, labels, vote_posteriors(votes, labels, weights, rounds))
 
 
 def fit_linear(votes: np.ndarray, targets: np.ndarray, weights: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -249,24 +316,21 @@ def fit(
     """The classifier's weights by feature, and its bias. Without any labelled
     toxic row only the lexicon and patterns vote; with no rows the bias says "clean"."""
     noted = sample(docs, labels, size, key, text)
-    voters = candidates(noted)
-    place = F.create_map(*[F.lit(x) for pair in zip(voters, range(len(voters))) for x in pair]) if voters else None
-    if place is None:
+    names, n0 = candidates(noted)
+    if not names:
         return {}, -5.0
+    general = np.array([v in LEXICON or v[0] == "~" for v in names])
+    toxic = [r["hits"] for r in hits(noted.where("label = 1"), names).select("hits").collect()]
+    chosen = choose_voters(toxic, n0, noted.where("label = 0").count(), general)
+    voters = [v for v, c in zip(names, chosen) if c]
     # In order of the rows, so that sums come out the same on every run.
-    hits = noted.select(
-        "row", "label", "weight", F.transform(F.filter("features", lambda f: f.isin(voters)), lambda f: place[f]).alias("hits")
-    ).orderBy("row").collect()
-    votes = np.zeros((len(hits), len(voters)), np.float32)
-    for k, row in enumerate(hits):
+    found = hits(noted, voters).orderBy("row").collect()
+    votes = np.zeros((len(found), len(voters)), np.float32)
+    for k, row in enumerate(found):
         votes[k, row["hits"]] = 1
-    given = np.array([r["label"] for r in hits])
-    weights = np.array([r["weight"] for r in hits])
-    general = np.array([v in LEXICON or v[0] == "~" for v in voters])
-    chosen = choose_voters(votes, given, general)
-    votes, voters = votes[:, chosen], [v for v, c in zip(voters, chosen) if c]
-    posterior = label_model(votes, given, weights)
-    beta = fit_linear(votes, posterior, weights)
+    given = np.array([r["label"] for r in found])
+    weights = np.array([r["weight"] for r in found])
+    beta = fit_linear(votes, vote_posteriors(votes, given, weights), weights)
     return dict(zip(voters, beta[:-1].tolist())), float(beta[-1])
 
 
