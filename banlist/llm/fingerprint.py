@@ -31,6 +31,9 @@ from banlist.llm.registry import query, table
 
 LANES = 64
 _MASK = (1 << 32) - 1
+# Two entries of 16 bits, each with room for the sum over so many units.
+_PAIR = 0x0000FFFF0000FFFF
+PACKED_UNITS = 32_000
 # A lane's entry is uniform between -2^15 and 2^15 - 1; this is its mean square.
 _MEAN_SQUARE = ((1 << 32) - 1) / 12 + 0.25
 # Ranges of keys for `with_next`; their bounds are one array on the driver.
@@ -69,25 +72,6 @@ def units(text: Column) -> Column:
     return F.flatten(F.transform(paragraphs(text), of_one))
 
 
-def entries(unit: Column, lanes: int = LANES) -> Column:
-    """The vector of one unit, each lane 2^15 too high: four lanes from each 64-bit hash."""
-    base = F.struct(
-        F.xxhash64(unit["whole"], unit["text"]).alias("a"), F.xxhash64(unit["whole"] + 2, unit["text"]).alias("b")
-    )
-    hashes = F.transform(
-        F.array(base),
-        lambda h: F.transform(F.sequence(F.lit(1), F.lit(lanes // 4)), lambda i: F.xxhash64(h["a"], h["b"], i)),
-    )
-    low = lambda h: h.bitwiseAND(F.lit(0xFFFF))
-    cut = F.transform(
-        F.element_at(hashes, 1),
-        lambda h: F.array(
-            low(h), low(F.shiftright(h, 16)), low(F.shiftright(h, 32)), F.shiftrightunsigned(h, 48)
-        ),
-    )
-    return F.flatten(cut)
-
-
 def plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + y).bitwiseAND(F.lit(_MASK)))
 
@@ -100,17 +84,38 @@ def empty(lanes: int = LANES) -> Column:
     return F.array_repeat(F.lit(0).cast("bigint"), lanes)
 
 
+def _sums(hashes: Column, lanes: int) -> Column:
+    """The lanes' sums over hashed units, two in one number; each entry is 2^15 too
+    high, and of at most PACKED_UNITS units no sum reaches the next lane or the sign."""
+    slots = F.array(*[F.lit(i) for i in range(1, lanes // 2 + 1)])
+    return F.aggregate(
+        hashes,
+        empty(lanes // 2),
+        lambda acc, h: F.zip_with(acc, slots, lambda x, i: x + F.xxhash64(h["a"], h["b"], i).bitwiseAND(F.lit(_PAIR))),
+    )
+
+
 def vector(text: Column, lanes: int = LANES) -> Column:
     """The fingerprint of a whole text; of an empty or null one all zeros."""
-    # Entries are small, so that sums need the shift to signed ones and the modulus only at the end.
-    sums = F.transform(
-        F.array(units(text)),
-        lambda all_: F.transform(
-            F.aggregate(all_, empty(lanes), lambda acc, u: F.zip_with(acc, entries(u, lanes), lambda x, y: x + y)),
-            lambda x: (x - F.size(all_).cast("bigint") * 0x8000).bitwiseAND(F.lit(_MASK)),
-        ),
+    hashes = F.transform(
+        units(text),
+        lambda u: F.struct(F.xxhash64(u["whole"], u["text"]).alias("a"), F.xxhash64(u["whole"] + 2, u["text"]).alias("b")),
     )
-    return F.element_at(sums, 1)
+
+    def total(all_: Column) -> Column:
+        last = F.greatest(F.floor((F.size(all_) - 1) / PACKED_UNITS).cast("int"), F.lit(0))
+        parts = F.transform(
+            F.sequence(F.lit(0), last), lambda k: _sums(F.slice(all_, k * PACKED_UNITS + 1, F.lit(PACKED_UNITS)), lanes)
+        )
+        apart = lambda p: F.flatten(
+            F.transform(p, lambda x: F.array(x.bitwiseAND(F.lit(_MASK)), F.shiftrightunsigned(x, 32)))
+        )
+        sums = F.aggregate(parts, empty(lanes), lambda acc, p: F.zip_with(acc, apart(p), lambda x, y: x + y))
+        # The shift to signed entries, and the modulus, are left to the end.
+        return F.transform(sums, lambda x: (x - F.size(all_).cast("bigint") * 0x8000).bitwiseAND(F.lit(_MASK)))
+
+    # Named by a lambda, so that texts are cut and hashed once.
+    return F.element_at(F.transform(F.array(hashes), total), 1)
 
 
 def as_hex(fingerprint: Column) -> Column:

@@ -302,6 +302,19 @@ def test_fingerprints(spark):
     assert edits[2].more == got[3].v and edits[3].less == got[2].v and all(r.one == 1 for r in edits.values())
 
 
+def test_fingerprints_of_very_many_paragraphs_add_up(spark):
+    """Beyond what one packed sum holds, for different lines and for one repeated line."""
+    many = [f"{k}" for k in range(70_000)]
+    halves = [(many[:30_001], many[30_001:]), (["a"] * 66_000, ["a"]), (["a"] * 32_000, ["b"] * 32_000)]
+    rows = [("\n".join(a), "\n".join(b), "\n".join(b + a)) for a, b in halves]
+    of = lambda name: fingerprint.vector(F.col(name))
+    df = spark.createDataFrame(rows, "a string, b string, both string")
+    assert all(r.same for r in df.select((fingerprint.plus(of("a"), of("b")) == of("both")).alias("same")).collect())
+    one = spark.createDataFrame([("a",)], "a string").select(of("a").alias("v")).first().v
+    got = df.select(of("a").alias("v")).collect()
+    assert got[1].v == [66_000 * x % 2**32 for x in one] and got[2].v == [32_000 * x % 2**32 for x in one]
+
+
 def test_likeness_follows_shared_paragraphs(spark):
     lines = [f"paragraph {i}" for i in range(80)]
     rows = [("\n".join(lines[:40]), "\n".join(lines[40 - k : 80 - k])) for k in (0, 10, 20, 30)] + [("a", ""), ("", None)]
