@@ -93,3 +93,34 @@ def test_no_join_for_short_lists(spark):
     tokens = spark.createDataFrame([("x",), ("y",)], "token string")
     plan = flag_contained(df, {"a": "h"}, tokens, "id")._jdf.queryExecution().toString()
     assert "Join" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("method", ["pattern", "join", "auto"])
+def test_long_list_is_rid_of_needles_that_hold_others(spark, monkeypatch, method):
+    """A list as long as a vocabulary reaches neither the driver nor the join whole."""
+    monkeypatch.setattr(containment, "PATTERN_TOKENS", 20)
+    monkeypatch.setattr(containment, "SHORT_NEEDLES", 5)
+    asked = []
+    monkeypatch.setattr(containment, "contains_any", lambda t, n, own=containment.contains_any: (asked.append(len(n)), own(t, n))[1])
+    joined = []
+    monkeypatch.setattr(containment, "_hits_by_join", lambda t, n, own=containment._hits_by_join: (joined.append(n.count()), own(t, n))[1])
+    listed = ["ab", "zz", "q.", "Xy", "(k)"] + [f"{i:04d}ab{i}" for i in range(400)] + ["7" * 400 + "zz", "only-here"]
+    texts = ["an ab", "none", "q. and", "xY", "(k", "(K)", "0003a", "0003ab3", "only-her", "is only-here", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, a string")
+    tokens = spark.createDataFrame([(t,) for t in [*listed, None]], "token string")
+    got = {r.id: r.hit for r in flag_contained(df, {"a": "hit"}, tokens, "id", method=method).collect()}
+    hits = holding([t or "" for t in texts], listed)
+    assert got == {i: None if t is None else i in hits for i, t in enumerate(texts)}
+    assert max(asked + joined) <= 6
+
+
+@pytest.mark.parametrize("method", ["pattern", "auto"])
+def test_list_over_some_patterns_is_joined(spark, monkeypatch, method):
+    monkeypatch.setattr(containment, "PATTERN_TOKENS", 2)
+    monkeypatch.setattr(containment, "SHORT_NEEDLES", 3)
+    tokens = [f"<{i}>" for i in range(60)]
+    texts = [f"see <{i}> there" for i in range(0, 90, 7)] + ["<>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, a string")
+    listed = spark.createDataFrame([(t,) for t in tokens], "token string")
+    kept = {r.id for r in keep_containing(df, "a", listed, "id", method=method).collect()}
+    assert kept == holding(texts, tokens)
