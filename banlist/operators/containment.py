@@ -182,7 +182,9 @@ def _hits_by_join(texts: DataFrame, needles: DataFrame) -> DataFrame:
     long = [n for n in lengths if n > _HEAD_CHARS]
 
     count = F.ceil(F.length("text") / _CHUNK_CHARS).cast("int")
-    numbered = texts.where(F.col("text") != "").withColumn(
+    # A text is few bytes and much work: a file's few splits are dealt out to all cores.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = texts.where(F.col("text") != "").repartition(tasks, "key", "slot").withColumn(
         "c", F.explode(F.sequence(F.lit(0), count - 1))
     )
     chunks = _cut_chunks(numbered, max(short))
