@@ -13,6 +13,7 @@ from banlist.functions.arrays import let
 from banlist.functions.text import unwords, words
 from banlist.operators.lookup import count_keys, fits_broadcast, lookup
 from banlist.operators.pair_merge import fits_table, merge_pieces
+from banlist.operators.rule_places import with_places
 from banlist.session import spread, write_table
 
 # Tokens up to this length are merged by array expressions inside the JVM.
@@ -20,10 +21,6 @@ from banlist.session import spread, write_table
 ARRAY_MERGE_CHARS = 256
 
 
-# How much of a product's beginning tells how long products can get.
-HEAD_CHARS = 3
-
-
 def _unique(merges: DataFrame) -> DataFrame:
     return merges.groupBy("l", "r").agg(F.max("merge_rank").alias("merge_rank"))
 
@@ -99,6 +96,9 @@ def _heap_cuts(length: Column, places: Column) -> Column:
     def cuts_of(n: int, places) -> list[int]:
         from heapq import heapify, heappop, heappush
 
+        # The places of a token that has no need of the heap are null.
+        if places is None:
+            return []
         rank = {(p["a"], p["b"], p["c"]): p["rank"] for p in places}
         before = list(range(-1, n))
         behind = list(range(1, n + 2))
@@ -123,49 +123,6 @@ def _heap_cuts(length: Column, places: Column) -> Column:
     return batch(length, places)
 
 
-def _with_places(tokens: DataFrame, rules: DataFrame, small: bool) -> DataFrame:
-    """Each token with every place (a, b, c) a rule could apply: the rule joins
-    characters [a, b) with [b, c).
-
-    What a start's first characters can grow to is looked up first, so stretches
-    that no product begins like are never formed."""
-    n = F.length("token")
-    reach = rules.groupBy(F.substring("product", 1, HEAD_CHARS).alias("head")).agg(
-        F.max(F.length("product")).alias("reach")
-    )
-    starts = tokens.withColumn("a", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))))).withColumn(
-        "head", F.substring("token", F.col("a") + 1, HEAD_CHARS)
-    )
-    # A head that no product has can still hold a product shorter than a head.
-    longest = F.coalesce("reach", F.lit(HEAD_CHARS - 1))
-    # The one-character stretch at the start finds no rule; it keeps tokens
-    # without any place in the result.
-    stretches = (
-        lookup(starts, reach, "head", how="left", small=small)
-        .withColumn(
-            "w", F.explode(F.sequence(F.lit(1), F.greatest(F.least(longest, n - F.col("a")), F.lit(1))))
-        )
-        .drop("head", "reach")
-        .where((F.col("w") > 1) | (F.col("a") == 0))
-        .withColumn("product", F.substring("token", F.col("a") + 1, F.col("w")))
-    )
-    found = lookup(stretches, rules, "product", how="left", small=small).where(
-        F.col("merge_rank").isNotNull() | ((F.col("w") == 1) & (F.col("a") == 0))
-    )
-    place = F.struct(
-        F.col("merge_rank").alias("rank"),
-        F.col("a"),
-        (F.col("a") + F.col("split")).alias("b"),
-        (F.col("a") + F.col("w")).alias("c"),
-        F.col("safe"),
-    )
-    return found.groupBy(*tokens.columns).agg(
-        F.sort_array(
-            F.collect_list(F.when(F.col("merge_rank").isNotNull(), place))
-        ).alias("places")
-    )
-
-
 def decompose(
     tokens: DataFrame,
     merges: DataFrame,
@@ -180,9 +137,9 @@ def decompose(
 
     A rule list of checked size goes to the tasks as numbers (``method="table"``), and
     tokens are merged where they are, without a shuffle. A longer one is joined
-    (``"join"``): the stretches of a token that some rule produces are found with
-    equi-joins, for the whole table at once; the merges of one token then only touch
-    that token's own places. Either takes tokens over ``array_chars`` characters
+    (``"join"``): the stretches of a token that some rule produces are found where its
+    starts meet the rules with the same beginning (`rule_places`), for the whole table at
+    once; the merges of one token then only touch that token's own places. Either takes tokens over ``array_chars`` characters
     one by one on a heap.
     """
     if method not in ("auto", "table", "join"):
@@ -191,17 +148,13 @@ def decompose(
     if method == "table" or (method == "auto" and fits_table(merges)):
         return merge_pieces(spread(tokens), _unique(merges), keep, array_chars).select("token", *keep, "pieces", "depth")
     rules = write_table(_rules(write_table(_unique(merges), "merge-rules")), "rule-products")
-    small = fits_broadcast(rules, "product")
     n = F.length("token")
-    # One shuffle of the bare tokens: the search for places and the grouping
-    # by token both stay in this partitioning. Tokens are few bytes and much
-    # work, so the partitions are not merged by size.
-    partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = tokens.repartition(partitions, "token")
-    short = _with_places(tokens.where(n <= array_chars), rules, small)
-    long = _with_places(tokens.where(n > array_chars), rules, small)
-    cut = short.withColumn("cuts", _array_cuts(n, F.col("places"))).unionByName(
-        long.withColumn("cuts", _heap_cuts(n, F.col("places")))
+    short = n <= array_chars
+    cut = with_places(tokens, rules).withColumn(
+        "cuts",
+        F.when(short, _array_cuts(n, F.col("places"))).otherwise(
+            _heap_cuts(F.when(short, 0).otherwise(n), F.when(~short, F.col("places")))
+        ),
     )
     cuts = F.col("cuts")
     pieces = F.transform(

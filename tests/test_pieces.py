@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from banlist.operators import lookup, pair_merge
+from banlist.operators import lookup, pair_merge, rule_places
 from banlist.operators.pieces import decode, decompose, encode, encode_words, merge_depth, token_ids
 from tests.oracles import greedy_pieces
 
@@ -157,3 +157,25 @@ def test_hot_words_are_salted(spark, monkeypatch, small):
     assert len(got) == 300
     for r in got:
         assert list(r.ids) == ([4] if r.id % 3 == 0 else [2, 6, 6])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_starts_meet_rules_in_small_groups(spark, monkeypatch, seed):
+    """A start is one row however long the products are, and hot heads are spread."""
+    monkeypatch.setattr(rule_places, "GROUP_RULES", 3)
+    monkeypatch.setattr(rule_places, "GROUP_STARTS", 5)
+    sent = []
+    real = rule_places.write_table
+    monkeypatch.setattr(rule_places, "write_table", lambda df, name: (t := real(df, name), sent.append((name, t)))[0])
+    rng = random.Random(seed)
+    rules = _random_rules(rng, 30, "ab") + [("c" * i, "c") for i in range(1, 120)]
+    tokens = ["a" * 90, "b" * 200 + "ab" * 30, "c" * 150, *_random_tokens(rng, 60, "ab")]
+    ranks = {pair: i for i, pair in enumerate(rules)}
+    merges = spark.createDataFrame([(*p, i) for p, i in ranks.items()], "l string, r string, merge_rank long")
+    table = spark.createDataFrame([(t, None) for t in tokens + tokens[:3]], "token string, id int")
+    got = decompose(table, merges, 100, ["id"], "join").collect()
+    assert sorted(r.token for r in got) == sorted(set(tokens))
+    assert {r.token: (list(r.pieces), r.depth) for r in got} == {t: greedy_pieces(t, ranks) for t in set(tokens)}
+    heads = dict(sent)["start-heads"].agg(F.sum("n")).first()[0]
+    assert heads == sum(max(len(t) - 1, 0) for t in set(tokens))
+    assert dict(sent)["hot-keys"].count() > 0
