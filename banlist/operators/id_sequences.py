@@ -3,9 +3,8 @@
 A ban of several ids is one sequence. Sequences are taken out of a row's ids from
 left to right: the leftmost match, of those the longest, and on behind it. A short
 list is one pattern over the ids as text, with the sequences' common beginnings
-shared, applied in the JVM. A longer list is joined: places are first looked up by
-id, then by the whole sequence for the lengths that begin with that id, so a row makes
-one entry for each id and few more.
+shared, applied in the JVM. A longer list is joined: each place goes, with the ids behind
+it, to the sequences that begin with its id, so a row makes one entry for each id.
 
 A stop marker is a text. What an id spells is looked up, and the marker is searched
 in the running text of a row, so any ids that spell it together are found.
@@ -21,7 +20,8 @@ from pyspark.sql import functions as F
 
 from banlist.functions.fixed_values import STOP_MARKERS
 from banlist.functions.text import unwords
-from banlist.operators.lookup import fits_broadcast, lookup
+from banlist.operators.lookup import count_keys, hot_keys, lookup
+from banlist.operators.rule_places import GROUP_RULES, GROUP_STARTS, longest_begun
 from banlist.session import write_table
 
 # Ids in all sequences of a list that becomes one pattern, and in one of them.
@@ -75,30 +75,35 @@ def _by_pattern(df: DataFrame, ids: str, sequences: list[list[int]], out: str) -
 
 
 def _by_join(df: DataFrame, key: str, ids: str, sequences: DataFrame, out: str) -> DataFrame:
-    spelled = sequences.select(F.array_join(F.transform("seq", lambda i: i.cast("string")), " ").alias("spelled"), "seq")
-    heads = sequences.groupBy(F.get("seq", F.lit(0)).alias("head")).agg(F.sort_array(F.collect_set(F.size("seq"))).alias("sizes"))
     own = F.col(ids).cast("array<bigint>")
     longest = sequences.agg(F.max(F.size("seq"))).first()[0] or 1
-    small = fits_broadcast(spelled, "spelled")
-    begun = lookup(
-        df.select(F.col(key).alias("key"), F.posexplode(own).alias("at", "head"), own.alias("own")).select(
-            "key", "at", "head", F.slice("own", F.col("at") + 1, F.lit(longest)).alias("next")
-        ),
-        heads,
-        "head",
-        how="inner",
-        small=small,
+    places = (
+        df.select(F.col(key).alias("key"), F.posexplode(own).alias("at", "head"), own.alias("own"))
+        .where("head is not null")
+        .select("key", "at", "head", F.slice("own", F.col("at") + 1, F.lit(longest)).alias("next"))
     )
-    tried = begun.select("key", "at", F.explode("sizes").alias("size"), "next").where(F.col("size") <= F.size("next"))
-    texts = tried.select(
-        "key",
-        "at",
-        "size",
-        F.array_join(F.transform(F.slice("next", F.lit(1), F.col("size")), lambda i: F.coalesce(i.cast("string"), F.lit("n"))), " ").alias("spelled"),
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = write_table(count_keys(places, "head"), "head-ids")
+    n_places = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = max(4 * tasks, n_places // GROUP_STARTS, sequences.count() // GROUP_RULES)
+    # Places of a hot id are spread over several groups, which all get its sequences.
+    hot = F.broadcast(write_table(hot_keys(counts, "head", tasks), "hot-keys"))
+    salts = F.coalesce("__salts", F.lit(1))
+
+    def group(salt: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col("head"), salt), F.lit(groups)).cast("int")
+
+    sent = places.join(hot, "head", "left").select(
+        group(F.pmod(F.xxhash64("key", "at"), salts).cast("int")).alias("group"), "key", "at", "next"
     )
-    found = lookup(texts, spelled.select("spelled"), "spelled", how="inner", small=small)
+    asked = (
+        sequences.withColumn("head", F.get("seq", F.lit(0)))
+        .join(hot, "head", "left")
+        .select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), salts - 1), group))).alias("group"), "seq")
+    )
+    kind = sent.schema["key"].dataType.simpleString()
     # The longest at a place, then the places of a row from left to right.
-    best = found.groupBy("key", "at").agg(F.max("size").alias("size"))
+    best = sent.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(longest_begun, f"key {kind}, at int, size int")
     matches = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("matches"))
     gone = F.pandas_udf(_dropped_of(), "array<int>")(F.col("matches"))
     taken = matches.select(F.col("key").alias(key), gone.alias("__gone"))

@@ -120,3 +120,16 @@ def test_bans_until_the_marker(spark, method):
         cut = len(ids or []) if ids is None else _end([spelled[x] for x in ids], ["##", "####", "Answer:"]) or len(ids)
         assert r.out == (None if ids is None else _scrub(ids[:cut], banned) + ids[cut:])
     assert got.columns == [*table.columns, "out"]
+
+
+def test_a_place_is_one_entry_for_any_number_of_lengths(spark, monkeypatch):
+    """A list too long for a broadcast makes no entry for each length at a place."""
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(id_sequences, "GROUP_STARTS", 7)
+    monkeypatch.setattr(id_sequences, "lookup", lambda *a, **k: pytest.fail("looked up by length"))
+    big = 1 << 40
+    rows = [(i, [7, 7, big, None, 7, i % 3, -1] * 5) for i in range(30)] + [(90, []), (91, None)]
+    banned = [[7] * n for n in range(2, 9)] + [[7, big, 5], [7, big], [2, -1], [-1, 7, 7, big]]
+    table, listed = _frames(spark, rows, banned)
+    got = drop_banned_sequences(table, "idx", "ids", listed, "out", method="join")
+    assert {r.idx: r.out for r in got.collect()} == {i: _scrub(ids, banned) for i, ids in rows}
