@@ -46,6 +46,44 @@ def test_runs_round_trip_in_the_stored_form(spark, tmp_path):
     assert sorted(tuple(r)[1:] for r in back.collect()) == sorted(x[:4] for x in rows)
 
 
+def test_long_runs_are_kept_and_read_in_parts(spark, tmp_path, monkeypatch):
+    rows = [(i, list(range(i % 300)), None if i % 7 == 0 else [2**40, -i], None if i % 5 == 0 else f"é{i}\n", f"r{i % 2}") for i in range(4000)]
+    rows += [(i, [], [i], "", None) for i in range(3)]
+    df = spark.createDataFrame(rows, f"{runs.RUN_SCHEMA}, file string").repartition(5)
+    monkeypatch.setattr(runs, "PART_BYTES", 20_000)
+    parts = runs.pack_runs(df, "file", in_parts=True)
+    stored: dict = {}
+    for r in parts.orderBy("part").collect():
+        stored.setdefault(r.file, []).append(r.content)
+    assert len(stored["r0"]) > 20 and len(stored["r1"]) > 20
+    # No value holds more than a part and its last run.
+    assert max(len(gzip.decompress(c)) for own in stored.values() for c in own) < 25_000
+    for file, own in stored.items():  # one behind another they are one pickle
+        whole = pickle.loads(gzip.decompress(b"".join(own)))
+        assert whole == {x[0]: dict(zip(("normal", "taboo", "prompt"), x[1:4])) for x in rows if x[4] == file}
+        assert list(whole) == sorted(whole)
+        (tmp_path / f"{file}.gz").write_bytes(b"".join(own))
+    back = runs.unpack_runs(parts).select("idx", "normal", "taboo", "prompt", "file")
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+    back = runs.read_stored_runs(spark, str(tmp_path / "*.gz"))
+    assert sorted((tuple(r)[1:] for r in back.collect()), key=repr) == sorted((x[:4] for x in rows), key=repr)
+    assert {r.file: r.content for r in runs.pack_runs(df, "file").collect()} == {f: b"".join(own) for f, own in stored.items()}
+
+
+def test_rows_of_one_index_are_one_entry(spark):
+    rows = [(1, [i], None, "p", "f") for i in range(3)] + [(None, [1], None, "p", "f")]
+    packed = runs.pack_runs(spark.createDataFrame(rows, f"{runs.RUN_SCHEMA}, file string"), "file").first()
+    stored = pickle.loads(gzip.decompress(packed.content))
+    assert list(stored) == [1, None] and stored[1]["normal"] in ([0], [1], [2])
+
+
+def test_a_cut_run_is_refused(spark, tmp_path):
+    df = spark.createDataFrame([(i, [i], [], "p", "f") for i in range(50)], f"{runs.RUN_SCHEMA}, file string")
+    (tmp_path / "cut.gz").write_bytes(runs.pack_runs(df, "file").first().content[:-30])
+    with pytest.raises(Exception, match="cut.gz: not a stored run"):
+        runs.read_stored_runs(spark, str(tmp_path)).collect()
+
+
 @pytest.mark.parametrize(
     ("value", "said"),
     [
