@@ -183,14 +183,16 @@ def offline_score(
     truth_number = truth.select(
         idx, "question", parse_int(marked_answer("answer")).alias("gt_answer")
     )
+    # Answers are found before the join, so who asks for nothing else sends no texts.
+    for run in ("normal", "taboo"):
+        texts = texts.withColumn(f"{run}_clean", marked_answer(f"{run}_decoded"))
+        texts = texts.withColumn(f"{run}_int", parse_int(f"{run}_clean"))
     scored = texts.join(truth_number, idx)
+    figures = []
     for run in ("normal", "taboo"):
-        scored = scored.withColumn(f"{run}_clean", marked_answer(f"{run}_decoded"))
-        scored = scored.withColumn(f"{run}_int", parse_int(f"{run}_clean"))
-        scored = scored.withColumn(
-            f"{run}_correct", number_matches(f"{run}_int", "gt_answer")
-        )
-    return scored
+        correct = number_matches(f"{run}_int", "gt_answer").alias(f"{run}_correct")
+        figures += [f"{run}_clean", f"{run}_int", correct]
+    return scored.select(idx, "normal_decoded", "taboo_decoded", "question", "gt_answer", *figures)
 
 
 def accuracy_means(scored: DataFrame) -> DataFrame:

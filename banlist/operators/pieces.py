@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ from banlist.session import spread, write_table
 # Tokens up to this length are merged by array expressions inside the JVM.
 # Longer ones (rare junk) have too many places for that and use a heap.
 ARRAY_MERGE_CHARS = 256
+# Characters of the texts, or eight times their ids, that one block of rows holds, about.
+BLOCK_CHARS = 8_000_000
 
 
 def _unique(merges: DataFrame) -> DataFrame:
@@ -217,25 +220,39 @@ def encode(
 ) -> DataFrame:
     """``(key, ids)`` of each text, by byte-pair pieces of its words.
 
-    Each distinct word is decomposed once, however often it occurs. The texts
-    are dealt out by key before they are split, so a text's words stay where
-    they are when their ids are broadcast.
+    Each distinct word is decomposed once, however often it occurs.
     """
     counted = texts.select(F.explode(words(text)).alias("token"))
     distinct = write_table(count_keys(counted, "token"), "words")
-    occurrences = _by_key(texts, key, text).select(key, F.posexplode_outer(words(text)).alias("at", "token"))
     ids = vocab.select("token", "token_id")
     word_ids = write_table(
         _piece_ids(distinct, ids, merges, unknown_id, fits_broadcast(ids, "token")), "word-ids"
     )
-    return _gather(lookup(occurrences, word_ids, "token", counts=distinct), key)
+    return _ids_of_words(texts, key, text, word_ids)
 
 
 def encode_words(texts: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """``(key, ids)`` of texts all of whose words are vocabulary tokens."""
+    return _ids_of_words(texts, key, text, vocab.select("token", F.array("token_id").alias("ids")))
+
+
+def _ids_of_words(texts: DataFrame, key: str, text: str, table: DataFrame) -> DataFrame:
+    """The ids of each text's words one after another, by ``(token, ids)``.
+
+    The texts are dealt out by key before they are split, so a text's words stay where
+    they are when the table is broadcast.
+    """
+    if not fits_broadcast(table, "token", "ids"):
+        size = F.length(text)
+        values = table.groupBy(F.col("token").alias("item")).agg(F.flatten(F.sort_array(F.collect_list("ids"))).alias("value"))
+        return _answered(texts, key, size, [text], {"ids": words(text)}, values)
     occurrences = _by_key(texts, key, text).select(key, F.posexplode_outer(words(text)).alias("at", "token"))
-    found = lookup(occurrences, vocab.select("token", F.array("token_id").alias("ids")), "token")
-    return _gather(found, key)
+    found = lookup(occurrences, table, "token", small=True)
+    # The group is one text: its ids in the order of its words.
+    places = F.sort_array(
+        F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("at", "ids")))
+    )
+    return found.groupBy(key).agg(F.flatten(places["ids"]).alias("ids"))
 
 
 def _by_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -244,12 +261,68 @@ def _by_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     return rows.select(key, *columns).repartition(key)
 
 
-def _gather(found: DataFrame, key: str) -> DataFrame:
-    # The group is one text: its ids in the order of its words.
-    places = F.sort_array(
-        F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("at", "ids")))
+def _answered(
+    rows: DataFrame, key: str, size: Column, columns: list[str], items: dict[str, Column], values: DataFrame
+) -> DataFrame:
+    """``(key, name...)``: the values of each array's items one after another.
+
+    ``items`` maps the new columns to arrays made of ``columns``, ``size`` tells how long
+    they are, and ``values`` is ``(item, value)`` of any number of distinct items; values
+    are arrays of ids or texts. The rows are dealt out in blocks. A block asks once for
+    each of its distinct items, so an item is no row for each place it is at, and one
+    that is everywhere is as many rows as there are blocks. Rows of one key are one.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    blocks = max(2 * cores, total // BLOCK_CHARS + 1)
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("__block")
+    dealt = rows.select(block, key, *columns).repartition("__block").select(
+        "__block", key, *[array.alias(name) for name, array in items.items()]
     )
-    return found.groupBy(key).agg(F.flatten(places["ids"]).alias("ids"))
+    every = F.flatten(F.array_compact(F.array(*items)))
+    # Distinct where they are: the rows of a block are in one partition.
+    asked = dealt.select("__block", F.explode(every).alias("item")).where("item is not null").distinct()
+    answers = asked.join(values, "item").select(F.col("__block").alias("__asking"), "item", "value")
+    own = values.schema["value"].dataType
+    kinds = ", ".join(f"`{name}` {own.simpleString()}" for name in items)
+    names = list(items)
+
+    # Nested, so that executors need no copy of this package.
+    def run(asking: pa.Table, found: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        asking, found = asking.combine_chunks(), found.combine_chunks()
+        keys = pc.dictionary_encode(asking.column(1), null_encoding="encode").combine_chunks()
+        of_row = keys.indices.to_numpy().astype(np.int64)
+        n_keys = len(keys.dictionary)
+        known, value = found.column("item"), found.column("value").combine_chunks()
+        out = [keys.dictionary]
+        for name in names:
+            listed = asking.column(name).combine_chunks()
+            sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy().astype(np.int64)
+            place = pc.index_in(listed.flatten(), value_set=known, skip_nulls=True)
+            there = place.is_valid().to_numpy(zero_copy_only=False)
+            place = place.drop_null().to_numpy().astype(np.int64)
+            group = np.repeat(of_row, sizes)[there]
+            if n_keys < len(of_row):
+                at = (np.arange(len(there)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[there]
+                plain = value.to_pylist()
+                rank = np.empty(len(plain), np.int64)
+                rank[sorted(range(len(plain)), key=plain.__getitem__)] = np.arange(len(plain))
+                order = np.lexsort((rank[place], at, group))
+                place, group = place[order], group[order]
+            taken = value.take(pa.array(place))
+            if pa.types.is_list(taken.type):
+                group = np.repeat(group, pc.list_value_length(taken).to_numpy())
+                taken = taken.flatten()
+            ends = np.cumsum(np.bincount(group, minlength=n_keys))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), taken)
+            out.append(pc.binary_join(lists, "") if pa.types.is_string(taken.type) else lists)
+        return pa.Table.from_arrays(out, [key, *names])
+
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, {kinds}"
+    return dealt.groupBy("__block").cogroup(answers.groupBy("__asking")).applyInArrow(run, schema)
 
 
 def decode(
@@ -264,6 +337,17 @@ def decode(
     ``columns`` maps id column -> text column; all are decoded in one pass.
     ``skip_ids`` (``token_id``) names special tokens to leave out.
     """
+    table = vocab.select("token_id", "token")
+    if skip_ids is not None:
+        table = table.join(skip_ids.select("token_id"), "token_id", "left_anti")
+    if not fits_broadcast(table, "token"):
+        size = sum((F.coalesce(F.size(ids), F.lit(0)) * 8 for ids in columns), F.lit(0))
+        values = table.groupBy(F.col("token_id").alias("item")).agg(
+            F.array_join(F.sort_array(F.collect_list("token")), "").alias("value")
+        )
+        items = {out: F.col(ids).cast("array<bigint>") for ids, out in columns.items()}
+        joined = _answered(rows, key, size, list(columns), items, values.withColumn("item", F.col("item").cast("bigint")))
+        return joined.select(key, *[unwords(F.array(out)).alias(out) for out in columns.values()])
     slots = F.array(
         *[
             F.struct(F.lit(out).alias("slot"), F.col(ids).alias("ids"))
@@ -274,10 +358,7 @@ def decode(
         _by_key(rows, key, *columns).select(key, F.inline(slots))
         .select(key, "slot", F.posexplode_outer("ids").alias("at", "token_id"))
     )
-    table = vocab.select("token_id", "token")
-    if skip_ids is not None:
-        table = table.join(skip_ids.select("token_id"), "token_id", "left_anti")
-    found = lookup(places, table, "token_id")
+    found = lookup(places, table, "token_id", small=True)
 
     def text_of(slot: str) -> Column:
         own = F.when(

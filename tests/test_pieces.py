@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from banlist.operators import lookup, pair_merge, rule_places
+from banlist.operators import lookup, pair_merge, pieces, rule_places
 from banlist.operators.pieces import decode, decompose, encode, encode_words, merge_depth, token_ids
 from tests.oracles import greedy_pieces
 
@@ -179,3 +179,42 @@ def test_starts_meet_rules_in_small_groups(spark, monkeypatch, seed):
     heads = dict(sent)["start-heads"].agg(F.sum("n")).first()[0]
     assert heads == sum(max(len(t) - 1, 0) for t in set(tokens))
     assert dict(sent)["hot-keys"].count() > 0
+
+
+def _plain_words(text):
+    parts = (text or "").replace(" ", " Ġ").replace("\n", " Ċ ").split(" ")
+    return [w for w in parts if w]
+
+
+def test_blocks_ask_once_for_each_word(spark, monkeypatch):
+    """A long table gets no row for each place of a word, and answers as a short one."""
+    rng = random.Random(5)
+    pool = ["the"] * 30 + [f"w{i}" for i in range(40)] + ["é", "😀x", "no"]
+    texts = [(i, " ".join(rng.choices(pool, k=rng.randint(0, 60))) + "\n" * (i % 2)) for i in range(200)]
+    texts += [(900, None), (901, ""), (None, "the w1"), (None, "w2 w3 the"), (7, "w0 the the"), (7, "w0 the the")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    known = sorted({w for _, t in texts for w in _plain_words(t)} - {"no", "Ġno"})
+    twice = [(known[3], 10_000), (known[5], 1)]  # a token of two ids, an id of two tokens
+    vocab = spark.createDataFrame([*((w, i) for i, w in enumerate(known)), *twice], "token string, token_id long")
+
+    def both():
+        ids = encode_words(df, "id", "text", vocab)
+        kept = ids.withColumn("twice", F.when(F.col("id") % 3 > 0, F.concat("ids", F.array(F.lit(None).cast("bigint"), F.lit(77_777), F.lit(2)))))
+        back = decode(kept, "id", {"ids": "one", "twice": "two"}, vocab)
+        merged = encode(df, "id", "text", vocab, spark.createDataFrame([("w", "1", 0)], "l string, r string, merge_rank long"), 5)
+        assert ids.schema["ids"].dataType == merged.schema["ids"].dataType == kept.schema["twice"].dataType
+        return [sorted(map(tuple, x.collect()), key=repr) for x in (ids, back, merged)]
+
+    short = both()
+    assert len(short[0]) == 203 and dict(short[0])[900] == dict(short[0])[901] == []
+    sent = []
+    for name in ("BROADCAST_ROWS", "BROADCAST_CHARS"):
+        monkeypatch.setattr(lookup, name, 0)
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 500)
+    real = pieces._answered
+    monkeypatch.setattr(pieces, "_answered", lambda *a: (sent.append(a), real(*a))[1])
+    assert both() == short
+    assert len(sent) == 3
+    texts_only = df.where("id is not null").dropDuplicates(["id"])
+    plan = encode_words(texts_only, "id", "text", vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "posexplode" not in plan
