@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from banlist.functions.fixed_values import WHITESPACE
 from banlist.functions.text import strip
 from banlist.operators.ranking import with_index
 
+# Lines that are written at once.
+PACK_LINES = 10_000
 _GAP = f"[{WHITESPACE}]+"
 
 
@@ -44,6 +49,37 @@ def read_merges_text(spark: SparkSession, path: str) -> DataFrame:
     return _last_rank(ranked)
 
 
+def write_in_order(lines: DataFrame, number: str, path: str, first: str, last: str) -> None:
+    """Write ``(number, value)`` as one text file, a line each, between two more lines.
+
+    The numbers count from 0 without gaps. Lines are joined and packed by many tasks; the
+    one that writes the file puts the packs in order and holds one of them unpacked.
+    """
+    pack = F.floor(F.col(number) / PACK_LINES)
+    joined = F.array_join(F.sort_array(F.collect_list(F.struct(number, "value")))["value"], "\n")
+    packed = lines.groupBy(pack.alias("pack")).agg(joined.alias("value"))
+    ends = lines.sparkSession.createDataFrame([(-1, first), (1 << 62, last)], "pack long, value string")
+
+    # Nested, so that executors need no copy of this package.
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        for batch in batches:
+            texts = [zlib.compress(t.as_py().encode(), 1) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["pack", "value"])
+
+    def unpress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        for batch in batches:
+            for value in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.decompress(value.as_py()).decode()])], ["value"])
+
+    pressed = packed.unionByName(ends).mapInArrow(press, "pack long, value binary")
+    dealt = pressed.repartition(1).sortWithinPartitions("pack").select("value")
+    dealt.mapInArrow(unpress, "value string").write.option("lineSep", "\n").text(path)
+
+
 def _rule_parts(item: Column) -> Column:
     """Both spellings of a rule: ``"a b"`` and ``["a", "b"]``."""
     listed = F.from_json(item, "array<string>")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from banlist.operators.selection import TokenTables, select_tokens
 from banlist.sinks import tables as sinks
@@ -179,3 +180,29 @@ def test_results_round_trip(spark, tmp_path):
     joined = answers.join(results.select("run_id", "total", "run_ts"), ["run_id", "run_ts"]).collect()
     assert len(joined) == 6 and all((r.total, r.criteria_name) == runs_[r.run_id] for r in joined)
     assert spark.read.parquet(f"{path}/tokens").groupBy("run_id").count().where("count = 2").count() == 2
+
+
+def test_lines_of_one_file_are_packed(spark, tmp_path, monkeypatch):
+    """The task that writes a file sorts packs, not lines."""
+    monkeypatch.setattr(merges, "PACK_LINES", 50)
+    rules = [(i, f"é{i}" if i % 3 else f"[{i}\\", "\"b" * (i % 4) + "c") for i in range(1020)]
+    df = spark.createDataFrame(rules, "n long, l string, r string").repartition(7)
+    lines = df.select("n", F.concat(F.when(F.col("n") > 0, ", ").otherwise(""), F.to_json(F.array("l", "r"))).alias("value"))
+    sent = []
+    real = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: (sent.append((self, a)), real(self, *a))[1])
+    path = tmp_path / "json"
+    merges.write_in_order(lines, "n", str(path), '{"model": {"merges": [', "]}}")
+    monkeypatch.undo()
+    assert [(a, rows.count()) for rows, a in sent] == [((1,), 21 + 2)]
+    (file,) = path.glob("part-*")
+    whole = file.read_text(encoding="utf-8").split("\n")
+    assert len(whole) == 1020 + 3 and whole[-1] == ""
+    assert json.loads("".join(whole))["model"]["merges"] == [[l, r] for _, l, r in rules]
+    got = {(r.l, r.r): r.merge_rank for r in merges.read_merges_json(spark, str(path)).collect()}
+    assert got == {(l, r): i for i, l, r in rules}
+
+
+def test_a_file_of_no_lines(spark, tmp_path):
+    merges.write_in_order(spark.createDataFrame([], "n long, value string"), "n", str(tmp_path / "j"), '{"model": {"merges": [', "]}}")
+    assert merges.read_merges_json(spark, str(tmp_path / "j")).count() == 0
