@@ -3,8 +3,8 @@
 A ban of several ids is one sequence. Sequences are taken out of a row's ids from
 left to right: the leftmost match, of those the longest, and on behind it. A short
 list is one pattern over the ids as text, with the sequences' common beginnings
-shared, applied in the JVM. A longer list is joined: each place goes, with the ids behind
-it, to the sequences that begin with its id, so a row makes one entry for each id.
+shared, applied in the JVM. A longer list is joined: blocks of rows ask, packed, what
+begins with their distinct places (`sequence_places`), so no place is a row.
 
 A stop marker is a text. What an id spells is looked up, and the marker is searched
 in the running text of a row, so any ids that spell it together are found.
@@ -14,19 +14,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from banlist.functions.fixed_values import STOP_MARKERS
 from banlist.functions.text import unwords
-from banlist.operators.lookup import count_keys, hot_keys, lookup
-from banlist.operators.rule_places import GROUP_RULES, GROUP_STARTS, longest_begun
+from banlist.operators.lookup import count_keys, fits_broadcast, hot_keys, lookup
+from banlist.operators.pieces import _answered
+from banlist.operators.rule_places import GROUP_RULES, GROUP_STARTS
+from banlist.operators.sequence_places import ANSWERED, ASKED, asking, group_of, longest_begun, taking
 from banlist.session import write_table
 
 # Ids in all sequences of a list that becomes one pattern, and in one of them.
 PATTERN_IDS = 50_000
 PATTERN_LENGTH = 20
+# Ids in all grams of one block of rows, about.
+BLOCK_IDS = 4_000_000
 _METHODS = ("auto", "pattern", "join")
 
 
@@ -74,61 +77,52 @@ def _by_pattern(df: DataFrame, ids: str, sequences: list[list[int]], out: str) -
     return df.withColumn(out, F.when(values.isNotNull(), kept))
 
 
-def _by_join(df: DataFrame, key: str, ids: str, sequences: DataFrame, out: str) -> DataFrame:
-    own = F.col(ids).cast("array<bigint>")
-    longest = sequences.agg(F.max(F.size("seq"))).first()[0] or 1
-    places = (
-        df.select(F.col(key).alias("key"), F.posexplode(own).alias("at", "head"), own.alias("own"))
-        .where("head is not null")
-        .select("key", "at", "head", F.slice("own", F.col("at") + 1, F.lit(longest)).alias("next"))
-    )
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = write_table(count_keys(places, "head"), "head-ids")
+def _taken(rows: DataFrame, sequences: DataFrame) -> DataFrame:
+    """``(key, gone)``: the places of the ids that matches take, for rows ``(key, own)``."""
+    longest, n_sequences = sequences.agg(F.coalesce(F.max(F.size("seq")), F.lit(1)), F.count(F.lit(1))).first()
+    heads = rows.select(F.explode("own").alias("head"))
+    counts = write_table(count_keys(heads, "head"), "head-ids")
     n_places = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    groups = max(4 * tasks, n_places // GROUP_STARTS, sequences.count() // GROUP_RULES)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(4 * tasks, n_places // GROUP_STARTS, n_sequences // GROUP_RULES)
+    blocks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, n_places * longest // BLOCK_IDS + 1)
     # Places of a hot id are spread over several groups, which all get its sequences.
-    hot = F.broadcast(write_table(hot_keys(counts, "head", tasks), "hot-keys"))
-    salts = F.coalesce("__salts", F.lit(1))
-
-    def group(salt: Column) -> Column:
-        return F.pmod(F.xxhash64(F.col("head"), salt), F.lit(groups)).cast("int")
-
-    sent = places.join(hot, "head", "left").select(
-        group(F.pmod(F.xxhash64("key", "at"), salts).cast("int")).alias("group"), "key", "at", "next"
-    )
-    asked = (
+    hot = write_table(hot_keys(counts, "head", tasks), "hot-keys")  # fewer rows than tasks
+    salts = {r["head"]: r["__salts"] for r in hot.collect()}
+    dealt = rows.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), "key", "own").repartition("block")
+    asked = dealt.groupBy("block").applyInArrow(asking(longest, salts, groups), ASKED)
+    salt = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    begun = (
         sequences.withColumn("head", F.get("seq", F.lit(0)))
-        .join(hot, "head", "left")
-        .select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), salts - 1), group))).alias("group"), "seq")
+        .join(F.broadcast(hot), "head", "left")
+        .select("head", "seq", salt.alias("salt"))
+        .select(group_of(F.col("head"), F.col("salt"), groups).alias("group"), "seq")
     )
-    kind = sent.schema["key"].dataType.simpleString()
-    # The longest at a place, then the places of a row from left to right.
-    best = sent.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(longest_begun, f"key {kind}, at int, size int")
-    matches = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("matches"))
-    gone = F.pandas_udf(_dropped_of(), "array<int>")(F.col("matches"))
-    taken = matches.select(F.col("key").alias(key), gone.alias("__gone"))
-    joined = df.join(taken, key, "left")
+    # Salts of an id that meet in one group send it a sequence twice, which changes nothing.
+    answers = asked.groupBy("group").cogroup(begun.groupBy("group")).applyInArrow(longest_begun, ANSWERED)
+    kind = rows.schema["key"].dataType.simpleString()
+    taken = taking(longest, salts, groups)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(taken, f"key {kind}, gone array<int>")
+
+
+def _without(df: DataFrame, key: str, ids: str, taken: DataFrame, out: str) -> DataFrame:
+    own = F.col(ids).cast("array<bigint>")
+    joined = df.join(taken.select(F.col("key").alias(key), F.col("gone").alias("__gone")), key, "left")
     stays = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.coalesce("__gone", F.array().cast("array<int>")))
     kept = F.when(F.size(own) > 0, F.transform(stays, lambda i: F.get(own, i))).otherwise(own)
     return joined.withColumn(out, kept).drop("__gone")
 
 
-def _dropped_of():
-    """The places of the ids that matches take, from sorted ``(at, size)``."""
-
-    # Nested, so that executors need no copy of this package.
-    def dropped(places: pd.Series) -> pd.Series:
-        def one(matches) -> list[int]:
-            free, taken = 0, []
-            for m in matches:
-                if m["at"] >= free:
-                    free = m["at"] + m["size"]
-                    taken += range(m["at"], free)
-            return taken
-
-        return places.map(one)
-
-    return dropped
+def _listed(banned: DataFrame, ids: str, method: str) -> tuple[DataFrame, str]:
+    """The written sequences, and how they are to be found."""
+    if method not in _METHODS:
+        raise ValueError(f"unknown method: {method}")
+    sequences = write_table(_sequences(banned, ids), "banned-sequences")
+    if method == "auto":
+        size = F.coalesce(F.sum(F.size("seq")), F.lit(0)), F.coalesce(F.max(F.size("seq")), F.lit(0))
+        total, longest = sequences.agg(*size).first()
+        method = "pattern" if total <= PATTERN_IDS and longest <= PATTERN_LENGTH else "join"
+    return sequences, method
 
 
 def drop_banned_sequences(
@@ -145,16 +139,11 @@ def drop_banned_sequences(
     ``banned`` holds one id array a row, such as `pieces.token_ids` gives. ``key`` is
     unique. A null array stays null; a null element stays and ends a match.
     """
-    if method not in _METHODS:
-        raise ValueError(f"unknown method: {method}")
-    sequences = write_table(_sequences(banned, banned_ids), "banned-sequences")
-    if method == "auto":
-        size = F.coalesce(F.sum(F.size("seq")), F.lit(0)), F.coalesce(F.max(F.size("seq")), F.lit(0))
-        total, longest = sequences.agg(*size).first()
-        method = "pattern" if total <= PATTERN_IDS and longest <= PATTERN_LENGTH else "join"
+    sequences, method = _listed(banned, banned_ids, method)
     if method == "pattern":
         return _by_pattern(df, ids, [list(r.seq) for r in sequences.collect()], out)
-    return _by_join(df, key, ids, sequences, out)
+    rows = df.select(F.col(key).alias("key"), F.col(ids).cast("array<bigint>").alias("own"))
+    return _without(df, key, ids, _taken(rows, sequences), out)
 
 
 def marker_places(
@@ -175,13 +164,23 @@ def marker_places(
     """
     # How a token looks in a text; the markers of words and lines are spelled out.
     spelled = vocab.select("token_id", unwords(F.array("token")).alias("spelled"))
-    places = df.select(F.col(key).alias("key"), F.posexplode(ids).alias("at", "token_id"))
-    found = lookup(places, spelled, "token_id")
-    texts = found.groupBy("key").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("at", F.coalesce("spelled", F.lit("")).alias("s")))), lambda p: p["s"]
-        ).alias("spelled")
-    )
+    if fits_broadcast(spelled, "spelled"):
+        # Dealt out by key before they are split, so the places of a row stay where they are.
+        dealt = df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).repartition("key")
+        found = lookup(dealt.select("key", F.posexplode("ids").alias("at", "token_id")), spelled, "token_id", small=True)
+        texts = found.groupBy("key").agg(
+            F.transform(
+                F.sort_array(F.collect_list(F.struct("at", F.coalesce("spelled", F.lit("")).alias("s")))), lambda p: p["s"]
+            ).alias("spelled")
+        )
+    else:
+        # Each block of rows asks once for each of its ids.
+        values = spelled.groupBy(F.col("token_id").cast("bigint").alias("item")).agg(
+            F.sort_array(F.collect_list(F.coalesce("spelled", F.lit("")))).alias("value")
+        )
+        rows = df.select(F.col(key).alias("key"), F.col(ids).cast("array<bigint>").alias("ids"))
+        size = F.coalesce(F.size("ids"), F.lit(0)) * 8
+        texts = _answered(rows, "key", size, ["ids"], {"spelled": F.col("ids")}, values, unknown=[""])
     listed = [m for m in dict.fromkeys(markers) if m]
     if whole_token:
         at = F.array(*[F.array_position("spelled", F.lit(m)) for m in listed]) if listed else F.array().cast("array<bigint>")
@@ -224,10 +223,15 @@ def drop_banned_sequences_until_marker(
     the running text; what follows stays. Without a marker all of it is scrubbed."""
     own = F.col(ids).cast("array<bigint>")
     cut = F.coalesce("marker_end", F.size(own))
+    head = F.slice(own, F.lit(1), cut)
+    sequences, method = _listed(banned, banned_ids, method)
+    if method == "join":
+        # The heads are read more than once. What lies behind them takes no part.
+        marked = marker_places(df.select(key, ids), key, ids, vocab, markers)
+        heads = write_table(marked.select(F.col(key).alias("key"), head.alias("own")), "heads")
+        return _without(df, key, ids, _taken(heads, sequences), out)
     parts = marker_places(df, key, ids, vocab, markers).select(
-        *df.columns,
-        F.slice(own, F.lit(1), cut).alias("__head"),
-        F.slice(own, cut + 1, F.size(own)).alias("__tail"),
+        *df.columns, head.alias("__head"), F.slice(own, cut + 1, F.size(own)).alias("__tail")
     )
-    kept = drop_banned_sequences(parts, key, "__head", banned, "__kept", banned_ids, method)
+    kept = _by_pattern(parts, "__head", [list(r.seq) for r in sequences.collect()], "__kept")
     return kept.withColumn(out, F.concat("__kept", "__tail")).drop("__head", "__tail", "__kept")

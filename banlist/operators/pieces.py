@@ -262,13 +262,20 @@ def _by_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
 
 
 def _answered(
-    rows: DataFrame, key: str, size: Column, columns: list[str], items: dict[str, Column], values: DataFrame
+    rows: DataFrame,
+    key: str,
+    size: Column,
+    columns: list[str],
+    items: dict[str, Column],
+    values: DataFrame,
+    unknown: list[str] | None = None,
 ) -> DataFrame:
     """``(key, name...)``: the values of each array's items one after another.
 
     ``items`` maps the new columns to arrays made of ``columns``, ``size`` tells how long
     they are, and ``values`` is ``(item, value)`` of any number of distinct items; values
-    are arrays of ids or texts. The rows are dealt out in blocks. A block asks once for
+    are arrays of ids or texts, or with ``unknown``, which stands for an item that is null or
+    has no value, arrays of texts. The rows are dealt out in blocks. A block asks once for
     each of its distinct items, so an item is no row for each place it is at, and one
     that is everywhere is as many rows as there are blocks. Rows of one key are one.
     """
@@ -297,11 +304,15 @@ def _answered(
         of_row = keys.indices.to_numpy().astype(np.int64)
         n_keys = len(keys.dictionary)
         known, value = found.column("item"), found.column("value").combine_chunks()
+        if unknown is not None:
+            value = pa.concat_arrays([value, pa.array([unknown], value.type)])
         out = [keys.dictionary]
         for name in names:
             listed = asking.column(name).combine_chunks()
             sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy().astype(np.int64)
             place = pc.index_in(listed.flatten(), value_set=known, skip_nulls=True)
+            if unknown is not None:
+                place = pc.fill_null(place, len(known))
             there = place.is_valid().to_numpy(zero_copy_only=False)
             place = place.drop_null().to_numpy().astype(np.int64)
             group = np.repeat(of_row, sizes)[there]
@@ -318,7 +329,7 @@ def _answered(
                 taken = taken.flatten()
             ends = np.cumsum(np.bincount(group, minlength=n_keys))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), taken)
-            out.append(pc.binary_join(lists, "") if pa.types.is_string(taken.type) else lists)
+            out.append(pc.binary_join(lists, "") if pa.types.is_string(value.type) else lists)
         return pa.Table.from_arrays(out, [key, *names])
 
     schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, {kinds}"

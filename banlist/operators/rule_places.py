@@ -11,7 +11,6 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,31 +84,6 @@ def _search(starts: pa.Table, rules: pa.Table) -> pa.Table:
     return pa.table([*own.columns, *lists], names=["id", "a", "ranks", "codes"])
 
 
-def _ids(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    one = lists.combine_chunks()
-    lengths = pc.list_value_length(one).to_numpy(zero_copy_only=False).astype(np.int64)
-    return one.flatten(), np.cumsum(lengths) - lengths, lengths
-
-
-def longest_begun(places: pa.Table, sequences: pa.Table) -> pa.Table:
-    """``(key, at, size)`` of the places ``(key, at, next)`` at which one of the sequences
-    begins, with the size of the longest. A null among the ids of a place equals none."""
-    (own, at_t, n_t), (listed, at_p, n_p) = _ids(places.column("next")), _ids(sequences.column("seq"))
-    known = pc.unique(listed)
-    if not (len(known) and len(own)):
-        text = product = np.zeros(0, np.int64)
-    else:
-        # What no sequence has is one further number, and so is null, which no sequence has.
-        signs = pc.fill_null(pc.index_in(own, known), len(known)).to_numpy(zero_copy_only=False)
-        numbers = pc.index_in(listed, known).to_numpy(zero_copy_only=False)
-        text, product = begun_with((signs.astype(np.int64), at_t, n_t), (numbers.astype(np.int64), at_p, n_p))
-    size = np.zeros(places.num_rows, np.int32)
-    np.maximum.at(size, text, n_p[product].astype(np.int32))
-    rows = np.flatnonzero(size)
-    taken = places.select(["key", "at"]).take(pa.array(rows))
-    return pa.table([*taken.columns, pa.array(size[rows], pa.int32())], names=["key", "at", "size"])
-
-
 def with_places(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct rows of ``tokens`` with ``places``, in order of rank, where any of the rules
     ``(product, split, merge_rank, safe)`` may apply: it joins characters [a, b) with [b, c)."""

@@ -24,6 +24,7 @@ from banlist.plans.oracle_views import (
     text_list,
 )
 from banlist.plans.registry import query
+from banlist.session import write_table
 
 _TOKENS = "string_split(replace({x}, chr(10), ' '), ' ')"
 _MARKERS = text_list(STOP_MARKERS)
@@ -286,6 +287,8 @@ def arr_stop_hit(spark, sf):
 
 def _kept_text(spark, sf, scrubbed):
     """Scrubbed ids as text again, with their number."""
+    # Read more than once.
+    scrubbed = write_table(scrubbed.select("idx", "kept"), "scrubbed")
     texts = decode(scrubbed, "idx", {"kept": "kept_text"}, fx.run_vocab(spark, sf))
     sizes = scrubbed.select("idx", F.size("kept").cast("bigint").alias("n_kept"))
     return sizes.join(texts, "idx").select("idx", "n_kept", "kept_text")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from banlist.operators import id_sequences, lookup
+from banlist.operators import id_sequences, lookup, sequence_places
 from banlist.operators.id_sequences import (
     drop_banned_sequences,
     drop_banned_sequences_until_marker,
@@ -133,3 +134,52 @@ def test_a_place_is_one_entry_for_any_number_of_lengths(spark, monkeypatch):
     table, listed = _frames(spark, rows, banned)
     got = drop_banned_sequences(table, "idx", "ids", listed, "out", method="join")
     assert {r.idx: r.out for r in got.collect()} == {i: _scrub(ids, banned) for i, ids in rows}
+
+
+@pytest.mark.parametrize("hot", [{}, {7: 3, 1: 2}])
+def test_blocks_ask_groups_about_their_distinct_places(hot):
+    """The packed exchange alone: rows in any order number their places alike."""
+    rng = random.Random(11)
+    ids = [1, 7, 12, -3, 1 << 40, None]
+    rows = [(k, [rng.choice(ids) for _ in range(rng.randint(0, 30))]) for k in range(40)] + [(50, None), (None, [7, 1, 7])]
+    banned = [[7, 1], [7, 1, 7], [1], [-3, 1 << 40], [12, 12, 7], [1 << 40, 1 << 40, 1]]
+    table = {"block": [3] * len(rows), "key": [k for k, _ in rows], "own": [o for _, o in rows]}
+    types = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("own", pa.list_(pa.int64()))])
+    block = pa.table(table, schema=types)
+    listed = pa.table({"seq": banned}, schema=pa.schema([("seq", pa.list_(pa.int64()))]))
+    asked = sequence_places.asking(3, hot, 4)(block)
+    # A place is no row: one for each group, however many places there are.
+    assert asked.num_rows <= 4
+    found = [sequence_places.longest_begun(asked.slice(i, 1), listed) for i in range(asked.num_rows)]
+    mixed = block.take(pa.array(rng.sample(range(len(rows)), len(rows))))
+    taken = sequence_places.taking(3, hot, 4)(mixed, pa.concat_tables(found)).to_pydict()
+    gone = dict(zip(taken["key"], taken["gone"]))
+    assert {k: _scrub(o, banned) for k, o in rows} == {
+        k: o and [x for i, x in enumerate(o) if i not in gone.get(k, [])] for k, o in rows
+    }
+
+
+def test_bans_until_the_marker_make_no_row_of_a_place(spark, monkeypatch):
+    """Long lists: markers and sequences are looked for once, by blocks of rows."""
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(id_sequences, "lookup", lambda *a, **k: pytest.fail("each place was looked up"))
+    made, real = [], id_sequences.marker_places
+    monkeypatch.setattr(id_sequences, "marker_places", lambda *a, **k: (made.append(real(*a, **k)), made[-1])[1])
+    vocab = spark.createDataFrame(VOCAB, "token_id long, token string")
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([1, 3, 4, 5, 7, 7, 8, 99, None]) for _ in range(rng.randint(0, 12))]) for i in range(60)]
+    rows += [(200, None), (201, []), (202, [99, 7, 3, 4, 5, 7]), (203, [7, None, 99, 2, 7, 3, 4])]
+    banned = [[7], [3, 4], [4, 5], [5, 7], [99, 7, 3], [8, 1]]
+    table, listed = _frames(spark, rows, banned)
+    got = drop_banned_sequences_until_marker(table, "idx", "ids", listed, vocab, "out", method="join")
+    plan = got._jdf.queryExecution().toString()
+    assert len(made) == 1 and "posexplode" not in plan and "instr" not in plan
+    spelled = dict(VOCAB)
+    for r in got.collect():
+        ids = dict(rows)[r.idx]
+        cut = ids and (_end([spelled.get(x, "") for x in ids], ["##", "####", "Answer:"]) or len(ids))
+        assert r.out == (ids and _scrub(ids[:cut], banned) + ids[cut:])
+    assert got.columns == [*table.columns, "out"]
+    # The cut itself, with ids that spell nothing.
+    ends = {r.idx: r.marker_end for r in real(table, "idx", "ids", vocab).collect()}
+    assert ends[202] == 5 and ends[203] == 4 and ends[200] is None
