@@ -22,7 +22,7 @@ from banlist.functions.text import unwords
 from banlist.operators.lookup import count_keys, fits_broadcast, hot_keys, lookup
 from banlist.operators.pieces import _answered
 from banlist.operators.rule_places import GROUP_RULES, GROUP_STARTS
-from banlist.operators.sequence_places import ANSWERED, ASKED, asking, group_of, longest_begun, taking
+from banlist.operators.sequence_places import ANSWERED, ASKED, asking, groups_of, longest_begun, taking
 from banlist.session import write_table
 
 # Ids in all sequences of a list that becomes one pattern, and in one of them.
@@ -86,19 +86,16 @@ def _taken(rows: DataFrame, sequences: DataFrame) -> DataFrame:
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(4 * tasks, n_places // GROUP_STARTS, n_sequences // GROUP_RULES)
     blocks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, n_places * longest // BLOCK_IDS + 1)
-    # Places of a hot id are spread over several groups, which all get its sequences.
+    # What begins with a hot id is spread over several groups.
     hot = write_table(hot_keys(counts, "head", tasks), "hot-keys")  # fewer rows than tasks
     salts = {r["head"]: r["__salts"] for r in hot.collect()}
     dealt = rows.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), "key", "own").repartition("block")
     asked = dealt.groupBy("block").applyInArrow(asking(longest, salts, groups), ASKED)
-    salt = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
     begun = (
         sequences.withColumn("head", F.get("seq", F.lit(0)))
         .join(F.broadcast(hot), "head", "left")
-        .select("head", "seq", salt.alias("salt"))
-        .select(group_of(F.col("head"), F.col("salt"), groups).alias("group"), "seq")
+        .select(F.explode(groups_of(F.col("seq"), F.coalesce("__salts", F.lit(1)), groups)).alias("group"), "seq")
     )
-    # Salts of an id that meet in one group send it a sequence twice, which changes nothing.
     answers = asked.groupBy("group").cogroup(begun.groupBy("group")).applyInArrow(longest_begun, ANSWERED)
     kind = rows.schema["key"].dataType.simpleString()
     taken = taking(longest, salts, groups)

@@ -1,7 +1,8 @@
 """At which places of id arrays does one of very many sequences begin?
 
 Rows are dealt out in blocks. What follows a place, up to the longest sequence, is a gram;
-a block's distinct grams go, packed, to the groups of sequences that begin with the same id.
+a block's distinct grams go, packed, to the groups of sequences that begin with the same id,
+or where that id is hot, with the same two.
 A group walks its grams and sequences together and sends back one size for each gram. The
 block numbers its grams again in the same way, so neither keys nor places travel.
 """
@@ -27,17 +28,29 @@ ASKED = "group int, block int, sizes binary, ids binary"
 ANSWERED = "group int, block int, sizes binary"
 # Deals ids out to groups; products stay below 2**63.
 _PRIME = (1 << 31) - 1
-_BY_ID, _BY_SALT = 1_103_515_245, 1_640_531_527
+_BY_ID, _BY_SALT, _BY_SECOND = 1_103_515_245, 1_640_531_527, 69_069
 
 
-def group_of(head: Column, salt: Column, groups: int) -> Column:
-    """The group of sequences that begin with an id, for one salt."""
-    mixed = F.pmod(head, F.lit(_PRIME)) * F.lit(_BY_ID) + salt.cast("bigint") * F.lit(_BY_SALT)
-    return F.pmod(F.pmod(mixed, F.lit(_PRIME)), F.lit(groups)).cast("int")
+def groups_of(seq: Column, salts: Column, groups: int) -> Column:
+    """The groups of a sequence. A hot first id, of several salts, is split by the second id;
+    only a sequence of one id goes to all of them."""
+    second = F.pmod(F.pmod(F.get(seq, F.lit(1)), F.lit(_PRIME)) * F.lit(_BY_SECOND), F.lit(_PRIME))
+    every = F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1)
+    own = F.when(F.size(seq) > 1, F.array(F.pmod(second, salts.cast("bigint")))).otherwise(every)
+    head = F.pmod(F.get(seq, F.lit(0)), F.lit(_PRIME)) * F.lit(_BY_ID)
+    group = lambda salt: F.pmod(F.pmod(head + salt * F.lit(_BY_SALT), F.lit(_PRIME)), F.lit(groups)).cast("int")
+    return F.array_distinct(F.transform(own, group))
 
 
-def _groups_of(heads: np.ndarray, salts: np.ndarray, groups: int) -> np.ndarray:
-    return (np.mod(heads, _PRIME) * _BY_ID + salts * _BY_SALT) % _PRIME % groups
+def _groups_of(heads: np.ndarray, seconds: np.ndarray, sizes: np.ndarray, salts: dict[int, int], groups: int) -> np.ndarray:
+    """The group that each gram asks. One of a single id asks any group of that id."""
+    salt = np.zeros(len(heads), np.int64)
+    if salts:
+        hot = np.array(sorted(salts), np.int64)
+        place = np.minimum(np.searchsorted(hot, heads), len(hot) - 1)
+        many = np.where(hot[place] == heads, np.array([salts[h] for h in hot.tolist()], np.int64)[place], 1)
+        salt = np.where(sizes > 1, np.mod(seconds, _PRIME) * _BY_SECOND % _PRIME % many, 0)
+    return (np.mod(heads, _PRIME) * _BY_ID + salt * _BY_SALT) % _PRIME % groups
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -62,7 +75,7 @@ def _ids(lists: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 class _Grams:
     """The distinct grams of a block in their order, which rows in any order give alike."""
 
-    def __init__(self, lists: pa.ChunkedArray, longest: int, salts: dict[int, int], groups: int, block: int):
+    def __init__(self, lists: pa.ChunkedArray, longest: int, salts: dict[int, int], groups: int):
         flat, self.begin, self.lengths = _ids(lists)
         values = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = np.arange(len(values))
@@ -81,14 +94,8 @@ class _Grams:
         self.n = len(first)
         self.sizes = reach[first]
         self._values, self._first = values, first
-        heads = values[first]
-        salt = np.zeros(self.n, np.int64)
-        if salts:
-            hot = np.array(sorted(salts), np.int64)
-            place = np.minimum(np.searchsorted(hot, heads), len(hot) - 1)
-            many = np.where(hot[place] == heads, np.array([salts[h] for h in hot.tolist()], np.int64)[place], 1)
-            salt = (np.arange(self.n) + block) % many
-        group = _groups_of(heads, salt, groups)
+        seconds = np.append(values, 0)[first + 1]
+        group = _groups_of(values[first], seconds, self.sizes, salts, groups)
         # A gram of no id, a null's, asks nobody.
         some = np.flatnonzero(self.sizes)
         some = some[np.argsort(group[some], kind="stable")]
@@ -106,7 +113,7 @@ def asking(longest: int, salts: dict[int, int], groups: int) -> Callable[[pa.Tab
 
     def ask(rows: pa.Table) -> pa.Table:
         block = rows.column(0)[0].as_py()
-        grams = _Grams(rows.column("own"), longest, salts, groups, block)
+        grams = _Grams(rows.column("own"), longest, salts, groups)
         return pa.table(
             [
                 pa.array(grams.groups.astype(np.int32)),
@@ -155,8 +162,7 @@ def taking(longest: int, salts: dict[int, int], groups: int) -> Callable[[pa.Tab
     left to right. Rows of one key are one."""
 
     def take(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        block = rows.column(0)[0].as_py() if rows.num_rows else 0
-        grams = _Grams(rows.column("own"), longest, salts, groups, block)
+        grams = _Grams(rows.column("own"), longest, salts, groups)
         size = np.zeros(max(grams.n, 1), np.int64)
         members = dict(zip(grams.groups.tolist(), grams.members))
         for group, blob in zip(answers.column("group").to_pylist(), answers.column("sizes").to_pylist()):

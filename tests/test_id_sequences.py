@@ -6,6 +6,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from banlist.operators import id_sequences, lookup, sequence_places
 from banlist.operators.id_sequences import (
@@ -183,3 +184,26 @@ def test_bans_until_the_marker_make_no_row_of_a_place(spark, monkeypatch):
     # The cut itself, with ids that spell nothing.
     ends = {r.idx: r.marker_end for r in real(table, "idx", "ids", vocab).collect()}
     assert ends[202] == 5 and ends[203] == 4 and ends[200] is None
+
+
+def test_a_hot_id_does_not_copy_its_sequences(spark):
+    """With twenty times the tasks a sequence still goes to one group, but for single ids."""
+    rng = random.Random(12)
+    rows = [(i, [7 if rng.random() < 0.6 else rng.randint(-9, 40) for _ in range(60)]) for i in range(60)]
+    banned = [[7], [-3]] + [[7, a, b] for a in range(-9, 30) for b in range(3, 9)] + [[7, a] for a in range(20)]
+    table, listed = _frames(spark, rows, banned)
+    sent = []
+    seqs = listed.where("size(ids) > 0").select(F.col("ids").alias("seq"))
+    for salts in (1, 20):
+        groups = sequence_places.groups_of(F.col("seq"), F.lit(salts), 1000)
+        copies = seqs.select(F.size(groups).alias("n"), F.size("seq").alias("of")).collect()
+        assert all(r.n == 1 for r in copies if r.of > 1) and max(r.n for r in copies) == salts
+        sent.append(len({r.g for r in seqs.select(F.explode(groups).alias("g")).collect()}))
+    assert sent[1] > 10 * sent[0]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        got = drop_banned_sequences(table, "idx", "ids", listed, "out", method="join").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.idx: r.out for r in got} == {i: _scrub(ids, banned) for i, ids in rows}
